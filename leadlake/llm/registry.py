@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leadlake.llm import byte_bpe
+from leadlake.llm import byte_bpe, pii, secrets
 
-_MODULES = (byte_bpe,)
+_MODULES = (pii, byte_bpe, secrets)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
