@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,18 +41,31 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bounded_sample(rows: DataFrame, group: str, most: int, seed: int = 0) -> DataFrame:
+    """At most `most` rows of each group, those whose hashed id comes first: columns (id, group, place).
+
+    A first cut by the hash, at twice the share needed, keeps the rows that are ranked few in every group.
+    """
+    share = rows.groupBy(group).agg((2.0 * most / F.count("*")).alias("_share"))
+    hashed = rows.withColumn("_u", F.xxhash64("id", F.lit(seed)))
+    few = hashed.join(share, group).filter(F.pmod("_u", F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+    ranked = few.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy("_u", "id")))
+    return ranked.filter(F.col("place") <= most).select("id", group, "place")
+
+
 def text_pass(
     docs: DataFrame,
     id_col: str,
     text_col: str,
     make: Callable[[], Callable[[list], tuple]],
     fields: list[tuple[str, T.DataType, pa.DataType]],
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One pass over whole texts in Arrow batches: `make()` runs once in each task and returns a function from a
-    list of texts (None for null) to one list per field. Rows keep their number and order; other columns go."""
+    list of texts (None for null) to one list per field. Rows keep their number; of the other columns, `keep` stays."""
     ship(docs.sparkSession)
-    kept = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t, _ in fields)])
+    kept = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), *keep)
+    schema = T.StructType([docs.schema[id_col], *(docs.schema[c] for c in keep), *(T.StructField(n, t) for n, t, _ in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -59,7 +73,7 @@ def text_pass(
             for part in slices(batch):
                 found = work(part.column(1).to_pylist())
                 columns = [pa.array(v, t) for v, (_, _, t) in zip(found, fields)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *columns], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
