@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leadlake.llm import byte_bpe, langid, pii, secrets, toxicity
+from leadlake.llm import byte_bpe, langid, pii, quality, secrets, toxicity
 
-_MODULES = (pii, byte_bpe, secrets, langid, toxicity)
+_MODULES = (pii, byte_bpe, secrets, langid, toxicity, quality)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
