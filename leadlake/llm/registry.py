@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leadlake.llm import byte_bpe, langid, line_dedup, mixing, pii, quality, secrets, toxicity
+from leadlake.llm import byte_bpe, embedding_dedup, jaccard_join, langid, line_dedup, mixing, pii, quality, secret_scan, toxicity
 
-_MODULES = (pii, byte_bpe, secrets, langid, toxicity, quality, line_dedup, mixing)
+_MODULES = (pii, byte_bpe, secret_scan, langid, toxicity, quality, line_dedup, mixing, embedding_dedup, jaccard_join)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

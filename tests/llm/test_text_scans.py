@@ -8,7 +8,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from leadlake.llm import byte_bpe, pii, secrets
+from leadlake.llm import byte_bpe, pii, secret_scan
 
 TEXTS = [
     None,
@@ -62,7 +62,7 @@ def test_pii_maps_disguises_back(spark):
 
 def test_secrets(spark):
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    got = {r.doc_id: (_spans(r.base), [TEXTS[r.doc_id][s.start : s.end] for s in r.added]) for r in secrets.find_secrets(_docs(spark, extra=True), vocabulary).collect()}
+    got = {r.doc_id: (_spans(r.base), [TEXTS[r.doc_id][s.start : s.end] for s in r.added]) for r in secret_scan.find_secrets(_docs(spark, extra=True), vocabulary).collect()}
     text = TEXTS[9]
     assert [(k, text[a:b]) for k, a, b in got[9][0] if k == "assign"] == [("assign", "password=e3b3ed3cc8548923d6"), ("assign", 'token = "0641917ea4e9feb9cda83477b57ac2654884f485')]
     assert [k for k, *_ in got[9][0]] == ["assign", "assign", "hex"]
@@ -73,12 +73,12 @@ def test_secrets(spark):
 
 def test_guess_cost_is_the_least_over_all_segmentations():
     words = {"password": 1.0, "dragon": 2.0}
-    assert secrets.guess_cost("password", words) == 1.0
-    assert secrets.guess_cost("passworddragon", words) < secrets.guess_cost("passworddragom", words)
-    assert secrets.guess_cost("aaaaaaaaaaaa", {}) < 3
-    assert secrets.guess_cost("19991231", {}) < 5
-    assert secrets.guess_cost("x" * 100_000 + "q9", {}, 10.0) < 10
-    assert secrets.guess_cost("k9$Lq2@xV7" * 1000, {}, 10.0) == 10.0
+    assert secret_scan.guess_cost("password", words) == 1.0
+    assert secret_scan.guess_cost("passworddragon", words) < secret_scan.guess_cost("passworddragom", words)
+    assert secret_scan.guess_cost("aaaaaaaaaaaa", {}) < 3
+    assert secret_scan.guess_cost("19991231", {}) < 5
+    assert secret_scan.guess_cost("x" * 100_000 + "q9", {}, 10.0) < 10
+    assert secret_scan.guess_cost("k9$Lq2@xV7" * 1000, {}, 10.0) == 10.0
 
 
 def test_bpe_equals_tiktoken_and_round_trips(spark):
