@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from leadlake.plans import registry, scalars  # noqa: F401  each module registers its queries
+
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
 FLAGSHIP = "C10_lead_board"
