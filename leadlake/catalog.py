@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadlake.plans import registry, scalars  # noqa: F401  each module registers its queries
+from leadlake.plans import leads, outcomes, registry, scalars  # noqa: F401  each module registers its queries
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
