@@ -27,7 +27,7 @@ from leadlake.llm.common import slices, table, text_pass
 from leadlake.session import ship
 
 #: Encodings of matches that a Python worker remembers; it starts anew when there are more.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Children of a segment tree node. Most matches have at most this many bytes, and then the root is above the leaves.
 FAN = 16
 _NONE = 1 << 62
@@ -116,41 +116,68 @@ class Vocabulary:
         self.ranks = spark.sparkContext.broadcast(ranks)
 
 
+def _encoder(vocabulary_id: str, ranks, pattern: str):
+    """Function from texts to their numbers of tokens and their packed ids."""
+    pieces, find = _pieces(vocabulary_id, ranks), regex.compile(pattern).findall
+
+    def work(texts):
+        ids = [b"".join(map(pieces.__getitem__, find(t))) if t else b"" for t in texts]
+        return [len(x) // 4 for x in ids], ids
+
+    return work
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens long, ids binary): the ids of every whole text, as little-endian unsigned 32-bit integers."""
     broadcast, vocabulary_id, pattern = vocabulary.ranks, vocabulary.id, vocabulary.pattern
 
     def make():
-        pieces, find = _pieces(vocabulary_id, broadcast), regex.compile(pattern).findall
-
-        def work(texts):
-            ids = [b"".join(map(pieces.__getitem__, find(t))) if t else b"" for t in texts]
-            return [len(x) // 4 for x in ids], ids
-
-        return work
+        return _encoder(vocabulary_id, broadcast, pattern)
 
     fields = [("n_tokens", T.LongType(), pa.int64()), ("ids", T.BinaryType(), pa.binary())]
     return text_pass(docs, id_col, text_col, make, fields)
 
 
+def _decoded(batches: Iterator[pa.RecordBatch], at: int, ranks: dict[bytes, int], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches with one more column, the bytes of the ids in column `at`."""
+    pieces: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, i in ranks.items():
+        pieces[i] = piece
+    for batch in batches:
+        for part in slices(batch, 4 << 20):
+            found = [b"".join(map(pieces.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=names)
+
+
 def decode(tokens: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
     """The rows of `encode` with `decoded` binary, the bytes that the ids stand for (empty for null)."""
     ship(tokens.sparkSession)
     broadcast = vocabulary.ranks
     schema = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())])
     at = tokens.columns.index(ids_col)
+    return tokens.mapInArrow(lambda batches: _decoded(batches, at, broadcast.value, schema.names), schema)
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`decode(encode(docs))` in one Python worker per task instead of two: (id, n_tokens, ids, decoded)."""
+    ship(docs.sparkSession)
+    broadcast, vocabulary_id, pattern = vocabulary.ranks, vocabulary.id, vocabulary.pattern
+    kept = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    binary = T.BinaryType()
+    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids", binary), T.StructField("decoded", binary)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = broadcast.value
-        names: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
-        for piece, i in ranks.items():
-            names[i] = piece
-        for batch in batches:
-            for part in slices(batch):
-                found = [b"".join(map(names.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=schema.names)
+        work = _encoder(vocabulary_id, broadcast, pattern)
+
+        def encoded() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, 4 << 20):
+                    n, ids = work(part.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=schema.names[:3])
+
+        yield from _decoded(encoded(), 2, broadcast.value, schema.names)
 
-    return tokens.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def production_vocabulary(spark) -> Vocabulary:
@@ -161,7 +188,7 @@ def production_vocabulary(spark) -> Vocabulary:
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
     vocabulary = production_vocabulary(spark)
-    both = decode(encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    both = round_trip(table(spark, sf_dir, "documents"), vocabulary)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

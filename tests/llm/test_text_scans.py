@@ -87,6 +87,7 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
     out = byte_bpe.decode(byte_bpe.encode(_docs(spark, extra=True), v), v).collect()
     assert len(out) == len(TEXTS) + 1
+    assert sorted(map(repr, byte_bpe.round_trip(_docs(spark, extra=True), v).collect())) == sorted(map(repr, out))
     for r in out:
         text = TEXTS[r.doc_id] or ""
         assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(text)
