@@ -110,7 +110,7 @@ def number_tokens(c: Column) -> Column:
 def contact_tokens(c: Column) -> Column:
     """Sorted distinct e-mail addresses and phone numbers in a text."""
     text = F.coalesce(c, F.lit(""))
-    phones = F.transform(F.regexp_extract_all(text, F.lit(PHONE), 0), F.trim)
+    phones = F.transform(F.regexp_extract_all(text, F.lit(PHONE), 0), lambda p: F.trim(p))
     return F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(EMAIL), 0), phones)))
 
 
