@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from leadlake.session import ship
 
+#: Groups up to which their table is broadcast.
+MOST_GROUPS = 10_000
 #: Words are split at these six ASCII characters only.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -64,9 +66,11 @@ def release(spark: SparkSession) -> None:
 def bounded_sample(rows: DataFrame, group: str, most: int, seed: int = 0) -> DataFrame:
     """At most `most` rows of each group, those whose hashed id comes first: columns (id, group, place).
 
-    A first cut by the hash, at twice the share needed, keeps the rows that are ranked few in every group.
+    A first cut by the hash, at twice the share needed, keeps the rows that are ranked few in every group. It comes
+    before any shuffle of the rows, as the table of groups is broadcast when it is counted to be small.
     """
-    share = rows.groupBy(group).agg((2.0 * most / F.count("*")).alias("_share"))
+    share = checkpoint(rows.groupBy(group).agg((2.0 * most / F.count("*")).alias("_share")))
+    share = F.broadcast(share) if share.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS else share
     hashed = rows.withColumn("_u", F.xxhash64("id", F.lit(seed)))
     few = hashed.join(share, group).filter(F.pmod("_u", F.lit(1 << 30)) < F.col("_share") * (1 << 30))
     ranked = few.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy("_u", "id")))
