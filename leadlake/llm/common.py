@@ -133,5 +133,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         release(spark)
         if state == before:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+            ends = e.unionByName(e.select(F.col("v").alias("u"), "v").distinct())  # the smallest ids themselves
+            return ends.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
         before = state
