@@ -36,7 +36,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    done = df.checkpoint()
+    release(spark)
+    return done
 
 
 def store(df: DataFrame) -> DataFrame:
@@ -46,6 +48,7 @@ def store(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.parquet(path)
 
 
@@ -58,7 +61,8 @@ def unstore(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now rather than at the driver's next full collection."""
+    """Collect the driver's garbage between steps: Spark then drops the shuffle files of finished steps, and the plans
+    of finished jobs leave the driver's memory."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
