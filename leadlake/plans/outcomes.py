@@ -48,9 +48,24 @@ def a04(s, d):
     return fb.precision(joined(s, d))
 
 
-@query("A05_false_positives", sql(" UNION ALL ".join(f"SELECT '{c}' AS dimension, coalesce({c}, 'unknown') AS key, count(*) AS n FROM j WHERE score >= 80 AND negative GROUP BY 2" for c in ("product", "sector", "event_type")), "fb", "ld", more=FB))
+SHORT_LEADS = {
+    "dl": "SELECT lead_id AS who, lead_id || '-' || (seq // 100) AS lead_id, seq, event_type FROM fb",
+    "oc": OUT_SQL.replace("FROM fb", "FROM dl"),
+    "j": "SELECT * FROM (SELECT DISTINCT dl.lead_id, score, product, sector, ld.event_type FROM dl JOIN ld ON ld.lead_id = dl.who) LEFT JOIN oc USING (lead_id)",
+}
+
+
+def short_leads(s, d):
+    """A user's feedback within a hundred log entries as one lead; over the whole log every user converts."""
+    part = F.concat("lead_id", F.lit("-"), F.floor(F.col("seq") / 100).cast("string"))
+    log = few(s, d).select(F.col("lead_id").alias("who"), part.alias("lead_id"), "seq", "event_type")
+    meta = fx.leads(s, d).withColumnRenamed("lead_id", "who").join(log.select("who", "lead_id").distinct(), "who")
+    return fb.with_outcome(meta, log.drop("who"))
+
+
+@query("A05_false_positives", sql(" UNION ALL ".join(f"SELECT '{c}' AS dimension, coalesce({c}, 'unknown') AS key, count(*) AS n FROM j WHERE score >= 80 AND negative GROUP BY 2" for c in ("product", "sector", "event_type")), "fb", "ld", more=SHORT_LEADS))
 def a05(s, d):
-    return fb.false_positives(joined(s, d), "product", "sector", "event_type")
+    return fb.false_positives(short_leads(s, d), "product", "sector", "event_type")
 
 
 @query("A06_totals", sql("SELECT count(*) AS events, count(DISTINCT lead_id) AS leads FROM fb", "fb"))

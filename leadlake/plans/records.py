@@ -258,9 +258,9 @@ def f11(s, d):
     return qu.violations(fx.reports(s, d), "report_id", reference_present=F.col("reference").isNotNull(), value_below_limit=F.col("value") < 4000000000, value_not_negative=F.col("value") >= 0)
 
 
-@query("F11_repeated_keys", sql("SELECT gstin, count(*) AS n FROM co WHERE gstin IS NOT NULL GROUP BY gstin HAVING count(*) > 1", "co"))
+@query("F11_repeated_keys", sql("SELECT website, count(*) AS n FROM co WHERE website IS NOT NULL GROUP BY website HAVING count(*) > 1", "co"))
 def f11b(s, d):
-    return qu.repeated_keys(fx.companies(s, d), "gstin")
+    return qu.repeated_keys(fx.companies(s, d), "website")
 
 
 @query("F07_retry_queue", "SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 < 3 ORDER BY o_orderkey LIMIT 100")
