@@ -80,7 +80,7 @@ HEADLINE = "CASE WHEN l_linenumber % 3 = 0 THEN 'Order win: ' ELSE '' END || p_n
 def headlines(s, d):
     """Headlines made of order lines and parts, with a source and an RFC 822 date."""
     lines, parts = fx.table(s, d, "lineitem"), fx.table(s, d, "part")
-    j = lines.join(parts, lines.l_partkey == parts.p_partkey).filter("l_orderkey % 20 = 0")
+    j = lines.join(parts, lines.l_partkey == parts.p_partkey)
     title = F.concat(
         F.when(F.col("l_linenumber") % 3 == 0, "Order win: ").otherwise(""), "p_name", F.lit(" Infra wins ₹"), F.col("l_quantity").cast("long").cast("string"), F.lit(".5 "),
         F.when(F.col("l_linenumber") % 2 == 0, "crore").otherwise("billion"), F.lit(" order from Ministry of "), "p_type", F.lit(" for works - Daily "), (F.col("l_suppkey") % 5).cast("string"),
