@@ -1,20 +1,26 @@
 """Near-duplicate vectors by an inverted multi-index with multi-sequence traversal and exact verification.
 
-* Copies. Rows with the same label and vector are one class; classes are compared, members follow.
-* Codebooks. Each half of the unit vector has its own codebook of K centroids, fitted on SAMPLE vectors at most; K grows
-  with the square root of the number of vectors, so that a cell of the K x K grid holds about CELL of them.
+* Copies. Rows with the same label and vector are one class, named by a 128-bit hash of both; classes are compared,
+  members follow.
+* Codebooks. Each half of the unit vector has its own codebook of K centroids, fitted on a sample of SAMPLE vectors, or
+  of 4 K if that is more; K grows with the square root of the number of vectors, so that a cell of the K x K grid holds
+  about CELL of them at every size.
 * Index. Every vector is native to the cell of its nearest centroids.
 * Traversal. A vector visits other cells in the order of a lower bound on its distance to them (its distances to the
   bisecting planes of both halves), merged from the two sorted lists by a heap, and stops at the bound that reaches
   RECALL of the simulated neighbours at the threshold (and of the neighbours found in the sample). Of two cells, the
   one with the larger number visits, so each pair of vectors meets once.
 * Verification. Cells are cut into blocks of BLOCK natives and BLOCK visitors. In a block, cosines in double precision
-  are one matrix product; out come the number of links and the local component of each vector, never the pairs.
+  are one matrix product; out come the number of links and the local component of each vector, never the pairs. Blocks
+  are dealt over the tasks by their own number, so the blocks of one cell run side by side.
 
 Nothing is capped: a crowded cell only has more blocks. Vectors that are null, empty or zero, hold null or non-finite
-components, or have a null label link with nothing; vectors of different lengths do not link. Null ids count as rows
-but are never the smallest id of others. Rows with one id are one vector, the first by its hash. An empty table gives
-an empty result; other columns may have any name.
+components, or have a null label link with nothing; vectors of different lengths do not link. A vector is an id with
+its label and components: rows that repeat all three are one vector, different vectors under one id link each for
+itself, and every row without an id is a vector. Null ids are never the smallest id of a component; one without any
+other id has component_id null, and its rows are kept; other rows without an id are not, when their component has
+one. An empty table gives an empty result; other columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -67,12 +73,17 @@ def _book(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.unique(book, axis=0)
 
 
+def _k(number: int) -> int:
+    """Centroids of a half for a number of vectors."""
+    return int(max(2, np.ceil(np.sqrt(number / CELL))))
+
+
 class MultiIndex:
     """Codebooks of both halves and the bound at which a traversal stops."""
 
     def __init__(self, sample: np.ndarray, number: int, cosine: float, seed: int = 5):
         self.half = sample.shape[1] // 2
-        k = int(min(256, max(2, np.ceil(np.sqrt(number / CELL)))))
+        k = _k(number)
         self.books = (_book(sample[:, : self.half], k, seed), _book(sample[:, self.half :], k, seed + 1))
         x = sample[:4000]
         rng = np.random.default_rng(seed + 2)
@@ -101,52 +112,55 @@ class MultiIndex:
         return i * len(self.books[1]) + j, (a, b)
 
 
-def _local(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Smallest id that each row reaches in a symmetric boolean matrix."""
-    root = ids.copy()
+def _local(linked: np.ndarray) -> np.ndarray:
+    """The first row that each row reaches in a symmetric boolean matrix."""
+    root = np.arange(len(linked))
     while True:
-        low = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(1))
-        low = np.minimum(low, low[np.searchsorted(ids, low)]) if (np.diff(ids) > 0).all() else low
+        low = np.minimum(root, np.where(linked, root[None, :], len(root)).min(1))
+        low = low[low]
         if (low == root).all():
             return root
         root = low
 
 
 def link(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(id, n_links, component_id, kept) of every vector: how many others it links with directly, the smallest id that
-    it reaches by links, and whether that is its own."""
+    """(id, n_links, component_id, kept) of every row: how many other vectors its vector links with directly, the
+    smallest id that it reaches by links, and whether that is its own."""
     spark = vectors.sparkSession
     ship(spark)
     v = F.col("v")
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    fine = F.col("label").isNotNull() & v.isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (norm > 0) & F.col("id").isNotNull()
-    rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False))).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), v)})
-    one = rows.filter("ok").groupBy("id").agg(F.min(F.struct("h1", "h2", "label", "v")).alias("x")).select("id", "x.*")
-    one = checkpoint(one)
-    classes = one.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.any_value("v").alias("v"))
-    classes = checkpoint(classes.select("label", "h1", "h2", "rep", "size", "v", F.size("v").alias("dim")))
+    fine = F.col("label").isNotNull() & v.isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (norm > 0)
+    key = F.format_string("%016x%016x", F.xxhash64("label", "v"), F.xxhash64(F.lit(1), "label", "v"))
+    rows = rows.withColumn("c", F.when(F.coalesce(fine, F.lit(False)), key))
+    own = checkpoint(rows.select("id", "c"))  # no vectors
+    units = own.filter("c is not null").groupBy("c", "id").agg(F.when(F.col("id").isNull(), F.count("*")).otherwise(1).alias("n"))
+    sizes = units.groupBy("c").agg(F.min("id").alias("low"), F.sum("n").alias("size"))
+    values = rows.filter("c is not null").groupBy("c").agg(F.any_value("label").alias("label"), F.any_value("v").alias("v"))
+    classes = checkpoint(values.join(sizes, "c").select("label", "c", "low", "size", "v", F.size("v").alias("dim")))
     number = classes.count()
     if number:
         partial = _partial(classes, number, cosine)
-        counts = partial.groupBy("rep").agg(F.sum("links").alias("links"))
-        roots = components(partial.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-        done = classes.drop("v").join(counts, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+        counts = partial.groupBy("c").agg(F.sum("links").alias("links"))
+        roots = components(partial.filter("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("c"), F.col("component_id").alias("of"))
+        done = classes.select("c", "low", "size").join(counts, "c", "left").join(roots, "c", "left").withColumn("of", F.coalesce("of", "c"))
+        named = checkpoint(done.groupBy("of").agg(F.min("low").alias("component_id")))
+        done = done.join(named, "of").select("c", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
+        linked = own.filter("c is not null").join(done, "c").select("id", "n_links", "component_id")
     else:
-        done = classes.drop("v").select("*", F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("component_id"))
-    done = done.select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    found = one.select("id", "label", "h1", "h2").join(done, ["label", "h1", "h2"]).select("id", "n_links", "component_id")
-    every = rows.select("id").join(found, "id", "left")
-    out = every.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+        linked = own.filter("c is not null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    alone = own.filter("c is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id")
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def _partial(classes: DataFrame, number: int, cosine: float) -> DataFrame:
-    """(rep, links, root): what single blocks know of the links and of the component of a class."""
+    """(c, links, root): what single blocks know of the links and of the component of a class."""
     spark = classes.sparkSession
     indexes = {}
     for (dim,) in classes.select("dim").distinct().limit(64).collect():
-        taken = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toPandas()["v"]  # bounded
+        taken = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("c")).limit(max(SAMPLE, 4 * _k(number))).select("v").toPandas()["v"]  # bounded
         x = np.array(taken.tolist(), float).reshape(len(taken), dim)
         if dim >= 2:
             indexes[dim] = MultiIndex(x / np.linalg.norm(x, axis=1, keepdims=True), number, cosine)
@@ -165,31 +179,30 @@ def _partial(classes: DataFrame, number: int, cosine: float) -> DataFrame:
                     others = [[c for i, j in visits(p, q, index.limit) if (c := i * width + j) < own] for p, q, own in zip(a, b, cell)]
                 else:  # one component, or a length beyond the first 64: all in one cell, cut into blocks
                     cell, others = np.zeros(len(x), int), [[]] * len(x)
-                yield pd.DataFrame({"label": part["label"], "dim": dim, "rep": part["rep"], "size": part["size"], "u": [r.tobytes() for r in x], "cell": cell.astype("int64"), "others": others})
+                yield pd.DataFrame({"label": part["label"], "dim": dim, "c": part["c"], "size": part["size"], "u": [r.tobytes() for r in x], "cell": cell.astype("int64"), "others": others})
 
     label = classes.schema["label"].dataType.simpleString()
-    rep = classes.schema["rep"].dataType.simpleString()
-    placed = classes.select("label", "dim", "rep", "size", "v").mapInPandas(place, f"label {label}, dim int, rep {rep}, size long, u binary, cell long, others array<long>")
+    placed = classes.select("label", "dim", "c", "size", "v").mapInPandas(place, f"label {label}, dim int, c string, size long, u binary, cell long, others array<long>")
     placed = checkpoint(placed)
     key = ["label", "dim", "cell"]
     native = placed.drop("others")
-    visitor = placed.select("label", "dim", "rep", "size", "u", F.explode("others").alias("cell"))
+    visitor = placed.select("label", "dim", "c", "size", "u", F.explode("others").alias("cell"))
     n = native.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("nn"))
     m = visitor.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("nv"))
     sizes = checkpoint(n.join(m, key, "left").fillna(0, ["nv"]))
-    chunk = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).alias("own")
+    chunk = lambda c: F.pmod(F.xxhash64("c"), F.col(c)).alias("own")
     mine = native.join(sizes, key).select("*", chunk("nn"))
     to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    body = ["label", "dim", "cell", "rep", "size", "u"]
+    body = ["label", "dim", "cell", "c", "size", "u"]
     both = mine.select(*body, "own", to("nn").alias("other")).select(*body, F.lit(0).alias("kind"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("right"))
     left = mine.filter("nv > 0").select(*body, "own", to("nv").alias("y")).select(*body, F.lit(1).alias("kind"), F.col("own").alias("x"), "y", F.lit(False).alias("right"))
-    come = visitor.join(sizes, key).select("*", F.pmod(F.xxhash64("rep"), F.col("nv")).alias("y"))
+    come = visitor.join(sizes, key).select("*", F.pmod(F.xxhash64("c"), F.col("nv")).alias("y"))
     right = come.select(*body, "y", to("nn").alias("x")).select(*body, F.lit(1).alias("kind"), "x", "y", F.lit(True).alias("right"))
     blocks = both.unionByName(left).unionByName(right)
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", ignore_index=True)
-        ids, size = pdf["rep"].to_numpy(), pdf["size"].to_numpy()
+        pdf = pdf.sort_values("c", ignore_index=True)
+        names, size = pdf["c"].to_numpy(), pdf["size"].to_numpy()
         x = np.frombuffer(b"".join(pdf["u"]), float).reshape(len(pdf), -1)
         linked = x @ x.T >= cosine
         np.fill_diagonal(linked, False)
@@ -198,9 +211,11 @@ def _partial(classes: DataFrame, number: int, cosine: float) -> DataFrame:
             linked &= side[:, None] != side[None, :]
         links = linked @ size
         some = links > 0
-        return pd.DataFrame({"rep": ids[some], "links": links[some], "root": _local(linked, ids)[some]})
+        return pd.DataFrame({"c": names[some], "links": links[some], "root": names[_local(linked)][some]})
 
-    found = blocks.groupBy("label", "dim", "cell", "kind", "x", "y").applyInPandas(verify, f"rep {rep}, links long, root {rep}")
+    block = ["label", "dim", "cell", "kind", "x", "y"]
+    # rows lie by cell after the joins; dealing them anew keeps the blocks of a crowded cell out of one task
+    found = blocks.repartition(*block).groupBy(*block).applyInPandas(verify, "c string, links long, root string")
     found = checkpoint(found)
     release(spark)
     return found
