@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,18 +67,39 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bounded_sample(rows: DataFrame, group: str, most: int, seed: int = 0) -> DataFrame:
-    """At most `most` rows of each group, those whose hashed id comes first: columns (id, group, place).
+#: Shares of the bound at which a sample's hash can be cut.
+_CUTS = (0.25, 0.5, 0.7, 0.8, 0.85, 0.9, 0.92, 0.94, 0.96, 0.98, 1.0, 1.02, 1.04)
 
-    A first cut by the hash, at twice the share needed, keeps the rows that are ranked few in every group. It comes
-    before any shuffle of the rows, as the table of groups is broadcast when it is counted to be small.
+
+def bounded_sample(rows: DataFrame, most: int, group: str | None = None, seed: int = 0) -> DataFrame:
+    """At most `most` rows of each group (of all rows, without one) by hashed id: columns (id, group).
+
+    Groups up to the bound stay whole. Of a larger one, the rows with a hash below a cut stay: the highest of a few cuts
+    around the bound that lets through no more than `most` rows. Counts come from partial aggregations, the groups'
+    cuts are broadcast when they are counted to be few, and no row is shuffled or ranked.
     """
-    share = checkpoint(rows.groupBy(group).agg((2.0 * most / F.count("*")).alias("_share")))
-    share = F.broadcast(share) if share.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS else share
-    hashed = rows.withColumn("_u", F.xxhash64("id", F.lit(seed)))
-    few = hashed.join(share, group).filter(F.pmod("_u", F.lit(1 << 30)) < F.col("_share") * (1 << 30))
-    ranked = few.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy("_u", "id")))
-    return ranked.filter(F.col("place") <= most).select("id", group, "place")
+    space = 1 << 40
+    hashed = rows.select("id", *[group] * bool(group), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(space)).alias("_u"))
+    by = lambda df: df.groupBy(group) if group else df.groupBy()
+    size = by(rows).agg(F.count("*").alias("_n"))
+    counted = checkpoint(size.select(*[group] * bool(group), (F.lit(float(most) * space) / F.greatest("_n", F.lit(1))).alias("_one"), (F.col("_n") <= most).alias("_all")))
+    few = counted.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
+
+    def joined(df: DataFrame, groups: DataFrame) -> DataFrame:
+        if not group:  # one row of figures, as constants
+            return df.withColumns({c: F.lit(v) for c, v in groups.first().asDict().items()})
+        return df.join(F.broadcast(groups) if few else groups, group)
+
+    near = joined(hashed, counted).filter(~F.col("_all") & (F.col("_u") < F.col("_one") * _CUTS[-1]))
+    below = by(near).agg(*(F.count_if(F.col("_u") < F.col("_one") * c).alias(f"_c{k}") for k, c in enumerate(_CUTS)))
+    cut = F.greatest(*(F.when(F.col(f"_c{k}") <= most, c).otherwise(0.0) for k, c in enumerate(_CUTS)))
+    cuts = below.select(*[group] * bool(group), cut.alias("_cut"))
+    if not group:
+        counted = counted.withColumn("_cut", F.lit(cuts.first()[0]))
+    else:
+        counted = counted.join(cuts, group, "left")
+    counted = checkpoint(counted.select(*[group] * bool(group), F.when(F.col("_all"), F.lit(float(space))).otherwise(F.col("_one") * F.coalesce("_cut", F.lit(0.0))).alias("_below")))
+    return joined(hashed, counted).filter(F.col("_u") < F.col("_below")).select("id", *[group] * bool(group))
 
 
 def text_pass(
@@ -114,6 +135,23 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(at, step)
 
 
+class Covered:
+    """Spans of one text, merged, to tell whether another span meets one of them in logarithmic time."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect.bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] < b
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star steps (Kiveris et al., SoCC 2014).
 

@@ -1,6 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
-A text becomes a run of lower-case letters in which everything else is one blank. Per language, n-grams of up to ORDER
+A text becomes a run of lower-case letters in which everything else is one blank. Letters are those of the learning
+sample, the LETTERS most frequent of them if it holds more; all others share one code. Per language, n-grams of up to ORDER
 characters are counted on a bounded sample of labelled texts; the interpolated Kneser-Ney probabilities of all n-grams
 seen in any language, and the back-off weights of their contexts, stand in arrays sorted by the packed n-gram (a
 perfect hash), with one column per language. The language with the lowest cross-entropy per character wins.
@@ -25,15 +26,16 @@ from pyspark.sql import types as T
 from leadlake.llm.common import bounded_sample, checkpoint, table, text_pass
 
 ORDER = 4
-#: Labelled texts per language that the models learn from, and that calibrate them.
+#: A sample of LEARN + CALIBRATE labelled texts per language at most; a hash deals it between models and calibration.
 LEARN, CALIBRATE = 1500, 300
 REJECT_QUANTILE = 0.999
 _CHUNK = 1 << 20  # characters that are scored at once
-_BITS = 8
+_BITS = 16
+LETTERS = (1 << _BITS - 1) - 2  # codes below 2^15, so that a packed n-gram is a non-negative 64-bit integer
 
 
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x30000)])
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 _WORKER: dict = {}
@@ -47,7 +49,7 @@ def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     raw = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass") if t else b"", "<u4") for t in texts]
     points = np.concatenate(raw) if raw else np.zeros(0, "<u4")
     of = np.repeat(np.arange(len(texts)), [len(x) for x in raw])
-    points = np.where(letters[np.minimum(points, len(letters) - 1)], points, 32)
+    points = np.where(letters[points], points, 32)
     keep = np.ones(len(points), bool)
     if len(points) > 1:
         keep[1:] = (points[1:] != 32) | (points[:-1] != 32) | (of[1:] != of[:-1])
@@ -56,20 +58,20 @@ def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 class Alphabet:
     def __init__(self, points: np.ndarray):
-        self.points = np.sort(points[points != 32])[: (1 << _BITS) - 2]
+        self.points = np.sort(points[points != 32])[:LETTERS]
 
     def codes(self, points: np.ndarray) -> np.ndarray:
         """0 for the blank, 1... for known letters, the last code for others."""
         at = np.searchsorted(self.points, points)
         known = (at < len(self.points)) & (self.points[np.minimum(at, len(self.points) - 1)] == points) if len(self.points) else np.zeros(len(points), bool)
-        return np.where(points == 32, 0, np.where(known, at + 1, (1 << _BITS) - 1)).astype(np.uint32)
+        return np.where(points == 32, 0, np.where(known, at + 1, LETTERS + 1)).astype(np.uint64)
 
 
 def packed(codes: np.ndarray, order: int) -> np.ndarray:
     """The n-gram that ends at each place, as one integer; the first ones have blanks before them."""
-    out = np.zeros(len(codes), np.uint32)
+    out = np.zeros(len(codes), np.uint64)
     for k in range(order):
-        out[k:] |= codes[: len(codes) - k] << np.uint32(_BITS * k)
+        out[k:] |= codes[: len(codes) - k] << np.uint64(_BITS * k)
     return out
 
 
@@ -90,18 +92,18 @@ class Models:
         for keys, number in counts:
             of = {ORDER: (keys, number.astype(float))}
             for n in range(ORDER - 1, 0, -1):
-                of[n] = tuple(np.unique(of[n + 1][0] & np.uint32((1 << _BITS * n) - 1), return_counts=True))
+                of[n] = tuple(np.unique(of[n + 1][0] & np.uint64((1 << _BITS * n) - 1), return_counts=True))
             levels.append(of)
         lower = None
         for n in range(1, ORDER + 1):
             every = np.unique(np.concatenate([of[n][0] for of in levels]))
-            heads = np.unique(every >> np.uint32(_BITS))
+            heads = np.unique(every >> np.uint64(_BITS))
             p, back = np.empty((len(every), len(langs))), np.zeros((len(heads), len(langs)))
             for k, of in enumerate(levels):
                 keys, number = of[n]
                 once, twice = (number == 1).sum(), (number == 2).sum()
                 discount = once / (once + 2 * twice) if once and twice else 0.5
-                head, inverse = np.unique(keys >> np.uint32(_BITS), return_inverse=True)
+                head, inverse = np.unique(keys >> np.uint64(_BITS), return_inverse=True)
                 total, kinds = np.bincount(inverse, number), np.bincount(inverse)
                 at, there = _find(head, heads)
                 weight = np.where(there, discount * kinds[at] / total[at], 1.0)
@@ -109,8 +111,8 @@ class Models:
                 mass = np.where(there, total[at], 1.0)
                 at, there = _find(keys, every)
                 own = np.where(there, np.maximum(number[at] - discount, 0), 0)
-                h, _ = _find(heads, every >> np.uint32(_BITS))
-                below = self.uniform if lower is None else lower[1][_find(lower[0], every & np.uint32((1 << _BITS * (n - 1)) - 1))[0], k]
+                h, _ = _find(heads, every >> np.uint64(_BITS))
+                below = self.uniform if lower is None else lower[1][_find(lower[0], every & np.uint64((1 << _BITS * (n - 1)) - 1))[0], k]
                 p[:, k] = own / mass[h] + weight[h] * below
             lower = (every, p)
             self.keys[n], self.logp[n] = every, np.log(p).astype(np.float32)
@@ -123,9 +125,9 @@ class Models:
         out = self.logp[n][at]
         if not there.all():
             rest = grams[~there]
-            h, known = _find(self.contexts[n], rest >> np.uint32(_BITS))
+            h, known = _find(self.contexts[n], rest >> np.uint64(_BITS))
             weight = np.where(known[:, None], self.back[n][h], 0)
-            out[~there] = weight + self._scores(rest & np.uint32((1 << _BITS * (n - 1)) - 1), n - 1)
+            out[~there] = weight + self._scores(rest & np.uint64((1 << _BITS * (n - 1)) - 1), n - 1)
         return out
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +139,7 @@ class Models:
         place = np.arange(len(of)) - np.maximum.accumulate(np.where(first, np.arange(len(of)), 0))
         for k in range(1, ORDER):  # what stands before a text's first blank is blank
             early = place < k
-            grams[early] &= np.uint32((1 << _BITS * k) - 1)
+            grams[early] &= np.uint64((1 << _BITS * k) - 1)
         total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         letters = np.bincount(of[points != 32], minlength=len(texts))
         for a in range(0, len(of), _CHUNK):
@@ -166,13 +168,13 @@ class Identifier:
 def learn(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier | None:
     """Models and calibration from labelled rows for which `usable` holds (at most LEARN + CALIBRATE a language)."""
     rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = bounded_sample(rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")), "lang", LEARN + CALIBRATE)
+    chosen = bounded_sample(rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")), LEARN + CALIBRATE, "lang")
     chosen = F.broadcast(checkpoint(chosen).dropDuplicates(["id"]))  # bounded: LEARN + CALIBRATE ids a language
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
-    texts = checkpoint(texts)
+    texts = checkpoint(texts.withColumn("learn", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(LEARN + CALIBRATE)) < LEARN))
     alphabet_rows = (
-        texts.filter(F.col("place") <= LEARN).select(F.explode(F.split(F.lower("text"), "")).alias("c"))
-        .groupBy("c").count().orderBy(F.desc("count"), "c").limit((1 << _BITS) - 2).collect()
+        texts.filter("learn").select(F.explode(F.split(F.lower("text"), "")).alias("c"))
+        .groupBy("c").count().orderBy(F.desc("count"), "c").limit(LETTERS).collect()
     )
     points = np.array([ord(r.c) for r in alphabet_rows if len(r.c) == 1 and r.c.isalpha()], np.uint32)
     if not len(points):
@@ -194,14 +196,14 @@ def learn(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: s
     pair = T.ArrayType(T.StructType([T.StructField("g", T.LongType()), T.StructField("n", T.LongType())]))
     arrow = pa.list_(pa.struct([("g", pa.int64()), ("n", pa.int64())]))
     counted = (
-        text_pass(texts.filter(F.col("place") <= LEARN), "id", "text", grams, [("grams", pair, arrow)], keep=("lang",))
+        text_pass(texts.filter("learn"), "id", "text", grams, [("grams", pair, arrow)], keep=("lang",))
         .select("lang", F.explode("grams").alias("x")).groupBy("lang", "x.g").agg(F.sum("x.n").alias("n")).orderBy("lang", "g").toPandas()
     )
     langs = sorted(counted["lang"].unique())
-    models = Models(langs, [(x["g"].to_numpy(np.uint32), x["n"].to_numpy(float)) for x in (counted[counted["lang"] == k] for k in langs)], alphabet)
-    held = texts.filter(F.col("place") > LEARN).select("text", "lang").toPandas()  # at most CALIBRATE texts a language
+    models = Models(langs, [(x["g"].to_numpy(np.uint64), x["n"].to_numpy(float)) for x in (counted[counted["lang"] == k] for k in langs)], alphabet)
+    held = texts.filter("not learn").select("text", "lang").toPandas()  # bounded by the sample
     if not len(held):
-        held = texts.filter(F.col("place") <= CALIBRATE).select("text", "lang").toPandas()
+        held = texts.select("text", "lang").toPandas()
     entropy, n = models.entropies(list(held["text"]))
     right = np.array([langs.index(x) for x in held["lang"]])
     ok = n > 0

@@ -1,12 +1,18 @@
 """Personal data in whole texts, also behind homoglyphs, spelled digits and at/dot disguises.
 
-A text is rewritten by small transducers (confusable characters to ASCII, invisible characters to nothing, spelled
-digits to digits, `[at]` and ` dot ` to their signs). Each keeps the source place of what it writes, so identifiers
-found in the rewritten text are mapped back to spans of the source. Base spans come from the source itself and always
-stay; a rewritten span is added if it rests on a rewriting and overlaps no base span of its kind.
+A text is rewritten by small transducers (confusable characters to ASCII, invisible characters to nothing, digits
+spelled in English, German, French or Spanish to digits, at and dot to their signs). Each keeps the source place of what
+it writes, so identifiers found in the rewritten text are mapped back to spans of the source. Base spans come from the
+source itself and always stay; a rewritten span is added if it rests on a rewriting and overlaps no base span of its
+kind.
+
+At and dot are read apart from each other, bracketed (`[at]`, `(punkt)`) or bare (` at `, ` dot `), and mix with real
+signs, in the local part too. Bare words are common in prose: a bare dot counts only in an address with an at, and a
+bare at needs a dot of the domain to be disguised too, or, before a real domain, a local part with a digit or sign in it
+or a word such as `mail` close before.
 
 Offsets are code points, end exclusive. Null and empty texts have no spans, repeated rows repeat their results, an
-empty table gives an empty result, and other columns may have any name. All scans are linear in the text.
+empty table gives an empty result, and other columns may have any name. Each scan reads the text once.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadlake.llm.common import table, text_pass
+from leadlake.llm.common import Covered, table, text_pass
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -83,7 +89,9 @@ def _confusables() -> dict[int, str]:
         0x0458: "j", 0x0455: "s", 0x0501: "d", 0x051B: "q", 0x051D: "w", 0x0410: "A", 0x0412: "B", 0x0415: "E",
         0x041A: "K", 0x041C: "M", 0x041D: "H", 0x041E: "O", 0x0420: "P", 0x0421: "C", 0x0422: "T", 0x0425: "X",
         0x0406: "I", 0x0408: "J", 0x0405: "S", 0x03BF: "o", 0x03B1: "a", 0x03C1: "p", 0x03BD: "v", 0x039F: "O",
-        0x0391: "A", 0x0395: "E", 0x2024: ".", 0x3002: ".", 0xFE52: ".", 0xFE6B: "@", 0xFE62: "+", 0x2010: "-",
+        0x0391: "A", 0x0392: "B", 0x0395: "E", 0x0396: "Z", 0x0397: "H", 0x0399: "I", 0x039A: "K", 0x039C: "M",
+        0x039D: "N", 0x03A1: "P", 0x03A4: "T", 0x03A5: "Y", 0x03A7: "X", 0x03BA: "k", 0x03C5: "u", 0x03C7: "x",
+        0x0432: "b", 0x043A: "k", 0x043C: "m", 0x043D: "h", 0x0442: "t", 0x04BB: "h", 0x04CF: "l", 0x2024: ".", 0x3002: ".", 0xFE52: ".", 0xFE6B: "@", 0xFE62: "+", 0x2010: "-",
         0x2011: "-", 0x2012: "-", 0x2013: "-", 0x2212: "-", 0x00A0: " ", 0x2009: " ", 0x202F: " ",
     }
     pairs |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
@@ -97,15 +105,24 @@ def _confusables() -> dict[int, str]:
 _SAME = _confusables()
 _ODD = re.compile("[" + "".join(map(chr, sorted(_SAME))) + "]")
 _UNSEEN = re.compile("[­​-‍⁠﻿]+")
-_DIGITS = dict(zip("zero one two three four five six seven eight nine".split(), "0123456789")) | {"oh": "0"}
-_SPELLED = "(?:" + "|".join(_DIGITS) + ")"
-_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -])?(?:{_SPELLED}|[0-9]+)(?:(?:[ -]|[ -]?(?:dot|\.|,)[ -]?)(?:{_SPELLED}|[0-9]+))+(?![A-Za-z])", re.I)
-_TOKEN = re.compile(rf"{_SPELLED}|[0-9]+|plus|dot|\.", re.I)
+# fixed values: digits in words, zero to nine
+_SPELLINGS = (
+    "zero one two three four five six seven eight nine", "oh", "null eins zwei drei vier fünf sechs sieben acht neun", "null ein zwo drei vier fuenf",
+    "zéro un deux trois quatre cinq six sept huit neuf", "zero une", "cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
+_DIGITS = {w: str(k) for line in _SPELLINGS for k, w in enumerate(line.split())}
+_SPELLED = "(?:" + "|".join(sorted(_DIGITS, key=lambda w: (-len(w), w))) + ")"
+_POINT = "(?:dot|punkt|punto|point)"
+_RUN = re.compile(rf"(?<![^\W_])(?:(?:plus|más)[ -])?(?:{_SPELLED}|[0-9]+)(?:(?:[ -]|[ -]?(?:{_POINT}|\.|,)[ -]?)(?:{_SPELLED}|[0-9]+))+(?![^\W\d_])", re.I)
+_TOKEN = re.compile(rf"{_SPELLED}|[0-9]+|plus|más|{_POINT}|\.", re.I)
+_SIGN = {"plus": "+", "más": "+", "dot": ".", "punkt": ".", "punto": ".", "point": ".", ".": "."}
 _WORD = re.compile(_SPELLED, re.I)
-_BRACKETED = re.compile(r"\x20?[\[({<]\x20?(at|dot|@|\.|punkt|punto|point|arroba)\x20?[\])}>]\x20?", re.I)
-_BARE = re.compile(r"(?<=[A-Za-z0-9])\x20+at\x20+([A-Za-z0-9-]+)((?:\x20+dot\x20+[A-Za-z0-9-]+)+)(?![A-Za-z0-9])", re.I)
-_DOT = re.compile(r"\x20+dot\x20+", re.I)
-_AT = frozenset(("at", "@", "arroba"))
+_AT = re.compile(r"\x20{0,4}[\[({<]\x20?(?:at|@|arroba|arobase)\x20?[\])}>]\x20{0,4}|(?P<bare>\x20{1,4}(?:at|arroba|arobase)\x20{1,4})|@", re.I)
+_BRACKETED = re.compile(rf"\x20{{0,4}}[\[({{<]\x20?(?:{_POINT}|\.)\x20?[\])}}>]\x20{{0,4}}", re.I)
+_DOT = re.compile(rf"{_BRACKETED.pattern}|\x20{{1,4}}{_POINT}\x20{{1,4}}", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_MAIL = re.compile("mail|contact|kontakt|contacto|correo|reach|write|schreib|écri|escrib", re.I)
+_SIGNED = re.compile(r"[0-9._%+-]")
 
 
 class Rewritten:
@@ -136,20 +153,60 @@ class Rewritten:
         return a, b, b - a != end - start or any(x[2] for x in self.source[first : last + 1])
 
 
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """Rewritings of the disguised signs of e-mail addresses, found from each at."""
+    dots = [m.span() for m in _DOT.finditer(text)]
+    by_start, by_end = {a: b for a, b in dots}, {b: a for a, b in dots}
+    found, done = [], 0
+    for m in _AT.finditer(text):
+        edits, a, z = [], m.start(), m.end()
+        if (a == z - 1) and not dots:  # a real at among real dots is a base span
+            continue
+        while True:  # the local part, backwards
+            start = a
+            while a > done and text[a - 1] in _LOCAL:
+                a -= 1
+            if a == start or a not in by_end or by_end[a] <= done:
+                break
+            edits.append((by_end[a], a, "."))
+            a = by_end[a]
+        if a == start and edits:  # a dot with nothing before it
+            a = edits.pop()[1]
+        if a == m.start():
+            continue
+        labels, hard = 0, False
+        while label := _LABEL.match(text, z):
+            labels, z = labels + 1, label.end()
+            if text.startswith(".", z) and _LABEL.match(text, z + 1):
+                z += 1
+            elif z in by_start and _LABEL.match(text, by_start[z]):
+                hard = True
+                edits.append((z, by_start[z], "."))
+                z = by_start[z]
+            else:
+                break
+        if labels < 2:
+            continue
+        if m["bare"] and not hard and not edits:
+            if not _SIGNED.search(text, a, m.start()) and not _MAIL.search(text, max(done, a - 30), a):
+                continue
+        if m.end() - m.start() > 1:
+            edits.append((m.start(), m.end(), "@"))
+        found += edits
+        done = z
+    return found
+
+
 def _edits(text: str) -> list[tuple[int, int, str]]:
-    """Non-overlapping rewritings by place: invisible characters, bracketed and bare disguises, spelled digits."""
-    low = text.lower()
+    """Non-overlapping rewritings by place: invisible characters, disguised signs, spelled digits."""
     found = [] if text.isascii() else [(m.start(), m.end(), "") for m in _UNSEEN.finditer(text)]
     if any(c in text for c in "[({<"):
-        found += [(m.start(), m.end(), "@" if m[1].lower() in _AT else ".") for m in _BRACKETED.finditer(text)]
-    if " dot " in low:
-        for m in _BARE.finditer(text):
-            found.append((m.start(), m.start(1), "@"))
-            found += [(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in _DOT.finditer(m[2])]
+        found += [(m.start(), m.end(), ".") for m in _BRACKETED.finditer(text)]
+    if _AT.search(text):
+        found += _addresses(text)
     for m in _RUN.finditer(text):
-        if len(_WORD.findall(m[0])) >= 3:
-            to = "".join({"plus": "+", "dot": ".", ".": "."}.get(w := t.lower()) or _DIGITS.get(w, w) for t in _TOKEN.findall(m[0]))
-            found.append((m.start(), m.end(), to))
+        if _WORD.search(m[0]):
+            found.append((m.start(), m.end(), "".join(_SIGN.get(w := t.lower()) or _DIGITS.get(w, w) for t in _TOKEN.findall(m[0]))))
     found.sort()
     kept, end = [], 0
     for a, b, to in found:
@@ -167,11 +224,11 @@ def hidden(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int,
     if not odd and not edits:
         return []
     new = Rewritten(plain, edits)
-    taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
+    taken = {k: Covered((a, b) for kind, a, b in base if kind == k) for k in KINDS}
     found = []
     for kind, a, b in identifiers(new.text):
         a, b, changed = new.back(a, b)
-        if (changed or text[a:b] != plain[a:b]) and not any(a < y and x < b for x, y in taken[kind]):
+        if (changed or text[a:b] != plain[a:b]) and not taken[kind].meets(a, b):
             found.append((kind, a, b))
     return found
 

@@ -3,8 +3,9 @@
 The base patterns find assignments, access keys and long hex strings. Beside them, the value after a credential word
 (`passphrase: …`, `pwd is …`) is cut into words, dates, repeats, keyboard walks and brute-force spans by a dynamic
 programme that minimises the decimal logarithm of the guesses an attacker needs; a value of at least GUESSES is added
-as a span of kind `guess`. Costs add up along the value, so the programme stops as soon as every way to go on costs
-enough, and a value of any length is judged whole.
+as a span of kind `guess`. Segments of every length are tried, so the cost is the least over all segmentations. Costs
+add up along the value, so the programme stops as soon as every way to go on costs enough, and a value of any length is
+judged whole.
 
 Offsets are code points, end exclusive. Null and empty texts have no spans, repeated rows repeat their results, an
 empty table gives an empty result, and other columns may have any name.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadlake.llm.byte_bpe import read_ranks
-from leadlake.llm.common import table, text_pass
+from leadlake.llm.common import Covered, table, text_pass
 from leadlake.llm.pii import in_order, joined_spans
 
 KINDS = ("assign", "access", "hex")
@@ -53,57 +54,77 @@ _ROWS = ("1234567890", "qwertyuiop", "qwertzuiop", "azertyuiop", "asdfghjkl", "z
 _NEXT = {(r[k], r[k + 1]) for r in _ROWS for k in range(len(r) - 1)}
 _NEXT |= {(b, a) for a, b in _NEXT}
 _LEET = str.maketrans("@4301!5$7", "aaeoiisst")
-_DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)[0-9]{2}")
+_DATES = (
+    re.compile(r"(?:19|20)[0-9]{2}[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12][0-9]|3[01])"),
+    re.compile(r"(?:0[1-9]|[12][0-9]|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)[0-9]{2}"),
+)
 _SEGMENT = math.log10(2)  # each further segment
-_LONGEST_WORD = 24
+_UNIT = 8  # characters of a repeated unit at most
 
 
 def _alphabet(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33)
 
 
-def guess_cost(value: str, words: dict[str, float], enough: float = math.inf) -> float:
+def _lower(value: str) -> str:
+    """Lower case, place by place."""
+    low = value.lower()
+    return low if len(low) == len(value) else "".join(x if len(x := c.lower()) == 1 else c for c in value)
+
+
+def guess_cost(value: str, words: dict[str, float], enough: float = math.inf, longest: int | None = None) -> float:
     """Least log10 of guesses over all segmentations of the whole value, or `enough` if that is no more.
 
     The programme fixes the places of the value in the order of their least cost, so it ends when the end of the value
-    is fixed or when all that is left costs enough.
+    is fixed or when all that is left costs enough. A repeat is offered one more time whenever its cost so far is
+    reached, so a long run of one character does not offer all its parts at once; a place reached by a repeat starts no
+    other one of the same run, which would cost more than going on. longest: length of the longest word.
     """
-    low = value.lower()
-    plain, n = low.translate(_LEET), len(value)
-    best = {0: 0.0}
-    heap = [(0.0, 0)]
+    low, n = _lower(value), len(value)
+    plain = low.translate(_LEET)
+    longest = max(map(len, words), default=0) if longest is None else longest
+    best, fixed = {0: 0.0}, set()
+    heap = [(0.0, 0, 0, 0, 0.0)]  # cost, place; of a repeat also the length of its unit, how many times, cost of one
+
+    def reach(j: int, cost: float) -> None:
+        if cost < best.get(j, math.inf):
+            best[j] = cost
+            heapq.heappush(heap, (cost, j, 0, 0, 0.0))
+
     while heap:
-        here, i = heapq.heappop(heap)
+        here, i, via, times, one = heapq.heappop(heap)
         if here >= enough:
             return enough
+        if via:
+            if value.startswith(value[i - via : i], i):
+                heapq.heappush(heap, (one + math.log10(times + 1), i + via, via, times + 1, one))
+            if via * times < 3:
+                continue
+        if i in fixed:
+            continue
+        fixed.add(i)
         if i == n:
             return here
-        if here > best[i]:
-            continue
         step = here + _SEGMENT * bool(i)
-        ways = [(i + 1, here + _alphabet(value[i]))]  # brute force, one more character
-        for j in range(i + 3, min(n, i + _LONGEST_WORD) + 1):
+        reach(i + 1, here + _alphabet(value[i]))  # brute force, one more character
+        for j in range(i + 3, min(n, i + longest) + 1):
+            capital = 0.3 * (value[i:j] != low[i:j])
             for text, more in ((low[i:j], 0.0), (plain[i:j], 0.5)):
                 if (rank := words.get(text)) is not None:
-                    ways.append((j, step + rank + more + 0.3 * (value[i:j] != low[i:j])))
-                    break
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            ways.append((m.end(), step + math.log10(365.25 * 200)))
+                    reach(j, step + rank + more + capital)
+        if value[i].isdigit():
+            for m in filter(None, (d.match(value, i) for d in _DATES)):
+                reach(m.end(), step + math.log10(365.25 * 200))
         k = i + 1
         while k < n and (low[k - 1], low[k]) in _NEXT and step + 0.3 * (k - i) < enough:
             k += 1
             if k >= i + 4:
-                ways.append((k, step + math.log10(94) + 0.3 * (k - i)))
-        for unit in range(1, min(8, (n - i) // 2) + 1):
-            k = i + unit
-            while value.startswith(value[i : i + unit], k):
-                k += unit
-            if (times := (k - i) // unit) >= 2 and k - i >= 3:
-                ways.append((k, step + sum(map(_alphabet, value[i : i + unit])) + math.log10(times)))
-        for j, cost in ways:
-            if cost < best.get(j, math.inf):
-                best[j] = cost
-                heapq.heappush(heap, (cost, j))
+                reach(k, step + math.log10(94) + 0.3 * (k - i))
+        one = step
+        for unit in range(1, min(_UNIT, (n - i) // 2) + 1):
+            one += _alphabet(value[i + unit - 1])
+            if value.startswith(value[i : i + unit], i + unit) and not (via and unit % via == 0 and value.startswith(value[i - via : i] * (unit // via), i)):
+                heapq.heappush(heap, (one + math.log10(2), i + 2 * unit, unit, 2, one))
     return best[n]
 
 
@@ -117,14 +138,15 @@ def dictionary(path: str) -> dict[str, float]:
     return found
 
 
-def guessed(text: str, base: list[tuple[str, int, int]], words: dict[str, float]) -> list[tuple[str, int, int]]:
+def guessed(text: str, base: list[tuple[str, int, int]], words: dict[str, float], longest: int | None = None) -> list[tuple[str, int, int]]:
     """Values in a credential context that cost at least GUESSES and overlap no base span."""
     if not _HEAD.search(text):
         return []
+    taken = Covered((a, b) for _, a, b in base)
     return [
         ("guess", m.start(1), m.end(1))
         for m in _CONTEXT.finditer(text)
-        if m.end(1) - m.start(1) >= 6 and not any(a < m.end(1) and m.start(1) < b for _, a, b in base) and guess_cost(m[1].rstrip(".,;:!?)"), words, GUESSES) >= GUESSES
+        if m.end(1) - m.start(1) >= 6 and not taken.meets(*m.span(1)) and guess_cost(m[1].rstrip(".,;:!?)"), words, GUESSES, longest) >= GUESSES
     ]
 
 
@@ -137,10 +159,11 @@ def find_secrets(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def make():
         words = broadcast.value
+        longest = max(map(len, words), default=0)
 
         def work(texts):
             base = [patterns(t) if t else [] for t in texts]
-            added = [guessed(t, x, words) if t else [] for t, x in zip(texts, base)]
+            added = [guessed(t, x, words, longest) if t else [] for t, x in zip(texts, base)]
             rows = lambda found: [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in found]
             return rows(base), rows(added)
 

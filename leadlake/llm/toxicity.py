@@ -129,9 +129,9 @@ class Classifier:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """docs joined to labels (id, toxic 0/1) on the id; null ids, texts and labels are not used."""
     rows = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
-    chosen = F.broadcast(checkpoint(bounded_sample(rows, "toxic", SAMPLE)).dropDuplicates(["id"]))  # bounded: 2 * SAMPLE ids
+    chosen = F.broadcast(checkpoint(bounded_sample(rows, SAMPLE, "toxic")).dropDuplicates(["id"]))  # bounded: 2 * SAMPLE ids
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(chosen, "id")
-    texts = checkpoint(texts.dropDuplicates(["id"]).repartition(12))
+    texts = checkpoint(texts.dropDuplicates(["id"]).repartition("id"))
     part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3))
     mean = texts.agg(F.avg("toxic")).first()[0]
     if mean in (None, 0.0, 1.0):

@@ -1,10 +1,15 @@
 """Personal data, secrets and byte-level BPE against plain versions."""
 
 import hashlib
+import itertools
+import math
+import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -71,14 +76,93 @@ def test_secrets(spark):
     assert got[0] == got[1] == ([], [])
 
 
+def exhaustive_cost(value, words):
+    """Least cost by trying every first segment of every rest."""
+    s = secret_scan
+    low, plain = value.lower(), value.lower().translate(s._LEET)
+
+    def segments(i):
+        yield i + 1, s._alphabet(value[i]), False
+        for j in range(i + 2, len(value) + 1):
+            part = value[i:j]
+            for text, more in ((low[i:j], 0.0), (plain[i:j], 0.5)):
+                if len(part) >= 3 and text in words:
+                    yield j, words[text] + more + 0.3 * (part != low[i:j]), True
+            if any(d.fullmatch(part) for d in s._DATES):
+                yield j, math.log10(365.25 * 200), True
+            if len(part) >= 4 and all(p in s._NEXT for p in zip(low[i:j], low[i + 1 : j])):
+                yield j, math.log10(94) + 0.3 * len(part), True
+            for unit in range(1, 9):
+                times = len(part) // unit
+                if len(part) >= 3 and times >= 2 and part == part[:unit] * times:
+                    yield j, sum(map(s._alphabet, part[:unit])) + math.log10(times), True
+
+    def least(i):
+        return min((c + s._SEGMENT * (whole and i > 0) + least(j) for j, c, whole in segments(i)), default=0.0) if i < len(value) else 0.0
+
+    return least(0)
+
+
 def test_guess_cost_is_the_least_over_all_segmentations():
-    words = {"password": 1.0, "dragon": 2.0}
-    assert secret_scan.guess_cost("password", words) == 1.0
-    assert secret_scan.guess_cost("passworddragon", words) < secret_scan.guess_cost("passworddragom", words)
-    assert secret_scan.guess_cost("aaaaaaaaaaaa", {}) < 3
-    assert secret_scan.guess_cost("19991231", {}) < 5
-    assert secret_scan.guess_cost("x" * 100_000 + "q9", {}, 10.0) < 10
-    assert secret_scan.guess_cost("k9$Lq2@xV7" * 1000, {}, 10.0) == 10.0
+    words = {"apple": 1.0, "pass": 2.0, "word": 1.5, "password": 1.2, "ass": 0.7, "zzz": 2.2}
+    rng = random.Random(1)
+    parts = ["a", "p", "apple", "pass", "1", "19", "2020", "01", "12", "qwer", "as", "Z", "$", "0", "-", "ord", "@ss", "abab"]
+    values = ["aaaapple", "passssss", "qwerqwer", "20201231", "İstpass"] + ["".join(rng.choices(parts, k=rng.randrange(1, 6)))[:9] for _ in range(1500)]
+    for v in values:
+        assert secret_scan.guess_cost(v, words) == pytest.approx(exhaustive_cost(v, words)) or len(v.lower()) != len(v)
+    assert secret_scan.guess_cost("aaaapple", {"apple": 1.0}) < 3.2
+    for v in ("x" * 200_000 + "q9", "12" * 100_000 + "z", "k9$Lq2@xV7" * 10_000):
+        assert secret_scan.guess_cost(v, words, 10.0) <= 10.0
+
+
+def test_secret_base_is_the_plain_patterns(spark):
+    def plain(t):
+        out = [("assign", *m.span()) for m in re.finditer("(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.I) if len(m[2]) >= 6]
+        out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        return out + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+
+    rng = random.Random(2)
+    parts = ["password", "Passwd", "secret", "ToKen", "api_key", "apikey", '"', "'", " ", ":", "=", "AKIA", "ABCDEFGHIJ", "0123456789", "abcdefab", "/+_.", "-", "\n", "é", "x"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(400)] + [None, "", "f" * 300_000, "token" * 50_000 + "=abcdefg", "password: " * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secret_scan.find_secrets(df, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for r in found.collect():
+        assert _spans(r.base) == plain(texts[r.doc_id] or "")
+        assert not any(a < y and x < b for _, a, b in _spans(r.added) for _, x, y in _spans(r.base))
+    assert secret_scan.find_secrets(df.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def test_pii_at_and_dot_in_every_combination():
+    signs = {"@": ["@", " at ", "[at]", " (at) ", " arroba ", "<@>"], ".": [".", " dot ", "[dot]", " (punkt) ", " punto ", "{.}"]}
+    for local in ("jane", "jane{.}smith", "j_1"):
+        for at, dots in itertools.product(signs["@"], itertools.product(signs["."], repeat=3)):
+            n = local.count("{.}")
+            address = local.replace("{.}", dots[2]) + at + "mail" + dots[0] + "example" + dots[1] + "org"
+            text = f"Ask: {address}, please"
+            base = pii.identifiers(text)
+            got = [(k, text[a:b]) for k, a, b in base + pii.hidden(text, base)]
+            bare_at_only = at in (" at ", " arroba ") and set(dots[:2]) | ({dots[2]} if n else set()) == {"."} and local == "jane"
+            if not bare_at_only and not base:
+                assert got == [("email", address)], text
+    for text in ("Mail jane at example.org now", "Reach jane at example.org"):
+        assert [text[a:b] for _, a, b in pii.hidden(text, [])] == ["jane at example.org"]
+    for text in ("We met at example.org today", "look at the dots. dot", "a point at issue", "three, four or five"):
+        assert pii.hidden(text, []) == []
+
+
+def test_pii_reads_digits_of_four_languages():
+    for text, kind in (
+        ("plus vier neun drei null eins zwei drei vier fünf", "phone"), ("plus quatre neuf trois zéro un deux trois quatre cinq", "phone"),
+        ("plus cuatro nueve tres cero uno dos tres cuatro cinco", "phone"), ("+49 one 7 0 1234567", "phone"), ("one nine two dot one six eight dot zero dot 1", "ip"),
+    ):
+        assert pii.hidden(text, pii.identifiers(text)) == [(kind, 0, len(text))]
+
+
+@pytest.mark.parametrize("text", ["a at " * 60_000, " dot " * 60_000, "@" * 100_000, "one " * 60_000, "[ dot ]" * 40_000, " " * 200_000, "a@b.c at x dot y " * 20_000])
+def test_pii_reads_long_texts_once(text):
+    began = time.time()
+    pii.hidden(text, pii.identifiers(text))
+    assert time.time() - began < 20
 
 
 def test_bpe_equals_tiktoken_and_round_trips(spark):
