@@ -135,6 +135,15 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(at, step)
 
 
+def joined_by_key(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows inner-joined to keys, which hold each key once and in `_rows` the number of rows that have it, `total` in
+    all. A key of at least one row in MOST_GROUPS is hot: there are at most MOST_GROUPS of them, so they are broadcast;
+    the other keys meet by a shuffle, in which none of them holds more than that share. keys is read three times."""
+    hot = F.col("_rows") * MOST_GROUPS >= total
+    few = F.broadcast(keys.filter(hot).drop("_rows"))
+    return rows.join(few, on).unionByName(rows.join(F.broadcast(keys.filter(hot).select(*on)), on, "left_anti").join(keys.filter(~hot).drop("_rows"), on))
+
+
 class Covered:
     """Spans of one text, merged, to tell whether another span meets one of them in logarithmic time."""
 

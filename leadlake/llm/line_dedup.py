@@ -8,9 +8,13 @@ least LEAST words that also stands earlier, by (document id, place), is removed;
   and so a fingerprint: none is missed.
 * Positions. Fingerprints are counted before any row is joined; windows whose fingerprint stands in one place only go.
   The others meet the first place of their window, one aggregation and one equi-join, with no pairs within a group.
+  Fingerprints and windows that a large share of all rows have are few, so they are joined by broadcast instead of
+  filling one task.
 * Extension. Each line of a shared run is in a window of that run that starts, or ends, further left or right; so the
   union of the repeated windows is the match extended both ways to its ends.
 
+A passage is found by its whole lines: of one that starts or ends inside a line, only the lines within it count.
+
 Null texts stay null and empty ones empty. Rows that repeat a document (same id and text) are the same place and get
 the same result; different texts under one id are different places, by the hash of the text. Null ids come first. An
 empty table gives an empty result; other columns stay and may have any name not starting with "_ld_".
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.common import checkpoint, release, table
+from leadlake.llm.common import checkpoint, joined_by_key, store, table, unstore
 
 #: Words of a run that is removed, at least.
 LEAST = 50
@@ -60,14 +64,18 @@ def _windows(docs: DataFrame, least: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs: (id, th, text). (id, th, runs): the line ranges {a, z} of each document that stand earlier elsewhere."""
-    windows = _windows(docs, least)
+    windows = store(_windows(docs, least))  # read twice
+    total = windows.count()
     place = F.struct("id", "th", "a")
-    prints = windows.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("print")
-    found = checkpoint(windows.join(prints, "print", "left_semi").drop("print"))
-    release(docs.sparkSession)
-    first = found.groupBy("k1", "k2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("k1", "k2", "lo")
-    later = found.join(first, ["k1", "k2"]).filter(place > F.col("lo"))
-    return later.groupBy("id", "th").agg(F.collect_list(F.struct("a", "z")).alias("runs"))  # one document's own runs
+    prints = windows.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("_rows"))
+    prints = store(prints.filter("lo <> hi").select("print", "_rows"))
+    found = store(joined_by_key(windows, prints, ["print"], total).drop("print"))
+    first = found.groupBy("k1", "k2").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("_rows"))
+    first = store(first.filter("lo <> hi").select("k1", "k2", "lo", "_rows"))
+    later = joined_by_key(found, first, ["k1", "k2"], total).filter(place > F.col("lo"))
+    runs = checkpoint(later.groupBy("id", "th").agg(F.collect_list(F.struct("a", "z")).alias("runs")))  # one document's own runs
+    unstore(windows, prints, found, first)
+    return runs
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
