@@ -22,6 +22,15 @@ FEEDBACK_OUTCOME = {
 FEEDBACK_STATUS = {"lead_accepted": "qualified", "opportunity_created": "qualified", "contacted": "contacted", "meeting_booked": "meeting", "lead_rejected": "disqualified", "not_relevant": "disqualified"}
 SENIORITY_RANK = {"c_level": 5, "vp": 4, "director": 3, "head": 3, "manager": 2, "staff": 1, "unknown": 0}
 TIER_PROVIDER = {4: "web", 3: "registry", 2: "third_party", 1: "third_party", 0: "other"}
+TYPE_WEIGHTS = {"contract_award": 1.0, "award": 1.0, "work_order": 0.9, "funding": 0.9, "tender": 0.6, "policy": 0.4, "scheme": 0.6, "approval": 0.5, "expansion": 0.7}
+# words that mark a headline as one kind of company signal
+NEWS_FAMILIES = {
+    "recent_contracts": ("contract", "awarded", "work order", "tender", "bags order", "wins order", "order worth"),
+    "expansion_activity": ("expansion", "expand", "new plant", "new facility", "sets up", "commissions", "capacity"),
+    "hiring_signals": ("hiring", "recruit", "jobs", "headcount", "workforce", "onboard"),
+    "funding_signals": ("funding", "raised", "investment", "series ", "ipo", "fundraise", "capital raise"),
+    "technology_activity": ("technology", " ai ", "platform", "digital", "software", "launches", "r&d", "innovation"),
+}
 AUTHORITIES = (
     ("eprocure.gov.in", 1.00), ("gem.gov.in", 1.00), ("defprocurement", 1.00), ("api.data.gov.in", 0.95), ("data.gov.in", 0.95), ("pib.gov.in", 0.98),
     ("bseindia.com", 0.97), ("nseindia.com", 0.97), ("rbi.org.in", 0.98), ("sebi.gov.in", 0.98), ("economictimes", 0.85), ("business-standard", 0.85),
@@ -92,11 +101,23 @@ def grade(total: Column) -> Column:
     return F.when(total >= 80, "A").when(total >= 65, "B").when(total >= 45, "C").when(total >= 25, "D").otherwise("F")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), where a lambda that repeats the value evaluates it only once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def hashed_counts(text: Column, dim: int = 128) -> Column:
+    """Token counts by bucket, the last byte of the token's MD5: a map of the buckets (at most 256) that occur."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    bucket = F.array_sort(F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 31, 2), 16, 10).cast("int") % dim)))
+    first = lambda b: F.filter(F.transform(b, lambda x, i: F.when((i == 0) | (F.get(b, i - 1) != x), i)), lambda i: i.isNotNull())
+    count = lambda b, s: F.transform(s, lambda p, k: F.struct(F.get(b, p), (F.coalesce(F.get(s, k + 1), F.size(b)) - p).cast("double")))
+    return _once(bucket, lambda b: F.map_from_entries(_once(first(b), lambda s: count(b, s))))
+
+
 def hashed_embedding(text: Column, dim: int = 128) -> Column:
     """Token counts in `dim` (at most 256) buckets by the last byte of the token's MD5, for token order see tokens."""
-    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
-    bucket = F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 31, 2), 16, 10).cast("int") % dim))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(bucket, lambda b: b == k)).cast("double"))
+    return _once(hashed_counts(text, dim), lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0))))
 
 
 def cosine(a: Column, b: Column) -> Column:

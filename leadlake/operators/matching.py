@@ -1,11 +1,15 @@
 """Entity matching: event reports to canonical events, company observations to companies.
 
-Edges come from equi-joins on normal forms, never from all pairs; the two order-dependent steps (leader clustering,
-the company fold) run on the edges or inside one connected component.
+Rows that share a key are never paired with each other: each meets the first row of its key, or the key's own summary.
+Pairs are formed only where values must be compared, and then inside bands of value and date or among rows that share
+rare parts. The two order-dependent steps are leader clustering, in parallel rounds, and the company fold, one ordered
+stream per connected component.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from functools import reduce
 
 import pandas as pd
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 
 from leadlake.functions import text as tx
 from leadlake.functions import values as v
+from leadlake.operators.joins import by_key
 from leadlake.session import checkpointed, ship
 
 # --- similarity ---
@@ -34,20 +39,28 @@ def fuzzy_pairs(names: DataFrame, least: float = 0.9) -> DataFrame:
     """(a, b, ratio) of names (id, name) with a ratio of at least `least`, earlier id first; candidates share one of
     the rarest trigrams of both names.
 
-    At this ratio at most a tenth of both lengths is unmatched, so the names share at least 0.45 L - 2 (0.1 L + 1)
-    trigrams; a name's rarest n - need + 1 trigrams must then meet the other's. Trigrams of normal forms number at most
-    37^3, which bounds the table of counts.
+    Names of lengths L and M have K = ratio (L + M) / 2 matched characters in at most U + 1 blocks, where U = L + M - 2 K
+    are left over; blocks of K characters hold at least K - 2 (U + 1) trigram places. The least of that over all M gives
+    the trigrams that must be shared, less those that the name repeats; a name's rarest k - need + 1 of k trigrams must
+    then meet the other's. Trigrams of normal forms number at most 37^3, which bounds the table of counts.
     """
     ship(names.sparkSession)
     n = F.length("name")
-    grams = F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(F.col("name"), i, F.lit(3))))).otherwise(F.array("name"))
+    places = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(F.col("name"), i, F.lit(3)))
+    grams = F.when(n >= 3, F.array_distinct(places)).otherwise(F.array("name"))
     rows = names.filter("name <> ''").withColumn("g", grams)
     counts = rows.select(F.explode("g").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     own = rows.select("id", "name", F.size("g").alias("k"), F.explode("g").alias("t")).join(counts, "t")
-    length = F.length("name") / least  # of both names together, at least twice the shorter one
-    need = F.greatest(F.lit(1), F.ceil(0.9 * F.length("name")) - 2 * (F.floor(0.2 * length) + 1)).cast("int")
+
+    def shared(m: Column) -> Column:
+        over = F.floor((1 - least) * (n + m) + 1e-9)
+        over = over - F.pmod(over + n + m, F.lit(2))  # as odd as both lengths together
+        return F.when(over >= 0, (n + m - over) / 2 - 2 * (over + 1))
+
+    lengths = F.sequence(F.ceil(n * least / (2 - least) - 1e-9).cast("int"), F.floor(n * (2 - least) / least + 1e-9).cast("int"))
+    need = (F.array_min(F.transform(lengths, shared)) - F.greatest(n - 2 - F.col("k"), F.lit(0))).cast("int")
     order = own.groupBy("id", "name", "k").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))  # one name's trigrams
-    prefix = order.select("id", "name", F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), F.col("k") - need + 1))).alias("x")).select("id", "name", "x.t")
+    prefix = order.select("id", "name", F.explode(F.slice("o", F.lit(1), F.col("k") - F.greatest(need, F.lit(1)) + 1)).alias("x")).select("id", "name", "x.t")
     a, b = prefix.select(F.col("id").alias("a"), F.col("name").alias("na"), "t"), prefix.select(F.col("id").alias("b"), F.col("name").alias("nb"), "t")
     fits = (F.col("a") < F.col("b")) & (2 * F.least(F.length("na"), F.length("nb")) >= least * (F.length("na") + F.length("nb")))
     pairs = a.join(b, "t").filter(fits).select("a", "b", "na", "nb").distinct()
@@ -65,29 +78,86 @@ def fingerprints(reports: DataFrame) -> DataFrame:
     )
 
 
+def identifier_keys(prints: DataFrame) -> DataFrame:
+    """(seq, k): the strong identifiers of reports."""
+    return prints.select("seq", F.explode("identifiers").alias("k")).distinct()
+
+
 def identifier_edges(prints: DataFrame) -> DataFrame:
-    """Pairs that share a strong identifier."""
-    x = prints.select("seq", F.explode("identifiers").alias("i"))
-    return x.select(F.col("seq").alias("a"), "i").join(x.select(F.col("seq").alias("b"), "i"), "i").filter("a < b").select("a", "b").distinct().withColumn("confidence", F.lit(0.98))
+    """(a, b, confidence): each report b with the first report a of one of its strong identifiers."""
+    keys = identifier_keys(prints)
+    first = checkpointed(keys.groupBy("k").agg(F.min("seq").alias("a"), F.count("*").alias("_rows")))
+    star = by_key(keys, first, ["k"], keys.count())
+    return star.filter("a < seq").select("a", F.col("seq").alias("b")).distinct().withColumn("confidence", F.lit(0.98))
 
 
 def composite_edges(prints: DataFrame) -> DataFrame:
-    """Pairs with equal buyer and company whose values and dates agree where both are present, at least one of them."""
-    x = prints.filter("buyer is not null and company is not null").select("seq", "buyer", "company", "value", "event_date")
-    a, b = x.select(*(F.col(c).alias(f"{c}_a") if c in ("seq", "value", "event_date") else c for c in x.columns)), x.select(*(F.col(c).alias(f"{c}_b") if c in ("seq", "value", "event_date") else c for c in x.columns))
+    """Pairs with equal buyer and company whose values and dates agree where both are present, at least one of them.
+    They meet in bands of value (2 %) and date (4 days), each with its neighbours."""
+    day, size = F.datediff("event_date", F.lit("1970-01-01").cast("date")), F.abs(F.col("value").cast("double"))
+    x = prints.filter("buyer is not null and company is not null").select(
+        "seq", "buyer", "company", "value", "event_date", F.floor(day / 4).alias("db"), F.when(size > 0, F.floor(F.log(size) / 0.0203)).when(size == 0, -(1 << 40)).alias("vb")
+    )
+    valued, dated = F.col("value").isNotNull(), F.col("event_date").isNotNull()
+
+    def pairs(left: DataFrame, right: DataFrame, *bands: str) -> DataFrame:
+        for band in bands:
+            right = right.withColumn(band, F.explode(F.array(F.col(band) - 1, F.col(band), F.col(band) + 1)))
+        one = lambda df, side: df.select("buyer", "company", *bands, *(F.col(c).alias(f"{c}_{side}") for c in ("seq", "value", "event_date")))
+        return one(left, "a").join(one(right, "b"), ["buyer", "company", *bands]).filter("seq_a <> seq_b").drop(*bands)
+
+    both = x.filter(valued & dated)
+    met = pairs(both, both, "vb", "db").filter("seq_a < seq_b")
+    met = met.unionByName(pairs(x.filter(valued & ~dated), x.filter(valued), "vb")).unionByName(pairs(x.filter(dated & ~valued), x.filter(dated), "db"))
     values, dates = v.value_close(F.col("value_a"), F.col("value_b")), v.date_close(F.col("event_date_a"), F.col("event_date_b"))
     agree = F.coalesce(values, F.lit(True)) & F.coalesce(dates, F.lit(True)) & (values.isNotNull() | dates.isNotNull())
-    return a.join(b, ["buyer", "company"]).filter((F.col("seq_a") < F.col("seq_b")) & agree).select(F.col("seq_a").alias("a"), F.col("seq_b").alias("b"), F.lit(0.9).alias("confidence"))
-
-
-def semantic_edges(prints: DataFrame, texts: DataFrame, known: DataFrame, least: float = 0.86) -> DataFrame:
-    """Pairs of one company or one buyer and day, not matched before, whose texts (seq, text) are alike."""
-    ship(prints.sparkSession)
-    x = prints.join(texts, "seq").select("seq", "company", "buyer", "event_date", v.hashed_embedding(F.col("text")).alias("e"))
-    a, b = x.select(F.col("seq").alias("a"), "company", "buyer", "event_date"), x.select(F.col("seq").alias("b"), "company", "buyer", "event_date")
-    keyed = a.join(b, ["company", "event_date"]).select("a", "b").unionByName(a.join(b, ["buyer", "event_date"]).select("a", "b")).filter("a < b").distinct().join(known, ["a", "b"], "left_anti")
-    ea, eb = x.select(F.col("seq").alias("a"), F.col("e").alias("ea")), x.select(F.col("seq").alias("b"), F.col("e").alias("eb"))
-    return keyed.join(ea, "a").join(eb, "b").withColumn("sim", v.cosine(F.col("ea"), F.col("eb"))).filter(F.col("sim") >= least).select("a", "b", F.least(F.lit(0.85), "sim").alias("confidence"))
+    return met.filter(agree).select(F.least("seq_a", "seq_b").alias("a"), F.greatest("seq_a", "seq_b").alias("b")).distinct().withColumn("confidence", F.lit(0.9))
+
+
+def semantic_classes(prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """(seq, k): reports with a company or a buyer and a text with a token, by a hash of company, buyer and text (128
+    bits): reports of one class are alike."""
+    j = prints.join(texts.select("seq", "text"), "seq").filter(F.coalesce("company", "buyer").isNotNull() & F.lower("text").rlike("[a-z0-9]"))
+    part = lambda c: F.coalesce(F.concat(F.lit("+"), c), F.lit("-"))
+    return j.select("seq", F.md5(F.concat_ws("\u0001", part("company"), part("buyer"), part("text"))).alias("k"), "company", "buyer", "text")
+
+
+def semantic_links(classes: DataFrame, least: float = 0.86, name_least: float = 0.6) -> DataFrame:
+    """(k, k2): classes whose texts have a cosine of `least` or more and whose companies or buyers have a name ratio of
+    `name_least` or more; in both directions.
+
+    Candidates share a bucket of the hashed embedding in the rarest buckets of both texts: those before the point from
+    which on the rest of a vector is too short to reach the cosine by itself."""
+    ship(classes.sparkSession)
+    one = checkpointed(classes.groupBy("k").agg(F.first("company").alias("company"), F.first("buyer").alias("buyer"), F.first("text").alias("text")).withColumn("e", v.hashed_counts(F.col("text"))))
+    posts = one.select("k", F.explode("e").alias("bucket", "n"))
+    often = posts.groupBy("bucket").agg(F.count("*").alias("df"))  # at most 128 rows
+    norm = F.aggregate("o", F.lit(0.0), lambda a, x: a + x["n"] * x["n"])
+    ordered = posts.join(F.broadcast(often), "bucket").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "bucket", "n"))).alias("o")).withColumn("norm", norm)
+    rest = lambda i: F.aggregate(F.slice("o", i + 1, F.size("o")), F.lit(0.0), lambda a, x: a + x["n"] * x["n"])
+    prefix = F.filter("o", lambda x, i: rest(i) >= (least * least - 1e-9) * F.col("norm"))
+    heads = ordered.select("k", F.explode(F.transform(prefix, lambda x: x["bucket"])).alias("bucket"))
+    pairs = heads.join(heads.withColumnRenamed("k", "k2"), "bucket").filter("k < k2").select("k", "k2").distinct()
+    side = lambda x: one.select(F.col("k").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("company", "buyer", "e")))
+    j = pairs.join(side("k"), "k").join(side("k2"), "k2")
+    dot = F.aggregate(F.map_entries("k_e"), F.lit(0.0), lambda a, x: a + x["value"] * F.coalesce(F.try_element_at("k2_e", x["key"]), F.lit(0)))
+    size = lambda c: F.sqrt(F.aggregate(F.map_values(c), F.lit(0.0), lambda a, x: a + x * x))
+    alike = j.filter(dot / (size("k_e") * size("k2_e")) >= least)
+    ratio = lambda c: F.coalesce(name_ratio(F.col(f"k2_{c}"), F.col(f"k_{c}")), F.lit(0.0))
+    named = alike.withColumn("r", F.greatest(ratio("company"), ratio("buyer"))).filter(F.col("r") >= name_least)
+    return named.select("k", "k2").unionByName(named.select(F.col("k2").alias("k"), F.col("k").alias("k2")))
+
+
+def semantic_edges(prints: DataFrame, texts: DataFrame, least: float = 0.86, name_least: float = 0.6) -> DataFrame:
+    """(a, b, confidence): of reports with alike texts and companies or buyers, each with the first of its class, and the
+    first ones of alike classes with each other. Dates play no part."""
+    classes = checkpointed(semantic_classes(prints, texts))
+    first = checkpointed(classes.groupBy("k").agg(F.min("seq").alias("a"), F.count("*").alias("_rows")))
+    star = by_key(classes.select("seq", "k"), first, ["k"], classes.count()).filter("a < seq").select("a", F.col("seq").alias("b"))
+    links = semantic_links(classes, least, name_least).filter("k < k2")
+    ends = first.select("k", "a")
+    across = links.join(ends, "k").join(ends.select(F.col("k").alias("k2"), F.col("a").alias("b")), "k2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return star.unionByName(across).withColumn("confidence", F.lit(0.85))
 
 
 def event_edges(prints: DataFrame) -> DataFrame:
@@ -95,34 +165,98 @@ def event_edges(prints: DataFrame) -> DataFrame:
     return identifier_edges(prints).unionByName(composite_edges(prints)).groupBy("a", "b").agg(F.max("confidence").alias("confidence"))
 
 
-def leaders(items: DataFrame, edges: DataFrame, decided: DataFrame | None = None) -> DataFrame:
+def candidate_counts(prints: DataFrame) -> DataFrame:
+    """(seq, candidates, first): how many other reports share the date, the company or the identifier of a report, and
+    the earliest of them, itself included. Counted by inclusion and exclusion over the blocks, without a pair."""
+    x = prints.select("seq", "event_date", "company", F.get("identifiers", F.lit(0)).alias("i"))
+    x = checkpointed(x)
+    total, keys = x.count(), ("event_date", "company", "i")
+    out = x
+    for n in range(1, 8):
+        on = [k for b, k in enumerate(keys) if n >> b & 1]
+        name = "_" + "".join(str(b) for b in range(3) if n >> b & 1)
+        full = x.dropna(subset=on)
+        block = checkpointed(full.groupBy(*on).agg(F.count("*").alias(name), F.min("seq").alias(f"{name}m"), F.count("*").alias("_rows")))
+        known = by_key(full.select("seq", *on), block, on, total).select("seq", name, f"{name}m")
+        out = out.join(known, "seq", "left")
+    size = lambda *names: sum((F.coalesce(f"_{n}", F.lit(0)) for n in names), F.lit(0))
+    number = size("0", "1", "2") - size("01", "02", "12") + size("012")
+    return out.select("seq", F.greatest(number - 1, F.lit(0)).cast("long").alias("candidates"), F.least(F.col("seq"), "_0m", "_1m", "_2m").alias("first"))
+
+
+def leaders(items: DataFrame, edges: DataFrame | None = None, decided: DataFrame | None = None, groups: tuple[tuple[DataFrame, DataFrame | None, float], ...] = ()) -> DataFrame:
     """(seq, canonical, confidence): what a sequential pass gives that links every item to its best earlier canonical
     item or makes it canonical, found in parallel rounds (the lexicographically first maximal independent set; Blelloch,
-    Fineman and Shun, SPAA 2012). edges: (a, b, confidence) with a < b. decided: canonical items of earlier runs.
-
-    In a round an undecided item without an earlier neighbour that is undecided or canonical becomes canonical; one
-    with an earlier canonical neighbour is linked. Rounds are few, as they follow the longest chain of decisions.
+    Fineman and Shun, SPAA 2012). edges: (a, b, confidence) with a < b. groups: (members (seq, k), alike (k, k2) or
+    None, confidence): all members of a key, and of alike keys, match each other; they are never paired. decided:
+    canonical items of earlier runs.
+
+    In a round an undecided item without an earlier match that is undecided or canonical becomes canonical; one with an
+    earlier canonical match is linked. Of a key, the earliest canonical and the earliest undecided member tell that for
+    all others. Rounds are as many as the longest chain of decisions in which each waits for the one before; a set of
+    reports of one event takes two, whatever its size.
     """
-    edges = checkpointed(edges)
-    touched = edges.select(F.explode(F.array("a", "b")).alias("seq")).distinct()
+    groups = tuple((checkpointed(m.select("seq", "k")), None if alike is None else checkpointed(alike.select("k", "k2")), c) for m, alike, c in groups)
+    edges = checkpointed(edges) if edges is not None else None
+    totals = [m.count() for m, _, _ in groups]
+    touched = [m.select("seq") for m, _, _ in groups] + ([edges.select(F.explode(F.array("a", "b")).alias("seq"))] if edges is not None else [])
+    touched = reduce(DataFrame.unionByName, touched).distinct()
     start = F.lit("?") if decided is None else F.when(F.col("_d").isNotNull(), "canonical").otherwise("?")
     state = touched if decided is None else touched.join(decided.select("seq", F.lit(1).alias("_d")), "seq", "left")
     state = checkpointed(state.select("seq", start.alias("state")))
-    while state.filter("state = '?'").head(1):
-        earlier = edges.join(state.select(F.col("seq").alias("a"), F.col("state").alias("sa")), "a").groupBy("b").agg(F.max(F.col("sa") == "canonical").alias("near"), F.max(F.col("sa") == "?").alias("open"))
-        joined = state.join(earlier, state.seq == F.col("b"), "left")
-        new = F.when(F.col("state") != "?", F.col("state")).when(F.coalesce("near", F.lit(False)), "linked").when(~F.coalesce("open", F.lit(False)), "canonical").otherwise("?")
-        state = checkpointed(joined.select("seq", new.alias("state")))
-    canonical = state.filter("state = 'canonical'").select(F.col("seq").alias("a"))
-    best = edges.join(canonical, "a").groupBy("b").agg(F.max_by(F.struct("a", "confidence"), F.struct("confidence", -F.col("a"))).alias("x"))
-    linked = state.filter("state = 'linked'").join(best, F.col("seq") == F.col("b")).select("seq", F.col("x.a").alias("canonical"), F.col("x.confidence").alias("confidence"))
-    return items.select("seq").join(linked, "seq", "left").select("seq", F.coalesce("canonical", "seq").alias("canonical"), "confidence")
 
+    def of_keys(members: DataFrame, alike: DataFrame | None, total: int, state: DataFrame, rows: DataFrame) -> DataFrame:
+        """(seq, done, open) of rows: the earliest canonical and the earliest undecided member of their key or alike ones."""
+        known = members.join(state, "seq")
+        first = known.groupBy("k").agg(F.min(F.when(F.col("state") == "canonical", F.col("seq"))).alias("done"), F.min(F.when(F.col("state") == "?", F.col("seq"))).alias("open"), F.count("*").alias("_rows"))
+        if alike is not None:
+            near = alike.join(first.select(F.col("k").alias("k2"), "done", "open"), "k2").select("k", "done", "open", F.lit(0).cast("long").alias("_rows"))
+            first = first.unionByName(near).groupBy("k").agg(F.min("done").alias("done"), F.min("open").alias("open"), F.sum("_rows").alias("_rows"))
+        return by_key(rows, checkpointed(first), ["k"], total).select("seq", "done", "open")
 
-def canonical_events(reports: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per canonical event with all its evidence: reports, values, first and last day. Nothing is dropped."""
+    while state.filter("state = '?'").head(1):
+        waiting = state.filter("state = '?'").select("seq")
+        told = []
+        if edges is not None:
+            e = edges.join(state.select(F.col("seq").alias("a"), F.col("state").alias("sa")), "a").join(waiting.withColumnRenamed("seq", "b"), "b", "left_semi")
+            told.append(e.select(F.col("b").alias("seq"), (F.col("sa") == "canonical").alias("near"), (F.col("sa") == "?").alias("open")))
+        for (members, alike, _), total in zip(groups, totals):
+            k = of_keys(members, alike, total, state, members.join(waiting, "seq", "left_semi"))
+            told.append(k.select("seq", F.coalesce(F.col("done") < F.col("seq"), F.lit(False)).alias("near"), F.coalesce(F.col("open") < F.col("seq"), F.lit(False)).alias("open")))
+        earlier = reduce(DataFrame.unionByName, told).groupBy("seq").agg(F.max("near").alias("near"), F.max("open").alias("open"))
+        new = F.when(F.col("state") != "?", F.col("state")).when(F.coalesce("near", F.lit(False)), "linked").when(~F.coalesce("open", F.lit(False)), "canonical").otherwise("?")
+        state = checkpointed(state.join(earlier, "seq", "left").select("seq", new.alias("state")))
+    linked = state.filter("state = 'linked'").select("seq")
+    found = []
+    if edges is not None:
+        canonical = state.filter("state = 'canonical'").select(F.col("seq").alias("a"))
+        found.append(edges.join(canonical, "a").select(F.col("b").alias("seq"), "a", "confidence"))
+    for (members, alike, confidence), total in zip(groups, totals):
+        k = of_keys(members, alike, total, state, members.join(linked, "seq", "left_semi"))
+        found.append(k.filter("done < seq").select("seq", F.col("done").alias("a"), F.lit(confidence).alias("confidence")))
+    best = reduce(DataFrame.unionByName, found).groupBy("seq").agg(F.max_by(F.struct("a", "confidence"), F.struct("confidence", -F.col("a"))).alias("x"))
+    out = linked.join(best, "seq").select("seq", F.col("x.a").alias("canonical"), F.col("x.confidence").alias("confidence"))
+    return items.select("seq").join(out, "seq", "left").select("seq", F.coalesce("canonical", "seq").alias("canonical"), "confidence")
+
+
+def canonicalise(prints: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """(seq, canonical, confidence) by shared identifiers, then buyer, company, value and date, then alike texts."""
+    groups = [(identifier_keys(prints), None, 0.98)]
+    if texts is not None:
+        classes = checkpointed(semantic_classes(prints, texts))
+        groups.append((classes.select("seq", "k"), semantic_links(classes), 0.85))
+    return leaders(prints.select("seq"), composite_edges(prints), groups=tuple(groups))
+
+
+def canonical_events(reports: DataFrame, links: DataFrame, companies: DataFrame | None = None) -> DataFrame:
+    """One row per canonical event with all its evidence: reports, values, first and last day, and, with companies
+    (seq, company_id), the company of its earliest report that has one. Nothing is dropped."""
     j = reports.join(links, reports.report_id == links.seq)
-    return j.groupBy("canonical").agg(F.count("*").alias("sources"), F.min("event_date").alias("first_seen"), F.max("event_date").alias("last_seen"), F.array_sort(F.collect_set("value")).alias("reported_values"))
+    more = []
+    if companies is not None:
+        j = j.join(companies.select("seq", F.col("company_id").alias("_c")), "seq", "left")
+        more = [F.min(F.when(F.col("_c").isNotNull(), F.struct("seq", "_c")))["_c"].alias("company_id")]
+    return j.groupBy("canonical").agg(F.count("*").alias("sources"), F.min("event_date").alias("first_seen"), F.max("event_date").alias("last_seen"), F.array_sort(F.collect_set("value")).alias("reported_values"), *more)
 
 
 # --- companies ---
@@ -140,11 +274,15 @@ def company_forms(observations: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(forms: DataFrame, key: str, confidence: Column | float) -> DataFrame:
-    x = forms.filter(F.col(key).isNotNull())
-    a, b = x.select(*(F.col(c).alias(f"{c}_a") for c in x.columns)), x.select(*(F.col(c).alias(f"{c}_b") for c in x.columns))
+def _first(forms: DataFrame, key: str, confidence: Column | float) -> DataFrame:
+    """Each observation (b) with the first one (a) that has its key."""
+    x = checkpointed(forms.filter(F.col(key).isNotNull()))
+    fields = [c for c in x.columns if c != key]
+    table = x.groupBy(key).agg(F.min_by(F.struct(*fields), "obs_id").alias("_a"), F.count("*").alias("_rows"))
+    j = by_key(x, checkpointed(table), [key], x.count())
+    named = j.select(*(F.col(c).alias(f"{c}_b") for c in fields), *(F.col(f"_a.{c}").alias(f"{c}_a") for c in fields), F.col(key).alias(f"{key}_a"), F.col(key).alias(f"{key}_b"))
     how = confidence if isinstance(confidence, Column) else F.lit(confidence)
-    return a.join(b, (F.col(f"{key}_a") == F.col(f"{key}_b")) & (F.col("obs_id_a") < F.col("obs_id_b"))).withColumns({"confidence": how, "kind": F.lit(key)})
+    return named.filter("obs_id_a < obs_id_b").withColumns({"confidence": how, "kind": F.lit(key)})
 
 
 def _no_conflict() -> Column:
@@ -152,27 +290,32 @@ def _no_conflict() -> Column:
     return ~reduce(lambda p, q: p | q, (F.coalesce(F.col(f"{k}_a") != F.col(f"{k}_b"), F.lit(False)) for k in ("cin", "gstin", "pan")))
 
 
+_ENDS = ("obs_id_a AS a", "obs_id_b AS b")
+
+
 def conflicts(forms: DataFrame) -> DataFrame:
-    """Pairs with one core name that must not merge, as a registration id differs."""
-    return _pairs(forms, "core", 0.0).filter(~_no_conflict()).select(F.col("obs_id_a").alias("a"), F.col("obs_id_b").alias("b"))
+    """Observations that must not merge with another one of their core name, as a registration id differs: with the
+    first one that has such an id."""
+    return reduce(DataFrame.union, (_first(forms.filter(F.col(k).isNotNull()), "core", 0.0).filter(F.col(f"{k}_a") != F.col(f"{k}_b")).selectExpr(*_ENDS) for k in ("cin", "gstin", "pan"))).distinct()
 
 
 def key_matches(forms: DataFrame) -> DataFrame:
-    """(a, b, kind, confidence): best match on a registration id or domain, without conflicts; one equi-join per key."""
-    every = reduce(DataFrame.unionByName, (_pairs(forms, k, c) for k, c in KEYS)).filter(_no_conflict())
-    best = every.groupBy(F.col("obs_id_a").alias("a"), F.col("obs_id_b").alias("b")).agg(F.max(F.struct("confidence", "kind")).alias("x"))
-    return best.select("a", "b", "x.kind", "x.confidence")
+    """(a, b, kind, confidence): the best match of b with the first holder a of one of its registration ids or of its
+    domain, without conflicts."""
+    every = reduce(DataFrame.unionByName, (_first(forms, k, c).select("obs_id_a", "obs_id_b", *(f"{k}_{x}" for k in ("cin", "gstin", "pan") for x in "ab"), "confidence", "kind") for k, c in KEYS))
+    best = every.filter(_no_conflict()).groupBy(F.col("obs_id_b").alias("b")).agg(F.max(F.struct("confidence", (-F.col("obs_id_a")).alias("n"), "kind")).alias("x"))
+    return best.select((-F.col("x.n")).alias("a"), "b", "x.kind", "x.confidence")
 
 
 def name_matches(forms: DataFrame) -> DataFrame:
-    """Pairs with one core name: 0.92 where the city, or else the state, agrees, 0.85 otherwise."""
+    """Observations with the first one of their core name: 0.92 where the city, or else the state, agrees, 0.85 otherwise."""
     place = F.when(F.col("city_a").isNotNull() & F.col("city_b").isNotNull(), F.col("city_a") == F.col("city_b")).otherwise(F.coalesce(F.col("state_a") == F.col("state_b"), F.lit(False)))
-    return _pairs(forms, "core", F.when(place, 0.92).otherwise(0.85)).filter(_no_conflict()).select(F.col("obs_id_a").alias("a"), F.col("obs_id_b").alias("b"), "confidence")
+    return _first(forms, "core", F.when(place, 0.92).otherwise(0.85)).filter(_no_conflict()).selectExpr(*_ENDS, "confidence")
 
 
 def candidates(forms: DataFrame) -> DataFrame:
-    """Pairs that share any key, core or full name: a union of equi-joins instead of a join on a disjunction."""
-    return reduce(DataFrame.union, (_pairs(forms, k, 0.0).select(F.col("obs_id_a").alias("a"), F.col("obs_id_b").alias("b")) for k in ("cin", "gstin", "pan", "domain", "core", "full"))).distinct()
+    """Each observation with the first holders of its keys, core and full name: a union instead of a disjunction."""
+    return reduce(DataFrame.union, (_first(forms, k, 0.0).selectExpr(*_ENDS) for k in ("cin", "gstin", "pan", "domain", "core", "full"))).distinct()
 
 
 def key_groups(forms: DataFrame) -> DataFrame:
@@ -190,39 +333,104 @@ def key_groups(forms: DataFrame) -> DataFrame:
         label = nxt.select("obs_id", F.col("new").alias("grp"))
 
 
-def resolve(forms: DataFrame, most: int = 100_000) -> DataFrame:
+class _Companies:
+    """The companies of one key group as they are made, found by key in constant time."""
+
+    IDS = ("cin", "gstin", "pan")
+
+    def __init__(self):
+        self.made: list[dict] = []
+        self.by: dict[tuple, dict[str | None, list[int]]] = {}  # (key, value) -> company's cin -> companies, in order
+
+    def _put(self, n: int, key: str, value: str | None) -> None:
+        if value:
+            bisect.insort(self.by.setdefault((key, value), {}).setdefault(self.made[n]["cin"], []), n)
+
+    def first(self, r: dict, key: str, value: str | None) -> int | None:
+        """The earliest company with a key whose registration ids do not differ from those of a row."""
+        known = self.by.get((key, value)) if value else None
+        if not known:
+            return None
+        lists = known.values() if not r["cin"] else [known[c] for c in (r["cin"], None) if c in known]
+        agree = lambda n: not any(r[k] and self.made[n][k] and r[k] != self.made[n][k] for k in self.IDS)
+        return min((n for n in (next(filter(agree, x), None) for x in lists) if n is not None), default=None)
+
+    def named(self, r: dict, key: str, value: str | None):
+        """All companies with a name, in order, whose registration ids do not differ from those of a row."""
+        known = self.by.get((key, value), {}) if value else {}
+        lists = list(known.values()) if not r["cin"] else [known[c] for c in (r["cin"], None) if c in known]
+        return (n for n in heapq.merge(*lists) if not any(r[k] and self.made[n][k] and r[k] != self.made[n][k] for k in self.IDS))
+
+    def add(self, r: dict) -> int:
+        n = len(self.made)
+        self.made.append({k: None for k in (*self.IDS, "domain", "city", "state", "core")} | {"id": r["obs_id"], "aliases": set()})
+        self.learn(n, r)
+        self.made[n]["core"] = r["core"]
+        self._put(n, "core", r["core"])
+        return n
+
+    def learn(self, n: int, r: dict) -> None:
+        """Fill what the company lacks and add the name; an id that it gets moves it in the index."""
+        c = self.made[n]
+        if r["cin"] and not c["cin"]:
+            c["cin"] = r["cin"]
+            keys = [(k, c[k]) for k in ("gstin", "pan", "domain") if c[k]] + [("full", x) for x in c["aliases"]] + ([("core", c["core"])] if c["core"] else [])
+            for key in keys:
+                rows = self.by[key][None]
+                del rows[bisect.bisect_left(rows, n)]
+                self._put(n, *key)
+            self._put(n, "cin", c["cin"])
+        for k in ("gstin", "pan", "domain"):
+            if r[k] and not c[k]:
+                c[k] = r[k]
+                self._put(n, k, c[k])
+        c["city"], c["state"] = c["city"] or r["city"], c["state"] or r["state"]
+        if r["full"] not in c["aliases"]:
+            c["aliases"].add(r["full"])
+            self._put(n, "full", r["full"])
+
+
+def _fold(made: _Companies, r: dict) -> tuple[int, float | None]:
+    """Company and confidence of the next observation: the best match so far, the earliest of equals, or a new company.
+    A name counts only where no key agrees; in one place (0.92) it is worth more than a domain (0.90)."""
+    weight, n = next(((w, n) for k, w in KEYS[:3] if (n := made.first(r, k, r[k])) is not None), (0.0, None))
+    if n is None:
+        alike = heapq.merge(made.named(r, "core", r["core"]), made.named(r, "full", r["full"])) if r["core"] else ()
+        for m in alike:
+            c = made.made[m]
+            if r["domain"] and r["domain"] == c["domain"]:
+                continue
+            if r["city"] == c["city"] if r["city"] and c["city"] else bool(r["state"]) and r["state"] == c["state"]:
+                weight, n = 0.92, m
+                break
+            if n is None:
+                weight, n = 0.85, m
+        if weight < 0.9 and (m := made.first(r, "domain", r["domain"])) is not None:
+            weight, n = 0.9, m
+    if n is None:
+        n = made.add(r)
+    else:
+        made.learn(n, r)
+    return made.made[n]["id"], weight or None
+
+
+def resolve(forms: DataFrame) -> DataFrame:
     """(obs_id, company_id, confidence): the ordered fold that merges an observation into the best company so far, or
     makes a new one, with ids and aliases that grow as observations merge. Observations of different key groups cannot
-    influence each other, so each group is folded by itself. Groups of more than `most` rows (a shared key that is no
-    identity, such as a portal's domain) raise an error with the key count rather than being cut."""
+    influence each other, so each group is folded by itself, as a stream in the order of its ids; a task holds the
+    companies of one group, never its rows."""
     ship(forms.sparkSession)
     grouped = forms.join(key_groups(forms), "obs_id")
-    largest = grouped.groupBy("grp").count().agg(F.max("count")).first()[0]
-    if (largest or 0) > most:
-        raise ValueError(f"a key group holds {largest} observations; a key in it does not tell companies apart")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("obs_id").astype(object)
-        rows = rows.where(rows.notna(), None)
-        made, out = [], []
-        for r in rows.to_dict("records"):
-            best, how = None, 0.0
-            for c in made:
-                if any(r[k] and c[k] and r[k] != c[k] for k in ("cin", "gstin", "pan")):
-                    continue
-                conf = max((w for k, w in KEYS if r[k] and r[k] == c[k]), default=0.0)
-                if not conf and r["core"] and (r["core"] == c["core"] or r["full"] in c["aliases"]):
-                    near = r["city"] == c["city"] if r["city"] and c["city"] else bool(r["state"]) and r["state"] == c["state"]
-                    conf = 0.92 if near else 0.85
-                if conf > how:
-                    best, how = c, conf
-            if best is None:
-                best = dict(r, aliases=set(), id=r["obs_id"])
-                made.append(best)
-            best["aliases"].add(r["full"])
-            for k in ("cin", "gstin", "pan", "domain", "city", "state"):
-                best[k] = best[k] or r[k]
-            out.append((r["obs_id"], best["id"], how or None))
-        return pd.DataFrame(out, columns=["obs_id", "company_id", "confidence"]).astype({"confidence": "float64"})
-
-    return grouped.groupBy("grp").applyInPandas(fold, "obs_id long, company_id long, confidence double")
+
+    def run(batches):
+        group, made = None, _Companies()
+        for pdf in batches:
+            pdf = pdf.astype(object).where(pdf.notna(), None)
+            out = []
+            for r in pdf.to_dict("records"):
+                if r["grp"] != group:
+                    group, made = r["grp"], _Companies()
+                out.append((r["obs_id"], *_fold(made, r)))
+            yield pd.DataFrame(out, columns=["obs_id", "company_id", "confidence"]).astype({"confidence": "float64"})
+
+    return grouped.repartition("grp").sortWithinPartitions("grp", "obs_id").mapInPandas(run, "obs_id long, company_id long, confidence double")

@@ -12,12 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlake.functions.values import grade, lookup
+from leadlake.functions.values import TYPE_WEIGHTS, grade, lookup
 from leadlake.operators.opportunities import related
 
 CONFIG_SCHEMA = "version string, key string, label string, max_points int, params map<string, double>"
 # fixed values: the default configuration
-TYPE_WEIGHTS = {"contract_award": 1.0, "award": 1.0, "work_order": 0.9, "funding": 0.9, "tender": 0.6, "policy": 0.4, "scheme": 0.6, "approval": 0.5, "expansion": 0.7}
 DEFAULT = [
     ("sector_relevance", "Sector relevance", 25, {}), ("event_significance", "Event significance", 20, {"value_full": 1e9}), ("product_fit", "Product fit", 20, {"full_at": 0.85}),
     ("recency", "Recency", 15, {"full_days": 30.0, "zero_days": 365.0}), ("company_fit", "Company fit", 10, {}),
@@ -96,8 +95,10 @@ def points(fraction: Column, most: int) -> Column:
     return F.bround((held * most).cast("decimal(18,9)"), 0).cast("int")
 
 
-def score(inputs: DataFrame, rows: list[tuple], as_of: Column) -> DataFrame:
-    """inputs × versions of the configuration rows: version, total, grade and the array of components."""
+def score(inputs: DataFrame, rows: list[tuple], as_of: Column, scorers: dict[str, Callable[[dict, Column], Column]] | None = None) -> DataFrame:
+    """inputs × versions of the configuration rows: version, total, grade and the array of components. scorers: further
+    components by key, or others for known keys; each gives a fraction as a column of the inputs."""
+    known = SCORERS | (scorers or {})
     versions: dict[str, list[tuple]] = {}
     for r in rows:
         versions.setdefault(r[0], []).append(r)
@@ -105,7 +106,7 @@ def score(inputs: DataFrame, rows: list[tuple], as_of: Column) -> DataFrame:
     for version, parts in versions.items():
         made = []
         for _, key, label, most, params in parts:
-            scorer = SCORERS.get(key)
+            scorer = known.get(key)
             got = points(scorer(dict(params or {}), as_of), most) if scorer else F.lit(0)
             made.append(F.struct(F.lit(key).alias("key"), F.lit(label).alias("label"), got.alias("points"), F.lit(most).alias("max_points"), F.lit("" if scorer else "no scorer").alias("note")))
         scored.append(F.struct(F.lit(version).alias("version"), F.array(*made).alias("components")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2001-08-31"
-_TYPES = {"F": "contract_award", "O": "tender", "P": "work_order"}
+_TYPES = {"F": "contract_award", "O": "scheme", "P": "work_order"}
 _SECTORS = {"BUILDING": "Smart Cities", "AUTOMOBILE": "Defence", "MACHINERY": "e-Governance", "HOUSEHOLD": "Healthcare", "FURNITURE": "IT"}
 _PROJECTS = {
     "1-URGENT": "Smart city data centre", "2-HIGH": "construction project execution", "3-MEDIUM": "skill training mission",
@@ -81,7 +81,7 @@ def leads(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(
         k.alias("lead_id"), F.pmod(F.floor("c_acctbal"), F.lit(101)).cast("int").alias("score"), pick("c_mktsegment", _SECTORS).alias("sector"),
         F.when(k % 13 == 0, None).otherwise(F.concat(F.lit("product-"), (k % 5).cast("string"))).alias("product"),
-        F.when(k % 3 == 0, "tender").when(k % 3 == 1, "award").otherwise("work_order").alias("event_type"), F.col("c_name").alias("company"),
+        F.when(k % 3 == 0, "scheme").when(k % 3 == 1, "award").otherwise("work_order").alias("event_type"), F.col("c_name").alias("company"),
     )
 
 
@@ -127,7 +127,7 @@ VIEWS = {
     "fb": f"SELECT event_id AS seq, user_id AS lead_id, {_case('event_type', _FEEDBACK)} AS event_type, ts AS occurred_at FROM events",
     "ld": f"""SELECT c_custkey AS lead_id, ((floor(c_acctbal)::BIGINT % 101 + 101) % 101)::INTEGER AS score, {_case("c_mktsegment", _SECTORS)} AS sector,
       CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE 'product-' || (c_custkey % 5) END AS product,
-      CASE c_custkey % 3 WHEN 0 THEN 'tender' WHEN 1 THEN 'award' ELSE 'work_order' END AS event_type, c_name AS company FROM customer""",
+      CASE c_custkey % 3 WHEN 0 THEN 'scheme' WHEN 1 THEN 'award' ELSE 'work_order' END AS event_type, c_name AS company FROM customer""",
     "cl": """SELECT o_custkey AS company_id, o_orderkey AS seq, list_extract(['website', 'industry', 'hq_location', 'employee_range', 'recent_contracts', 'funding_signals'], (o_orderkey % 6 + 1)::BIGINT) AS field,
       'Value  ' || floor(o_totalprice / 100000)::BIGINT AS value, 'source-' || (o_orderkey % 7) AS source_name, (1 + o_orderkey % 4)::INTEGER AS tier, (o_orderkey % 50 + 40) / 100 AS confidence, o_orderdate AS retrieved_at FROM orders""",
     "ct": """SELECT c_custkey AS seq, c_nationkey AS company_id, CASE WHEN c_custkey % 2 = 0 THEN 'Dr. ' ELSE 'dr ' END || 'Person ' || ((c_custkey // 2) % 40) AS name,

@@ -292,7 +292,7 @@ def o6(s, d):
 # --- projections ---
 
 
-@query("F13_canonical_event", sql(f"SELECT event_id, {case('event_type', v.EVENT_TYPES, repr('other'))} AS event_type, project AS title, awardee, buyer, value, currency, CASE WHEN event_type = 'tender' THEN reference ELSE 'C-' || event_id END AS reference_number, event_date FROM ev", "ev"))
+@query("F13_canonical_event", sql(f"SELECT event_id, {case('event_type', v.EVENT_TYPES, repr('other'))} AS event_type, project AS title, awardee, buyer, value, currency, CASE WHEN event_type = 'scheme' THEN reference ELSE 'C-' || event_id END AS reference_number, event_date FROM ev", "ev"))
 def f13(s, d):
     e = identified(fx.events(s, d))
     title = F.coalesce("project", F.substring("reference", 1, 200), F.concat("event_type", F.lit(" event")))

@@ -90,7 +90,7 @@ def headlines(s, d):
     return j.select(feed, F.col("l_suppkey").alias("supp"), vertical.alias("vertical"), title.alias("title"), F.concat(F.date_format("l_shipdate", "E, dd MMM yyyy"), F.lit(" 10:00:00 GMT")).alias("date"))
 
 
-HEADLINES_SQL = f"SELECT l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AS feed_ord, l_suppkey AS supp, CASE WHEN l_suppkey % 2 = 0 THEN 'Banking' ELSE 'Pharma' END AS vertical, {HEADLINE} AS title, strftime(l_shipdate, '%a, %d %b %Y') || ' 10:00:00 GMT' AS date FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 20 = 0"
+HEADLINES_SQL = f"SELECT l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AS feed_ord, l_suppkey AS supp, CASE WHEN l_suppkey % 2 = 0 THEN 'Banking' ELSE 'Pharma' END AS vertical, {HEADLINE} AS title, strftime(l_shipdate, '%a, %d %b %Y') || ' 10:00:00 GMT' AS date FROM lineitem JOIN part ON l_partkey = p_partkey"
 
 
 @query("X09_amount_inr", sql("SELECT feed_ord, supp, CASE WHEN n <> '' THEN replace(n, ',', '')::DOUBLE * CASE WHEN u = 'billion' THEN 1e9 ELSE 1e7 END END AS amount FROM (SELECT *, regexp_extract(title, '(?i)(?:₹|Rs\\.?)\\s?([\\d,]+(?:\\.\\d+)?)\\s*(crore|cr|billion)\\b', 1) AS n, lower(regexp_extract(title, '(?i)(?:₹|Rs\\.?)\\s?([\\d,]+(?:\\.\\d+)?)\\s*(crore|cr|billion)\\b', 2)) AS u FROM hl)", more={"hl": HEADLINES_SQL}))
@@ -131,7 +131,7 @@ def x14(s, d):
     return fx.table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 3, v.currency_code(F.lit("eur"))).otherwise(v.currency_code(raw)).alias("currency"))
 
 
-@query("X15_strong_identifiers", sql("SELECT event_id, list_filter([CASE WHEN event_type = 'tender' THEN reference END, CASE WHEN event_type <> 'tender' THEN 'C-' || event_id END, CASE WHEN event_id % 3 = 0 THEN '' END, CASE WHEN event_id % 4 = 0 THEN 'P-' || company_id END, reference], lambda x: x IS NOT NULL AND x <> '') AS identifiers FROM ev", "ev"))
+@query("X15_strong_identifiers", sql("SELECT event_id, list_filter([CASE WHEN event_type = 'scheme' THEN reference END, CASE WHEN event_type <> 'scheme' THEN 'C-' || event_id END, CASE WHEN event_id % 3 = 0 THEN '' END, CASE WHEN event_id % 4 = 0 THEN 'P-' || company_id END, reference], lambda x: x IS NOT NULL AND x <> '') AS identifiers FROM ev", "ev"))
 def x15(s, d):
     e = identified(fx.events(s, d))
     return e.select("event_id", strong_identifiers().alias("identifiers"))
@@ -139,16 +139,16 @@ def x15(s, d):
 
 def identified(e):
     """Events with the five identifier columns."""
-    tender = F.col("event_type") == "tender"
+    scheme = F.col("event_type") == "scheme"
     return e.withColumns({
-        "tender_number": F.when(tender, F.col("reference")), "contract_number": F.when(~tender, F.concat(F.lit("C-"), "event_id")),
+        "notice_number": F.when(scheme, F.col("reference")), "contract_number": F.when(~scheme, F.concat(F.lit("C-"), "event_id")),
         "work_order_number": F.when(F.col("event_id") % 3 == 0, ""), "project_id": F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("P-"), "company_id")),
     })
 
 
 def strong_identifiers():
     """The identifiers in priority order, without nulls and empty ones."""
-    return F.filter(F.array("tender_number", "contract_number", "work_order_number", "project_id", "reference"), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.array("notice_number", "contract_number", "work_order_number", "project_id", "reference"), lambda x: x.isNotNull() & (x != ""))
 
 
 @query("X16_dedup_key", sql("SELECT event_id, sha1(concat_ws('|', event_type, lower(trim(awardee)), value || '.00', event_date::VARCHAR, lower(trim(buyer)), lower(trim(project)))) AS dedup_key FROM ev", "ev"))
@@ -264,7 +264,7 @@ def x47(s, d):
 
 
 AUTHORITY_SQL = "CASE WHEN url IS NULL OR url = '' THEN 1.0 " + " ".join(f"WHEN contains(host, '{k}') THEN {w}" for k, w in v.AUTHORITIES) + " WHEN ends_with(host, '.gov.in') OR ends_with(host, '.nic.in') THEN 0.96 ELSE 0.65 END"
-URLS = ("https://www.pib.gov.in/x", "http://tenders.nic.in/a", "https://m.economictimes.com:8080/b", "https://blog.example.com/", None)
+URLS = ("https://www.pib.gov.in/x", "http://eproc.nic.in/a", "https://m.economictimes.com:8080/b", "https://blog.example.com/", None)
 
 
 @query("J18_source_authority", f"SELECT page_id, {AUTHORITY_SQL} AS weight FROM (SELECT *, lower(coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), ''), url)) AS host FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '{URLS[0]}' WHEN 1 THEN '{URLS[1]}' WHEN 2 THEN '{URLS[2]}' WHEN 3 THEN '{URLS[3]}' WHEN 4 THEN NULL ELSE url END AS url FROM pages))")
@@ -274,26 +274,16 @@ def j18(s, d):
     return fx.table(s, d, "pages").select("page_id", v.authority(url).alias("weight"))
 
 
-NEWS_FAMILIES = {
-    # fixed values: words that mark a headline as one kind of company signal
-    "recent_contracts": ("contract", "awarded", "work order", "tender", "bags order", "wins order", "order worth"),
-    "expansion_activity": ("expansion", "expand", "new plant", "new facility", "sets up", "commissions", "capacity"),
-    "hiring_signals": ("hiring", "recruit", "jobs", "headcount", "workforce", "onboard"),
-    "funding_signals": ("funding", "raised", "investment", "series ", "ipo", "fundraise", "capital raise"),
-    "technology_activity": ("technology", " ai ", "platform", "digital", "software", "launches", "r&d", "innovation"),
-}
-
-
 def news_signals(articles):
     """(company_id, seq, title, snippet) -> one claim row per signal; every article is an announcement."""
     hay = F.lower(F.concat("title", F.lit(" "), "snippet"))
     claim = lambda field, conf: F.struct(F.lit(field).alias("field"), F.lit(conf).alias("confidence"))
-    found = [F.when(F.greatest(*(hay.contains(k) for k in words)), claim(field, 0.65)) for field, words in NEWS_FAMILIES.items()]
+    found = [F.when(F.greatest(*(hay.contains(k) for k in words)), claim(field, 0.65)) for field, words in v.NEWS_FAMILIES.items()]
     return articles.withColumn("x", F.explode(F.filter(F.array(claim("recent_announcements", 0.6), *found), lambda c: c.isNotNull()))).select("company_id", "seq", "x.field", "x.confidence", F.col("title").alias("value"), F.substring("snippet", 1, 300).alias("evidence"))
 
 
 _NEWS = "SELECT company_id, event_id AS seq, awardee || ' ' || project AS title, event_type || ' ' || reference AS snippet FROM ev"
-_NEWS_SQL = " UNION ALL ".join([f"SELECT company_id, seq, 'recent_announcements' AS field, 0.6 AS confidence, title AS value, substr(snippet, 1, 300) AS evidence FROM nw"] + [f"SELECT company_id, seq, '{f}', 0.65, title, substr(snippet, 1, 300) FROM nw WHERE " + " OR ".join(f"contains(lower(title || ' ' || snippet), '{w}')" for w in words) for f, words in NEWS_FAMILIES.items()])
+_NEWS_SQL = " UNION ALL ".join([f"SELECT company_id, seq, 'recent_announcements' AS field, 0.6 AS confidence, title AS value, substr(snippet, 1, 300) AS evidence FROM nw"] + [f"SELECT company_id, seq, '{f}', 0.65, title, substr(snippet, 1, 300) FROM nw WHERE " + " OR ".join(f"contains(lower(title || ' ' || snippet), '{w}')" for w in words) for f, words in v.NEWS_FAMILIES.items()])
 
 
 @query("X25_news_signals", sql(_NEWS_SQL, "ev", more={"nw": _NEWS}))

@@ -54,8 +54,7 @@ def match_reports(prints: DataFrame, path: str, checkpoint: str) -> StreamingQue
     def work(batch: DataFrame, n: int) -> None:
         old = _earlier(batch.sparkSession, path, schema, n).filter("seq = canonical").select("seq", "identifiers")
         every = old.unionByName(batch.select("seq", "identifiers"))
-        edges = matching.identifier_edges(every).join(batch.select(F.col("seq").alias("b")), "b", "left_semi").select("a", "b", "confidence")
-        found = matching.leaders(batch, edges, old).select("seq", "canonical")
+        found = matching.leaders(batch, None, old, ((matching.identifier_keys(every), None, 0.98),)).select("seq", "canonical")
         found.join(batch.select("seq", "identifiers"), "seq").select("seq", "canonical", "identifiers").write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return _start(prints, checkpoint, work)

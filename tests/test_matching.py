@@ -1,6 +1,11 @@
 """Matching against sequential versions and known cases."""
 
+import collections
+import datetime
+import hashlib
+import math
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -9,6 +14,7 @@ from pyspark.sql import functions as F
 from leadlake.functions import text as tx
 from leadlake.functions import values as v
 from leadlake.operators import matching as m
+from leadlake.session import checkpointed
 
 
 def fold(edges, n):
@@ -70,8 +76,132 @@ def test_companies(spark):
     got = {r.obs_id: r.company_id for r in m.resolve(f).collect()}
     assert got[1] == got[2] == got[3] == 1 and got[4] == 4 and got[5] == 5 and got[6] != got[7]
     assert [(r.a, r.b) for r in m.conflicts(f).collect()] == [(3, 4)]
-    with pytest.raises(ValueError):
-        m.resolve(f, most=2)
+
+
+def plain_resolve(rows):
+    """The fold over all companies made so far, one by one."""
+    made, out = [], {}
+    for r in rows:
+        best, how = None, 0.0
+        for c in made:
+            if any(r[k] and c[k] and r[k] != c[k] for k in ("cin", "gstin", "pan")):
+                continue
+            conf = max((w for k, w in m.KEYS if r[k] and r[k] == c[k]), default=0.0)
+            if not conf and r["core"] and (r["core"] == c["core"] or r["full"] in c["aliases"]):
+                near = r["city"] == c["city"] if r["city"] and c["city"] else bool(r["state"]) and r["state"] == c["state"]
+                conf = 0.92 if near else 0.85
+            if conf > how:
+                best, how = c, conf
+        if best is None:
+            best = dict(r, aliases=set(), id=r["obs_id"])
+            made.append(best)
+        best["aliases"].add(r["full"])
+        for k in ("cin", "gstin", "pan", "domain", "city", "state"):
+            best[k] = best[k] or r[k]
+        out[r["obs_id"]] = (best["id"], how or None)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_company_fold_equals_the_plain_loop(seed):
+    rng = random.Random(seed)
+    pick = lambda x, share: rng.choice(x) if rng.random() < share else None
+    rows = [
+        {"obs_id": i, "core": (core := pick(["a", "b", "c", "d"], 0.9)), "full": f"{core} {rng.choice(['ltd', 'pvt', 'a'])}", "cin": pick("123", 0.3), "gstin": pick("45", 0.2), "pan": pick("67", 0.2),
+         "domain": pick(["x.example", "portal.example"], 0.5), "city": pick(["p", "q"], 0.5), "state": pick(["s", "t"], 0.6)}
+        for i in range(250)
+    ]
+    made = m._Companies()
+    assert {r["obs_id"]: m._fold(made, r) for r in rows} == plain_resolve(rows)
+
+
+def test_a_portal_that_all_share_is_folded_whole(spark):
+    """A third of all rows under one domain: no row is paired with another, none is refused."""
+    rows = spark.range(3000).selectExpr("id AS obs_id", "concat('Firm ', id) AS raw_name", "concat('C', id) AS cin", "CAST(NULL AS string) AS gstin", "CAST(NULL AS string) AS pan", "'portal.example' AS website", "CAST(NULL AS string) AS city", "'KA' AS state")
+    f = m.company_forms(rows)
+    assert m.resolve(f).filter("obs_id <> company_id").count() == 0
+    assert m.candidates(f).count() == 2999 and m.key_matches(f).count() == 0
+
+
+def plain_events(reports, texts):
+    """The sequential pass over all canonical reports so far."""
+    def cosine(a, b):
+        va, vb = (collections.Counter(int(hashlib.md5(t.encode()).hexdigest()[-2:], 16) % 128 for t in re.split("[^a-z0-9]+", x.lower()) if t) for x in (a or "", b or ""))
+        size = math.sqrt(sum(x * x for x in va.values())) * math.sqrt(sum(x * x for x in vb.values()))
+        return sum(va[k] * vb[k] for k in va) / size if size else 0.0
+
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    norm = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).strip() or None if x else None
+    ident = lambda x: re.sub("[^A-Za-z0-9]", "", x).upper() if x else None
+    seen, out = [], {}
+    for seq, ref, buyer, company, value, day in reports:
+        me = (seq, ident(ref), norm(buyer), norm(company), value, day)
+        best = (0.0, None)
+        for other in seen:
+            conf = 0.0
+            if me[1] and me[1] == other[1]:
+                conf = 0.98
+            elif me[2] and me[3] and me[2:4] == other[2:4] and (None not in (me[4], other[4]) or None not in (me[5], other[5])) and (None in (me[4], other[4]) or abs(me[4] - other[4]) <= 0.02 * max(abs(me[4]), abs(other[4]))) and (None in (me[5], other[5]) or abs((me[5] - other[5]).days) <= 3):
+                conf = 0.9
+            elif texts[seq] and texts[other[0]] and cosine(texts[seq], texts[other[0]]) >= 0.86 and max(ratio(me[3], other[3]), ratio(me[2], other[2])) >= 0.6:
+                conf = 0.85
+            if conf > best[0]:
+                best = (conf, other[0])
+        if best[1] is None:
+            seen.append(me)
+        out[seq] = (best[1] or seq, best[0] or None)
+    return out
+
+
+def random_reports(seed, n=120):
+    rng = random.Random(seed)
+    day = datetime.date(2026, 1, 1)
+    buyers, names = ["Ministry of X", "Ministry of Y", "Rail Board", None], ["Acme Ltd", "Acme Limited", "Beta", "Zeta Infra", None]
+    words = "road bridge water supply metro rail phase one two three digital".split()
+    reports = [(i, rng.choice([None, None, "A/1", "a 1", "B-2", f"R{i}"]), rng.choice(buyers), rng.choice(names), rng.choice([None, 0, 100, 101, 102, 103, 5000]), rng.choice([None, day + datetime.timedelta(rng.randrange(20))])) for i in range(1, n)]
+    base = [" ".join(rng.choices(words, k=9)) for _ in range(12)]
+    return reports, {i: rng.choice([None, "", rng.choice(base), rng.choice(base) + " " + rng.choice(words), " ".join(rng.choices(words, k=6))]) for i in range(1, n)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_canonical_events_equal_the_sequential_pass(spark, seed):
+    reports, texts = random_reports(seed)
+    r = spark.createDataFrame(reports, "report_id long, reference string, buyer string, company string, value long, event_date date")
+    p = m.fingerprints(r)
+    t = spark.createDataFrame(list(texts.items()), "seq long, text string")
+    want = plain_events(reports, texts)
+    got = m.canonicalise(p, t)
+    assert {x.seq: (x.canonical, x.confidence) for x in got.collect()} == want
+    companies = spark.createDataFrame([(i, 10 * i) for i in range(3, 120)], "seq long, company_id long")
+    events = m.canonical_events(r, got, companies).collect()
+    assert sum(x.sources for x in events) == len(reports) and {x.canonical for x in events} == {c for c, _ in want.values()}
+    assert all(x.company_id == min(10 * i for i, (c, _) in want.items() if c == x.canonical and i >= 3) for x in events if any(c == x.canonical and i >= 3 for i, (c, _) in want.items()))
+
+
+def test_pair_counts_and_stars_of_events(spark):
+    reports, _ = random_reports(4)
+    r = spark.createDataFrame(reports, "report_id long, reference string, buyer string, company string, value long, event_date date")
+    p = checkpointed(m.fingerprints(r))
+    rows = {x.seq: x for x in p.collect()}
+    same = lambda a, b: any(x is not None and x == y for x, y in ((a.event_date, b.event_date), (a.company, b.company), ((a.identifiers or [None])[0], (b.identifiers or [None])[0])))
+    for x in m.candidate_counts(p).collect():
+        near = [s for s, y in rows.items() if s != x.seq and same(rows[x.seq], y)]
+        assert (x.candidates, x.first) == (len(near), min([*near, x.seq]))
+    want = set()
+    for a in rows.values():
+        for b in rows.values():
+            if a.seq < b.seq and a.buyer and a.company and (a.buyer, a.company) == (b.buyer, b.company):
+                v_, d_ = None not in (a.value, b.value), None not in (a.event_date, b.event_date)
+                if (v_ or d_) and (not v_ or abs(a.value - b.value) <= 0.02 * max(a.value, b.value)) and (not d_ or abs((a.event_date - b.event_date).days) <= 3):
+                    want.add((a.seq, b.seq))
+    assert {(x.a, x.b) for x in m.composite_edges(p).collect()} == want and want
+
+
+def test_similar_names_with_frequent_trigrams(spark):
+    """The shared trigrams are the most frequent ones, so only a long enough prefix holds them."""
+    rows = [(1, "abcdefghi"), (2, "abcxdefyghi")] + [(10 + k, x + "%05d" % k) for k, x in enumerate(["abcq", "defq", "ghiq"] * 40)]
+    got = {(r.a, r.b) for r in m.fuzzy_pairs(spark.createDataFrame(rows, "id long, name string")).collect()}
+    assert (1, 2) in got
 
 
 def test_fuzzy_pairs_equal_brute_force(spark):
