@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadlake.plans import entities, leads, outcomes, pipelines, records, registry, scalars  # noqa: F401  each module registers its queries
+from leadlake.plans import documents, entities, leads, outcomes, pipelines, records, registry, scalars  # noqa: F401  each module registers its queries
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES

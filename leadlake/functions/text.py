@@ -83,10 +83,10 @@ def without_tags(c: Column) -> Column:
 
 
 def unescaped(c: Column) -> Column:
-    """The five predefined HTML entities and the non-breaking blank."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Text with HTML entities (HTML 4 names, `&apos;`, decimal and hexadecimal numbers) as characters, each once, and
+    non-breaking blanks as blanks. The JVM library is one that Spark brings along."""
+    text = F.reflect(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), F.replace(c, F.lit("&apos;"), F.lit("&#39;")))
+    return F.when(F.contains(c, F.lit("&")), F.replace(text, F.lit("\u00a0"), F.lit(" "))).otherwise(c)
 
 
 def grounded_form(c: Column) -> Column:

@@ -106,7 +106,7 @@ def contacts(spark: SparkSession, d: str) -> DataFrame:
         k.alias("seq"), F.col("c_nationkey").alias("company_id"), name.alias("name"), title.alias("title"),
         F.when(k % 3 == 0, F.concat(F.lit("p"), k, F.when(k % 6 == 0, "@gmail.com").otherwise("@corp.example"))).alias("email"),
         F.when(k % 4 == 0, F.concat(F.lit("+91 98"), F.lpad(k.cast("string"), 8, "0"))).alias("phone"), F.concat(F.lit("source-"), (k % 2).cast("string")).alias("source_name"),
-        ((k % 40 + 50) / 100).alias("confidence"), (k % 5 == 0).alias("verified"),
+        ((k % 40 + 50) / 100).alias("confidence"), (k % 5 == 0).alias("verified"), (F.col("c_acctbal") < 0).alias("do_not_contact"),
     )
 
 
@@ -134,7 +134,7 @@ VIEWS = {
       list_extract(['Chief Information Officer', 'Director of IT', 'VP Sales', 'Head of Procurement', 'Project Manager', 'Analyst', NULL], (c_custkey % 7 + 1)::BIGINT) AS title,
       CASE WHEN c_custkey % 3 = 0 THEN 'p' || c_custkey || CASE WHEN c_custkey % 6 = 0 THEN '@gmail.com' ELSE '@corp.example' END END AS email,
       CASE WHEN c_custkey % 4 = 0 THEN '+91 98' || lpad(c_custkey::VARCHAR, 8, '0') END AS phone, 'source-' || (c_custkey % 2) AS source_name,
-      (c_custkey % 40 + 50) / 100 AS confidence, c_custkey % 5 = 0 AS verified FROM customer""",
+      (c_custkey % 40 + 50) / 100 AS confidence, c_custkey % 5 = 0 AS verified, c_acctbal < 0 AS do_not_contact FROM customer""",
 }
 _NEEDS = {"rp": ("ev",)}
 

@@ -221,17 +221,6 @@ def f16(s, d):
     return board_leads(s, d).select("lead_id", "company", "score", "grade", v.value_text(F.col("value"), F.lit("INR")).alias("value_text"), F.when(F.col("event_date").isNull(), "undated").otherwise(F.concat(age.cast("string"), F.lit(" days ago"))).alias("why_now"))
 
 
-@query("F17_lead_detail")
-def f17(s, d):
-    x = scored(s, d)
-    return x.select("event_id", "product_id", F.struct("awardee", "company_industry", "employee_range").alias("company"), F.struct("event_type", "value", "event_date", "buyer").alias("event"), "components")
-
-
-@query("F18_minimised_summary", sql("SELECT seq, name, title FROM ct", "ct"))
-def f18(s, d):
-    return fx.contacts(s, d).select("seq", "name", "title")
-
-
 @query("F19_usefulness", sql("SELECT lead_id, CASE WHEN value > 0 AND score >= 60 AND event_date IS NOT NULL THEN 'USEFUL' WHEN value > 0 THEN 'PARTIAL' ELSE 'WEAK' END AS verdict, list_filter([CASE WHEN coalesce(company, '') = '' THEN 'no company' END, CASE WHEN coalesce(value, 0) = 0 THEN 'no deal value' END, CASE WHEN score < 45 THEN 'low score' END, CASE WHEN event_date IS NULL THEN 'no why-now' END], lambda x: x IS NOT NULL) AS gaps, coalesce(date_diff('day', event_date, DATE '" + fx.AS_OF + "') > 365, false) AS outdated FROM bl", "ev", more=BOARD))
 def f19(s, d):
     has = F.coalesce("value", F.lit(0)) != 0
@@ -253,9 +242,8 @@ def a20(s, d):
 
 @query("O1_board_order", sql("SELECT lead_id, event_date, score, row_number() OVER (ORDER BY event_date DESC NULLS LAST, score DESC, lead_id) AS place FROM bl QUALIFY place <= 100", "ev", more=BOARD))
 def o1(s, d):
-    """The first hundred board rows, with their place; the limit comes before the numbering."""
-    top = bd.in_order(board_leads(s, d)).limit(100)
-    return top.select("lead_id", "event_date", "score", F.row_number().over(W.orderBy(F.col("event_date").desc_nulls_last(), F.desc("score"), "lead_id")).alias("place"))
+    """The first page of the board, a hundred rows with their place: a top-k report."""
+    return bd.first_page(board_leads(s, d), 100, F.col("event_date").desc_nulls_last(), F.desc("score"), F.col("lead_id")).select("lead_id", "event_date", "score", "place")
 
 
 @query("C10_lead_board", sql("SELECT lead_id, company, sector, product, event_date, value, score, grade FROM bl WHERE score >= 60 ORDER BY event_date DESC NULLS LAST, score DESC, lead_id", "ev", more=BOARD))

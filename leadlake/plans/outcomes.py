@@ -110,10 +110,10 @@ def f29(s, d):
     return wrong.join(fx.leads(s, d).select("lead_id", "company"), "lead_id").select("seq", "lead_id", "company")
 
 
-@query("F30_lead_history", sql("SELECT lead_id, list(event_type ORDER BY seq) AS history FROM fb WHERE lead_id % 10 = 3 GROUP BY lead_id", "fb"))
+@query("F30_lead_history", sql("SELECT lead_id, list(event_type ORDER BY seq) AS history FROM fb GROUP BY lead_id", "fb"))
 def f30(s, d):
-    """Whole feedback history of some leads, in order; one lead's rows only are gathered."""
-    h = few(s, d).filter("lead_id % 10 = 3").groupBy("lead_id").agg(F.array_sort(F.collect_list(F.struct("seq", "event_type"))).alias("h"))
+    """Whole feedback history of every lead, in order; one lead's rows only are gathered."""
+    h = few(s, d).groupBy("lead_id").agg(F.array_sort(F.collect_list(F.struct("seq", "event_type"))).alias("h"))
     return h.select("lead_id", F.transform("h", lambda x: x["event_type"]).alias("history"))
 
 
@@ -193,9 +193,9 @@ def w03(s, d):
     return hi.supersede(c.filter("seq % 3 > 0"), c.filter("seq % 3 = 0"), ["company_id", "source_name"], "seq").select("company_id", "source_name", "seq", "is_current")
 
 
-@query("W04_best_contact", sql("SELECT company_id, seq FROM ct WHERE seq % 10 <> 7 QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY verified DESC, coalesce(confidence, 0) DESC, seq) = 1", "ct"))
+@query("W04_best_contact", sql("SELECT company_id, seq FROM ct WHERE NOT do_not_contact QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY verified DESC, coalesce(confidence, 0) DESC, seq) = 1", "ct"))
 def w04(s, d):
-    return hi.first_by(fx.contacts(s, d).filter("seq % 10 <> 7"), ["company_id"], F.desc("verified"), F.desc(F.coalesce("confidence", F.lit(0.0))), F.col("seq")).select("company_id", "seq")
+    return hi.first_by(fx.contacts(s, d).filter("not do_not_contact"), ["company_id"], F.desc("verified"), F.desc(F.coalesce("confidence", F.lit(0.0))), F.col("seq")).select("company_id", "seq")
 
 
 @query("W05_latest_brief", "SELECT conv_id, arg_max(text, turn) AS latest, arg_min(text, turn) AS first FROM conversations GROUP BY conv_id")

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from leadlake.functions import text as tx
 from leadlake.functions import values as v
+from leadlake.operators import enrichment as en
+from leadlake.operators import opportunities as op
+from leadlake.operators import scoring as sc
 from leadlake.plans import fixtures as fx
 from leadlake.plans.fixtures import sql
-from leadlake.plans.leads import board_leads
+from leadlake.plans.leads import BOARD, MORE, SCORED, _pts, as_of, board_leads, score_inputs
 from leadlake.plans.registry import query
 from leadlake.plans.scalars import case
 from leadlake.session import shared_path, ship
@@ -50,15 +53,15 @@ def s03(s, d):
     return rd.csv_rows(s, path, "s_suppkey long, s_name string, s_nationkey int")
 
 
-@query("S04_file_bytes", "SELECT DISTINCT source, count(*) OVER (PARTITION BY source) AS docs FROM (SELECT 'src' || (page_id % 4) AS source FROM pages)")
+@query("S04_file_bytes", "SELECT source, count(*) AS docs, sum(strlen(url))::BIGINT AS bytes FROM (SELECT 'src' || (page_id % 4) AS source, regexp_replace(url, '\\s', '', 'g') AS url FROM pages) GROUP BY source")
 def s04(s, d):
-    """Whole files with provenance: one text file per source, counted by its lines."""
+    """Whole files with provenance: text files in a folder per source, as many as tasks wrote, counted by their lines."""
     path = shared_path(s, "files")
     p = fx.table(s, d, "pages").select(F.concat(F.lit("src"), (F.col("page_id") % 4).cast("string")).alias("source"), F.regexp_replace("url", r"\s", "").alias("value"))
-    p.repartition(1, "source").write.partitionBy("source").text(path)
+    p.write.partitionBy("source").option("maxRecordsPerFile", 1000).text(path)
     files = rd.file_bytes(s, f"{path}/*/*.txt", "landed")
-    lines = F.size(F.split(F.col("content").cast("string"), "\n")) - 1
-    return files.groupBy(F.regexp_extract("url", "source=([^/]+)/", 1).alias("source")).agg(F.sum(lines).alias("docs"))
+    lines = (F.size(F.split(F.col("content").cast("string"), "\n")) - 1).cast("long")
+    return files.groupBy(F.regexp_extract("url", "source=([^/]+)/", 1).alias("source")).agg(F.sum(lines).alias("docs"), F.sum(F.col("bytes") - lines).alias("bytes"))
 
 
 @query("S05_json_documents", "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN replace(props, ': ', ':') END AS canonical, CASE WHEN event_id % 10 = 0 THEN 'failed' ELSE 'succeeded' END AS status FROM events")
@@ -67,7 +70,7 @@ def s05(s, d):
     return rd.json_documents(e, "body").select("event_id", "canonical", "status")
 
 
-@query("S09_exported_leads")
+@query("S09_exported_leads", sql("SELECT lead_id, organization_id, {'company': company, 'sector': sector, 'score': score, 'grade': grade} AS summary FROM bl", "ev", more=BOARD))
 def s09(s, d):
     path = shared_path(s, "export")
     wr.export_leads(board_leads(s, d).select("organization_id", "lead_id", F.struct("company", "sector", "score", "grade").alias("summary")), path)
@@ -90,14 +93,17 @@ def s12(s, d):
     return wr.seed(have, p.filter("p_partkey % 2 = 0").select(F.col("p_brand").alias("slug")), ["slug"])
 
 
-@query("S14_text_files", "SELECT count(*) AS files, sum(docs)::BIGINT AS lines FROM (SELECT lang, count(*) AS docs FROM documents WHERE lang IS NOT NULL GROUP BY lang)")
+@query("S14_text_files", "SELECT lang, part, md5(string_agg(text || CASE WHEN doc_id % 7 = 0 THEN chr(65533) || '(' ELSE '' END || chr(10), '' ORDER BY doc_id)) AS text_md5 FROM (SELECT lang, doc_id // 50 AS part, doc_id, text FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL) GROUP BY lang, part")
 def s14(s, d):
-    """Whole text files, one per language, with a line per document."""
+    """Whole text files, one for each language and fifty documents; every seventh document ends in bytes that are no UTF-8."""
     path = shared_path(s, "texts")
-    docs = fx.table(s, d, "documents").filter("lang is not null").select("lang", F.col("doc_id").cast("string").alias("value"))
-    docs.repartition("lang").write.partitionBy("lang").text(path)
+    bad = F.unhex(F.lit("C328")).cast("string")
+    docs = fx.table(s, d, "documents").filter("lang is not null and text is not null")
+    docs = docs.select("lang", F.floor(F.col("doc_id") / 50).alias("part"), "doc_id", F.concat("text", F.when(F.col("doc_id") % 7 == 0, bad).otherwise("")).alias("value"))
+    docs.repartition("lang", "part").sortWithinPartitions("lang", "part", "doc_id").drop("doc_id").write.partitionBy("lang", "part").text(path)
     t = rd.text_files(s, path)
-    return t.agg(F.count("*").alias("files"), F.sum(F.size(F.split("text", "\n")) - 1).alias("lines"))
+    of = lambda k: F.regexp_extract("url", f"{k}=([^/]+)/", 1)
+    return t.select(of("lang").alias("lang"), of("part").cast("long").alias("part"), F.md5("text").alias("text_md5"))
 
 
 # --- streams ---
@@ -117,12 +123,12 @@ def t1(s, d):
 
 @query("T2_streamed_matching", sql("SELECT seq, min(seq) OVER (PARTITION BY i) AS canonical FROM (SELECT report_id AS seq, nullif(upper(regexp_replace(reference, '[^A-Za-z0-9]+', '', 'g')), '') AS i FROM rp) WHERE i IS NOT NULL", "rp"))
 def t2(s, d):
-    """Reports land in three files, in order of their ids; each file is one batch."""
+    """Reports land in three folders, in order of their ids; each folder is one batch, of as many files as tasks wrote."""
     src, out, state = shared_path(s, "reports"), shared_path(s, "canonical"), shared_path(s, "state")
     r = fx.reports(s, d).select(F.col("report_id").alias("seq"), F.filter(F.array(tx.identifier(F.col("reference"))), lambda x: x.isNotNull()).alias("identifiers")).filter(F.size("identifiers") > 0)
     cuts = r.agg(F.percentile_approx("seq", F.array(F.lit(0.33), F.lit(0.66)))).first()[0]
     for k, part in enumerate((r.filter(F.col("seq") <= cuts[0]), r.filter((F.col("seq") > cuts[0]) & (F.col("seq") <= cuts[1])), r.filter(F.col("seq") > cuts[1]))):
-        part.coalesce(1).write.parquet(f"{src}/part{k}")
+        part.write.parquet(f"{src}/part{k}")
         stream = s.readStream.schema(r.schema).parquet(f"{src}/part*")
         jobs.match_reports(stream, out, state).awaitTermination()
     return s.read.schema("seq bigint, canonical bigint").parquet(out).select("seq", "canonical")
@@ -161,10 +167,65 @@ def extract_texts(files, extractors):
     return f.withColumn("method", F.when(F.col("doc_class").isin(*extractors), F.col("doc_class")).otherwise("unsupported"))
 
 
-@query("V2_text_extractors", "SELECT page_id, 'html' AS doc_class, 'html' AS method, md5(html) AS text_md5 FROM pages UNION ALL SELECT doc_id + 1000000000, 'pdf', 'unsupported', NULL FROM documents WHERE doc_id % 10 = 0")
+_LOW = "substr(regexp_replace(substr(text, 1, 2048), '^\\s+', ''), 1, 512)"
+
+
+@query("V2_text_extractors", f"SELECT page_id, 'html' AS doc_class, 'html' AS method, md5(html) AS text_md5 FROM pages UNION ALL SELECT doc_id + 1000000000, c, CASE WHEN c IN ('html', 'text') THEN c ELSE 'unsupported' END, CASE c WHEN 'html' THEN md5(text) WHEN 'text' THEN md5('text:' || text) END FROM (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN 'unknown' WHEN starts_with(text, '%PDF') THEN 'pdf' WHEN regexp_matches({_LOW}, '^[{{\\[]') THEN 'json' WHEN contains(lower({_LOW}), '<html') THEN 'html' ELSE 'text' END AS c FROM (SELECT doc_id, CASE WHEN doc_id % 20 = 1 THEN '%PDF-1.4 ' || text ELSE text END AS text FROM documents))")
 def v2(s, d):
-    files = fx.table(s, d, "pages").select("page_id", F.col("html").cast("binary").alias("content")).unionByName(fx.table(s, d, "documents").filter("doc_id % 10 = 0").select((F.col("doc_id") + 1000000000).alias("page_id"), F.lit("%PDF-1.4").cast("binary").alias("content")))
-    return extract_texts(files, {"html": lambda c: c.cast("string")}).select("page_id", "doc_class", "method", F.md5("text").alias("text_md5"))
+    """Pages and whole documents, every twentieth as a PDF for which there is no extractor."""
+    k = F.col("doc_id")
+    docs = fx.table(s, d, "documents").select((k + 1000000000).alias("page_id"), F.when(k % 20 == 1, F.concat(F.lit("%PDF-1.4 "), "text")).otherwise(F.col("text")).cast("binary").alias("content"))
+    files = fx.table(s, d, "pages").select("page_id", F.col("html").cast("binary").alias("content")).unionByName(docs)
+    return extract_texts(files, {"html": lambda c: c.cast("string"), "text": lambda c: F.concat(F.lit("text:"), c.cast("string"))}).select("page_id", "doc_class", "method", F.md5("text").alias("text_md5"))
+
+
+_OWN = {"sx": "SELECT *, " + f"{_pts('f5', 5)} AS q5, CASE WHEN value >= 500000000 THEN 5 ELSE 0 END AS q8 FROM st"}
+
+
+@query("V3_custom_scorer", sql("SELECT event_id, product_id, p1 + p2 + p3 + p4 + q5 + p6 + p7 + q8 AS total, q8 AS own_points FROM sx", "ev", more=SCORED | _OWN))
+def v3(s, d):
+    """A supplied component beside the known ones: five points for large awards, taken from company fit."""
+    rows = [*((v_, k, label, 5 if k == "company_fit" else most, p) for v_, k, label, most, p in sc.config("with-size")), ("with-size", "large_award", "Large award", 5, {"least": 5e8})]
+    sc.check(rows)
+    out = sc.score(score_inputs(s, d), rows, as_of(), {"large_award": lambda p, day: F.when(F.col("value") >= p["least"], 1.0).otherwise(0.0)})
+    return out.select("event_id", "product_id", "total", F.filter("components", lambda c: c["key"] == "large_award")[0]["points"].alias("own_points"))
+
+
+@query("V4_rules_from_json", sql("SELECT event_id, product_id, need_key, threshold FROM mt", "ev", more=MORE))
+def v4(s, d):
+    """Rules written as JSON lines and read back as a rule table."""
+    path = shared_path(s, "rules")
+    op.default_rules(s).write.json(path)
+    return op.matches(fx.events(s, d), op.read_rules(s, path)).select("event_id", "product_id", "need_key", "threshold")
+
+
+@query("V5_scoring_from_json", sql("SELECT event_id, product_id, 'recent-first' AS version, " + " + ".join(_pts(f"f{i}", m) for i, m in enumerate((15, 20, 20, 25, 10, 5, 5), 1)) + " AS total FROM pa", "ev", more=SCORED))
+def v5(s, d):
+    """A scoring configuration written as JSON lines and read back, with its own version."""
+    path = shared_path(s, "scoring")
+    s.createDataFrame(sc.config("recent-first", sector_relevance=15, recency=25), sc.CONFIG_SCHEMA).write.json(path)
+    return sc.score(score_inputs(s, d), sc.read_config(s, path), as_of()).select("event_id", "product_id", "version", "total")
+
+
+@query("V6_isolated_sources", sql("SELECT source, count(*) AS claims, false AS failed FROM (SELECT 'website' AS source FROM co WHERE website IS NOT NULL UNION ALL SELECT 'registry' FROM co JOIN supplier ON obs_id = s_suppkey) GROUP BY source UNION ALL SELECT unnest(['unplanned', 'unreachable']), 0, true", "co"))
+def v6(s, d):
+    """Four sources, of which one cannot be planned and one fails while it runs; the claims of the others stay."""
+    def website(refs):
+        return refs.filter("website is not null").select("obs_id", F.lit("website").alias("field"), F.col("website").alias("value"))
+
+    def registry(refs):
+        r = fx.table(s, d, "supplier").select(F.col("s_suppkey").alias("obs_id"), F.col("s_name").alias("value"))
+        return refs.join(r, "obs_id").select("obs_id", F.lit("legal_name").alias("field"), "value")
+
+    def unplanned(refs):
+        return refs.select("obs_id", "no_such_column")
+
+    def unreachable(refs):
+        return refs.select("obs_id", F.lit("x").alias("field"), F.raise_error(F.lit("timed out")).cast("string").alias("value"))
+
+    found, errors = en.collect(fx.companies(s, d), {"website": website, "unplanned": unplanned, "unreachable": unreachable, "registry": registry}, ("obs_id", "field", "value"))
+    failed = s.createDataFrame([(k, 0, True) for k in errors], "source string, claims bigint, failed boolean")
+    return found.groupBy("source").agg(F.count("*").alias("claims")).withColumn("failed", F.lit(False)).unionByName(failed)
 
 
 @query("V1_custom_embedder")

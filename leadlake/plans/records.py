@@ -17,7 +17,7 @@ from leadlake.plans import fixtures as fx
 from leadlake.plans.fixtures import sql
 from leadlake.plans.leads import as_of
 from leadlake.plans.registry import query
-from leadlake.plans.scalars import HEADLINES_SQL, SENIORITY_SQL, VALUE_TEXT_SQL, case, headlines, identified, strong_identifiers
+from leadlake.plans.scalars import HEADLINES_SQL, SENIORITY_SQL, VALUE_TEXT_SQL, case, grade_sql, headlines, identified, strong_identifiers, unescaped_sql
 
 # --- enrichment ---
 
@@ -157,10 +157,14 @@ def u02(s, d):
     return one("source-0", 0).unionByName(one("source-1", 1)).select("seq", "source_name", "source_ord")
 
 
-@query("J27_contacts_for_titles", sql("SELECT p_partkey, seq FROM (SELECT p_partkey, p_partkey % 25 AS company_id, CASE WHEN p_size % 2 = 0 THEN 'head' ELSE 'director' END AS word FROM part WHERE p_size < 10) JOIN ct USING (company_id) WHERE contains(lower(coalesce(title, '')), word)", "ct"))
+@query("J27_contacts_for_titles", sql("SELECT p_partkey, n AS contacts, seq AS first FROM (SELECT p_partkey, p_partkey % 25 AS company_id, CASE WHEN p_size % 2 = 0 THEN 'head' ELSE 'director' END AS word FROM part) JOIN (SELECT company_id, w.word, count(*) AS n, min(seq) AS seq FROM ct JOIN (SELECT unnest(['head', 'director']) AS word) w ON contains(lower(coalesce(title, '')), w.word) GROUP BY ALL) USING (company_id, word)", "ct"))
 def j27(s, d):
-    p = fx.table(s, d, "part").filter("p_size < 10").select("p_partkey", (F.col("p_partkey") % 25).alias("company_id"), F.when(F.col("p_size") % 2 == 0, "head").otherwise("director").alias("word"))
-    return p.join(fx.contacts(s, d), "company_id").filter(F.lower(F.coalesce("title", F.lit(""))).contains(F.col("word"))).select("p_partkey", "seq")
+    """For each opportunity (here a part) the contacts of its company whose title holds the wanted role: how many, and the
+    first. Contacts are gathered by company and role before they meet the opportunities."""
+    roles = F.filter(F.array(F.lit("head"), F.lit("director")), lambda w: F.lower(F.coalesce("title", F.lit(""))).contains(w))
+    found = fx.contacts(s, d).select("company_id", "seq", F.explode(roles).alias("word")).groupBy("company_id", "word").agg(F.count("*").alias("contacts"), F.min("seq").alias("first"))
+    p = fx.table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 25).alias("company_id"), F.when(F.col("p_size") % 2 == 0, "head").otherwise("director").alias("word"))
+    return p.join(found, ["company_id", "word"]).select("p_partkey", "contacts", "first")
 
 
 # --- documents ---
@@ -179,12 +183,28 @@ def f06(s, d):
     return do.validated(files(s, d)).select("doc_id", "doc_class", "reason", (F.size("warnings") > 0).alias("warned"))
 
 
-@query("C01_processed_documents")
+def html_text_sql(x: str) -> str:
+    for tag in ("script", "style", "noscript"):
+        x = rf"regexp_replace({x}, '(?is)<{tag}\b.*?</{tag}\s*>', ' ', 'g')"
+    x = unescaped_sql(f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', chr(10), 'g')")
+    return rf"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+
+
+#: Documents as the files of files(), what they are, and what processing makes of them.
+PROCESSED = {
+    "fl": "SELECT doc_id, CASE doc_id % 20 WHEN 0 THEN '' WHEN 1 THEN '%PDF-1.4 ' || text WHEN 2 THEN '<html><script>x</script><p>' || text || '</p></html>' ELSE text END AS body, CASE doc_id % 3 WHEN 0 THEN 'text/plain; charset=utf-8' WHEN 1 THEN 'text/html' END AS declared FROM documents WHERE text IS NOT NULL",
+    "fc": "SELECT *, CASE WHEN body = '' THEN 'unknown' WHEN doc_id % 20 = 1 THEN 'pdf' WHEN doc_id % 20 = 2 OR doc_id % 3 = 1 THEN 'html' ELSE 'text' END AS doc_class FROM fl",
+    "fp": f"SELECT doc_id, sha256(body) AS sha256, doc_class, CASE doc_class WHEN 'pdf' THEN 'application/pdf' WHEN 'html' THEN 'text/html' WHEN 'text' THEN 'text/plain' END AS mime, CASE WHEN body = '' THEN 'empty_file' END AS reason, CASE WHEN body = '' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY body) END AS original, CASE doc_class WHEN 'html' THEN length({html_text_sql('body')}) WHEN 'text' THEN length(body) END::INTEGER AS chars FROM fc",
+    "po": "SELECT *, CASE WHEN reason IS NOT NULL THEN 'failed' WHEN original <> doc_id THEN 'duplicate' WHEN doc_class = 'pdf' THEN 'needs_ocr' ELSE 'succeeded' END AS status FROM fp",
+}
+
+
+@query("C01_processed_documents", sql("SELECT doc_id, sha256, doc_class, mime, reason, original, chars, status FROM po", more=PROCESSED))
 def c01(s, d):
     return do.processed(files(s, d))
 
 
-@query("X23_html_text")
+@query("X23_html_text", f"SELECT page_id, {html_text_sql('html')} AS text FROM pages")
 def x23(s, d):
     return fx.table(s, d, "pages").select("page_id", do.html_text(F.col("html")).alias("text"))
 
@@ -235,19 +255,24 @@ def f03(s, d):
     return (p.filter(F.exists(F.array(*map(F.lit, words)), lambda k: text.contains(k))) if words else p).select("p_partkey")
 
 
-@query("F22_outcome_columns", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'parsed' WHEN 1 THEN 'failed' ELSE 'skipped' END AS parse_status, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN 'Title ' || doc_id ELSE '' END, ''), 'found ' || doc_id) AS title FROM documents")
-def f22(s, d):
-    k = F.col("doc_id")
-    status = F.when(k % 3 == 0, "succeeded").when(k % 3 == 1, "failed").otherwise("needs_ocr")
-    old = F.when(k % 2 == 0, F.concat(F.lit("Title "), k)).otherwise("")
-    return fx.table(s, d, "documents").select("doc_id", v.lookup(status, {"succeeded": "parsed", "failed": "failed", "needs_ocr": "skipped"}).alias("parse_status"), F.coalesce(tx.empty_to_null(old), F.concat(F.lit("found "), k)).alias("title"))
+JOB_SQL, PARSE_SQL = case("status", do.JOB_STATUS), case("status", do.PARSE_STATUS, repr("pending"))
 
 
-@query("S13_attempt_rows", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' ELSE 'retrying' END AS status, CASE WHEN doc_id % 3 = 1 THEN 'empty_file' END AS error FROM documents")
+@query("S13_attempt_rows", sql(f"SELECT doc_id, {JOB_SQL} AS status, CASE WHEN doc_id % 4 = 0 THEN (doc_id // 4) % 3 + 2 ELSE 1 END::INTEGER AS attempts, reason AS error, concat_ws('|', sha256, doc_class, mime, CASE WHEN original <> doc_id THEN original END::VARCHAR, chars::VARCHAR) AS result FROM po", more=PROCESSED))
 def s13(s, d):
+    """The log row of each processed document; every fourth one has been tried before."""
     k = F.col("doc_id")
-    outcome = F.when(k % 3 == 0, "succeeded").when(k % 3 == 1, "failed").otherwise("needs_ocr")
-    return fx.table(s, d, "documents").select("doc_id", v.lookup(outcome, {"succeeded": "succeeded", "failed": "failed", "needs_ocr": "retrying"}).alias("status"), F.when(outcome == "failed", "empty_file").alias("error"))
+    tried = fx.table(s, d, "documents").filter("doc_id % 4 = 0").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(k / 4) % 3 + 1)).alias("attempts"))
+    a = do.attempts(do.processed(files(s, d)), tried)
+    return a.select("doc_id", "status", "attempts", "error", F.concat_ws("|", *(F.col(f"result.{c}").cast("string") for c in ("sha256", "doc_class", "mime", "duplicate_of", "chars"))).alias("result"))
+
+
+@query("F22_outcome_columns", sql(f"SELECT d.doc_id, {PARSE_SQL} AS parse_status, mime, coalesce(nullif(CASE WHEN d.doc_id % 2 = 0 THEN 'Title ' || d.doc_id ELSE '' END, ''), nullif(substr(text, 1, 40), '')) AS title FROM documents d LEFT JOIN po ON po.doc_id = d.doc_id", more=PROCESSED))
+def f22(s, d):
+    """Document columns after processing; documents without an outcome are pending."""
+    k = F.col("doc_id")
+    docs = fx.table(s, d, "documents").select("doc_id", F.when(k % 2 == 0, F.concat(F.lit("Title "), k)).otherwise("").alias("title"), F.lit(None).cast("string").alias("mime"), F.substring("text", 1, 40).alias("head"))
+    return do.outcome_columns(docs, do.processed(files(s, d)), F.col("head"))
 
 
 # --- quality ---
@@ -322,15 +347,6 @@ def u07(s, d):
     return fx.table(s, d, "part").select("p_partkey", have.alias("before"), F.array_union(have, F.array(F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.col("p_name")))).alias("after"))
 
 
-@query("J16_board_assembly", "SELECT o_orderkey AS opportunity_id, c_name AS company, n_name AS buyer, n AS lines, amount, first_ship FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT l_orderkey, count(*) AS n, round(sum(l_extendedprice), 2) AS amount, min(l_shipdate) AS first_ship FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
-def j16(s, d):
-    """Children are summed up before the joins, so no row is multiplied."""
-    o, c, n, li = (fx.table(s, d, t) for t in ("orders", "customer", "nation", "lineitem"))
-    kids = li.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("amount"), F.min("l_shipdate").alias("first_ship"))
-    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(kids, o.o_orderkey == kids.l_orderkey, "left")
-    return j.select(F.col("o_orderkey").alias("opportunity_id"), F.col("c_name").alias("company"), F.col("n_name").alias("buyer"), "lines", "amount", "first_ship")
-
-
 @query("J24_product_sectors", "SELECT p_type AS product, r_name AS sector, count(DISTINCT s_suppkey) AS suppliers FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
 def j24(s, d):
     """Many-to-many products and sectors over a bridge table; region and nation have a fixed number of rows."""
@@ -365,7 +381,7 @@ FACTS = f"""SELECT event_id, 'F' || row_number() OVER (PARTITION BY event_id ORD
 
 @query("U03_facts", sql(FACTS, "ev"))
 def u03(s, d):
-    return fact_rows(s, d)
+    return fact_rows(s, d).drop("confidence", "source_url")
 
 
 @query("F28_verified_facts", sql(f"SELECT event_id, list(fact_id ORDER BY fact_id) AS ids FROM ({FACTS}) WHERE tier = 3 AND starts_with(kind, 'event.') GROUP BY event_id", "ev"))
@@ -374,34 +390,11 @@ def f28(s, d):
     return f.groupBy("event_id").agg(F.array_sort(F.collect_list("fact_id")).alias("ids"))
 
 
-def sections(s, d):
-    e = fx.events(s, d)
-    worth = F.when(F.col("event_id") % 4 == 0, F.lit("about ₹77 crore")).otherwise(v.value_text(F.col("value"), F.col("currency")))
-    part = lambda k, t, b: F.struct(F.lit(k).alias("ord"), F.lit(t).alias("title"), b.alias("body"))
-    return e.select("event_id", F.explode(F.array(part(1, "Why now", F.concat("project", F.lit(" worth "), worth)), part(2, "Who", F.concat(F.lit("Call "), "awardee", F.when(F.col("event_id") % 5 == 0, " at x@y.example").otherwise("")))) ).alias("x")).select("event_id", "x.*")
-
-
-@query("C08_rendered_briefs")
-def c08(s, d):
-    return br.parse(br.render(sections(s, d), "event_id"), "event_id")
-
-
-@query("C09_verified_claims")
-def c09(s, d):
-    return br.verify(sections(s, d), fact_rows(s, d), "event_id")
-
-
 @query("U05_unsupported", sql("SELECT event_id, list_filter(['x', buyer, sector], lambda t: NOT list_contains([buyer, awardee], t)) AS unsupported FROM ev", "ev"))
 def u05(s, d):
     return fx.events(s, d).select("event_id", F.array_except(F.array(F.lit("x"), "buyer", "sector"), F.array("buyer", "awardee")).alias("unsupported"))
 
 
-@query("A25_brief_status", sql("SELECT event_id, CASE WHEN event_id % 4 = 0 OR event_id % 5 = 0 THEN 'draft' ELSE 'final' END AS status FROM ev WHERE currency = 'INR' AND event_id % 5 = 0", "ev"))
-def a25(s, d):
-    checked = br.verify(sections(s, d), fact_rows(s, d), "event_id").groupBy("event_id").agg(F.max(F.col("status") == "flagged").alias("bad"))
-    return checked.join(fx.events(s, d).filter("currency = 'INR' and event_id % 5 = 0").select("event_id"), "event_id").select("event_id", F.when(F.col("bad"), "draft").otherwise("final").alias("status"))
-
-
 # --- headlines ---
 
 WORK = r"CASE WHEN starts_with(title, 'Order win: ') THEN substr(title, 12) ELSE title END"
@@ -425,24 +418,44 @@ def w06(s, d):
     return he.deduplicated(headlines(s, d), 10).select("feed_ord", "supp", "vertical")
 
 
+_FIRST_TITLES = r"SELECT * FROM hx QUALIFY row_number() OVER (PARTITION BY substr(regexp_replace(lower(title), '[^\p{L}\p{N}_]+', '', 'g'), 1, 60) ORDER BY feed_ord, supp) = 1"
+_NEWS = r"""SELECT 'news-' || substr(sha1('org|' || lower(company) || '|' || vertical), 1, 24) AS lead_id, company, vertical, government_buyer, title, amount,
+  regexp_extract(amount, '[0-9.]+')::DOUBLE * CASE WHEN ends_with(amount, 'billion') THEN 1e9 ELSE 1e7 END AS value, CASE WHEN regexp_matches(title, '(?i)\bpli\b|incentive') THEN 'grant' ELSE 'award' END AS event_type,
+  try_strptime(substr(date, 6, 11), '%d %b %Y')::DATE AS reported_on FROM ht QUALIFY row_number() OVER (PARTITION BY company, vertical ORDER BY feed_ord, supp) = 1"""
+NW = HL | {"ht": _FIRST_TITLES, "nw": _NEWS}
+
+
 def news(s, d):
     known = s.createDataFrame([("none", "none")], "company string, vertical string")
     return he.news_leads(he.extract(he.deduplicated(headlines(s, d))), known)
 
 
-@query("C13_headline_leads")
+@query("C13_headline_leads", sql("SELECT * FROM nw", more=NW))
 def c13(s, d):
     return news(s, d)
 
 
-@query("F20_lead_rows")
+NEWS_PRODUCTS, NEWS_TARGETS = {"Banking": "BFSI summit", "Pharma": "Healthcare summit"}, ["Banking", "Telecom"]
+_SCORED_NEWS = f"""SELECT *, CASE vertical WHEN 'Banking' THEN 'BFSI summit' ELSE 'Healthcare summit' END AS product,
+  CASE vertical WHEN 'Banking' THEN 25 ELSE 0 END + round_even((least(1.0, 0.7 * CASE WHEN coalesce(value, 0) <> 0 THEN least(1.0, value / 1e9) ELSE 0.3 END + 0.3 * CASE event_type WHEN 'award' THEN 1.0 ELSE 0.6 END) * 20)::DECIMAL(18,9), 0)::INTEGER
+  + round_even((0.5 / 0.85 * 20)::DECIMAL(18,9), 0)::INTEGER + round_even((0.3 * 15)::DECIMAL(18,9), 0)::INTEGER + 4 + 0 + round_even((0.5 * 0.65 * 5)::DECIMAL(18,9), 0)::INTEGER AS total FROM nw"""
+_BRIEF = "'## Trigger' || chr(10) || company || ' is reported to have won ' || amount || ' from ' || government_buyer || '.' || chr(10) || chr(10) || '## Reason to call' || chr(10) || 'Offer ' || product || ' while the award is news.' || chr(10) || chr(10) || '## Source' || chr(10) || 'News' || coalesce(' of ' || reported_on, '') || '; no award date is known. Check against the award itself.' || chr(10) || chr(10) || '## Confidence' || chr(10) || 'Lead score ' || total || '/100 (grade ' || grade || ').'"
+_ROWS = " UNION ALL ".join(
+    f"SELECT lead_id, '{t}' AS table_name, {k} AS kind, {title} AS title, {party} AS party, {amount}::DOUBLE AS amount, {score}::INTEGER AS score, {letter} AS grade, {conf}::DOUBLE AS confidence, {text} AS text FROM ns"
+    for t, k, title, party, amount, score, letter, conf, text in (
+        ("event", "event_type", "substr(title, 1, 300)", "government_buyer", "value", "NULL", "NULL", "0.5", "NULL"), ("opportunity", "'sponsorship'", "product", "company", "NULL", "NULL", "NULL", "0.5", "NULL"),
+        ("score", "'lead-score-v1'", "NULL", "NULL", "NULL", "total", "grade", "NULL", "NULL"), ("brief", "'draft'", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", _BRIEF), ("evidence", "'external'", "title", "NULL", "NULL", "NULL", "NULL", "0.65", "NULL"),
+    )
+)
+
+
+@query("F20_lead_rows", sql(_ROWS, more=NW | {"n0": _SCORED_NEWS, "ns": f"SELECT *, {grade_sql('total')} AS grade FROM n0"}))
 def f20(s, d):
-    """Event, opportunity and evidence rows of each news lead."""
-    rows = F.explode(F.array(*(F.struct(F.lit(t).alias("table_name"), F.concat(F.lit(t + "-"), "lead_id").alias("row_id")) for t in ("event", "opportunity", "evidence"))))
-    return news(s, d).select("lead_id", rows.alias("x")).select("lead_id", "x.*")
+    """Event, opportunity, score, brief and evidence rows of each news lead."""
+    return he.lead_rows(news(s, d), as_of(), NEWS_PRODUCTS, NEWS_TARGETS)
 
 
-@query("A22_extraction_report")
+@query("A22_extraction_report", sql("SELECT vertical, fetched, coalesce(extracted, 0) AS extracted, coalesce(companies, 0) AS companies FROM (SELECT vertical, count(*) AS fetched FROM hl GROUP BY 1) LEFT JOIN (SELECT vertical, count(*) AS extracted, count(DISTINCT company) AS companies FROM hx WHERE regexp_matches(company, '[A-Z]') GROUP BY 1) USING (vertical)", more=HL))
 def a22(s, d):
     h = headlines(s, d)
     fetched = h.groupBy("vertical").agg(F.count("*").alias("fetched"))
@@ -450,19 +463,36 @@ def a22(s, d):
     return fetched.join(made, "vertical", "left").fillna(0)
 
 
-@query("J26_attached_extractions", sql("SELECT doc_id, min_by AS idx FROM (SELECT source AS doc_id, min(doc_id) AS min_by FROM documents WHERE doc_id % 3 = 0 GROUP BY source)"))
+_OUTSIDE = "SELECT feed_ord * 100 + supp % 100 AS ord, CASE WHEN ln % 3 = 0 THEN feed_ord + 1 ELSE feed_ord END AS idx, CASE k % 5 WHEN 0 THEN 'The ' || name WHEN 1 THEN ' ' WHEN 2 THEN upper(name) || ' LTD' ELSE name || ' Ltd ' END AS company, CASE WHEN k % 2 = 0 THEN 'Ministry' ELSE ' ' END AS government_buyer, CASE WHEN k % 3 = 0 THEN '₹5 crore' ELSE '' END AS amount FROM (SELECT l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AS feed_ord, l_suppkey AS supp, l_linenumber AS ln, l_partkey + l_suppkey AS k, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@query("J26_attached_extractions", sql("SELECT ord, idx, trim(company) AS company, vertical, coalesce(nullif(trim(government_buyer), ''), 'Government (India)') AS government_buyer, nullif(amount, '') AS amount, title, 0.65::DOUBLE AS confidence FROM ou JOIN (SELECT feed_ord AS idx, min(title) AS title, min(vertical) AS vertical FROM hl GROUP BY 1) USING (idx) WHERE trim(company) <> '' AND NOT starts_with(company, 'The ') QUALIFY row_number() OVER (PARTITION BY lower(trim(company)) ORDER BY ord, title) = 1", more={"hl": HEADLINES_SQL, "ou": _OUTSIDE}))
 def j26(s, d):
-    """Externally made rows attached to headlines by index: those with a headline, the first of each key."""
-    docs = fx.table(s, d, "documents")
-    outside = docs.select((F.col("doc_id") * 3).alias("idx"))
-    return outside.join(docs.select(F.col("doc_id").alias("idx"), "source"), "idx").groupBy(F.col("source").alias("doc_id")).agg(F.min("idx").alias("idx"))
+    """Rows of an outside extractor attached to headlines by index; some have no headline, no company or one seen before."""
+    li, p = fx.table(s, d, "lineitem"), fx.table(s, d, "part")
+    x = li.join(p, li.l_partkey == p.p_partkey)
+    k, name, feed = F.col("l_partkey") + F.col("l_suppkey"), F.col("p_name"), F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_partkey") % 100
+    outside = x.select(
+        (feed * 100 + F.col("l_suppkey") % 100).alias("ord"), F.when(F.col("l_linenumber") % 3 == 0, feed + 1).otherwise(feed).alias("idx"),
+        F.when(k % 5 == 0, F.concat(F.lit("The "), name)).when(k % 5 == 1, " ").when(k % 5 == 2, F.concat(F.upper(name), F.lit(" LTD"))).otherwise(F.concat(name, F.lit(" Ltd "))).alias("company"),
+        F.when(k % 2 == 0, "Ministry").otherwise(" ").alias("government_buyer"), F.when(k % 3 == 0, "₹5 crore").otherwise("").alias("amount"),
+    )
+    numbered = headlines(s, d).groupBy(F.col("feed_ord").alias("idx")).agg(F.min("title").alias("title"), F.min("vertical").alias("vertical"))
+    return he.attach(numbered, outside)
+
+
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
 
-@query("X24_json_ld", "SELECT page_id, 'Org ' || page_id AS description, 'Street ' || (page_id % 7) || ', Town' AS address FROM pages")
+@query("X24_json_ld", f"SELECT page_id, CASE WHEN page_id % 4 = 0 THEN nullif(t, '') WHEN page_id % 4 = 1 THEN nullif('About ' || t, '') ELSE nullif({unescaped_sql('trim(t)')}, '') END AS description, CASE page_id % 4 WHEN 0 THEN 'Town ' || (page_id % 7) || ' IN' WHEN 1 THEN 'Region ' || (page_id % 5) END AS location FROM (SELECT page_id, replace({_TITLE}, '\"', '') AS t FROM pages)")
 def x24(s, d):
-    """Organisation data of pages: the JSON-LD block parsed as a variant."""
-    block = F.concat(F.lit('<script type="application/ld+json">{"@type":"Organization","description":"Org '), "page_id", F.lit('","address":{"streetAddress":"Street '), (F.col("page_id") % 7).cast("string"), F.lit('","addressLocality":"Town"}}</script>'))
-    p = fx.table(s, d, "pages").select("page_id", F.concat(block, "html").alias("html"))
-    v_ = F.try_parse_json(F.regexp_extract("html", r'(?s)<script type="application/ld\+json">(.*?)</script>', 1))
-    get = lambda path: F.try_variant_get(F.col("j"), path, "string")
-    return p.withColumn("j", v_).select("page_id", get("$.description").alias("description"), F.concat_ws(", ", get("$.address.streetAddress"), get("$.address.addressLocality")).alias("address"))
+    """Organisation data from a page's own head: a JSON-LD block, a list of them after a broken one, or a meta tag only."""
+    k, t = F.col("page_id"), F.replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit('"'), F.lit(""))
+    block = lambda body: F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
+    org = lambda text, address: F.struct(F.lit("Organization").alias("@type"), text.alias("description"), address.alias("address"))
+    one = F.to_json(org(t, F.struct(F.concat(F.lit("Town "), k % 7).alias("addressLocality"), F.lit("IN").alias("addressCountry"))))
+    many = F.concat(F.lit('[{"@type":"Person","description":"nobody"},'), F.to_json(org(F.concat(F.lit("About "), t), F.struct(F.concat(F.lit("Region "), k % 5).alias("addressRegion")))), F.lit("]"))
+    meta = F.concat(F.lit('<meta name="description" content=" '), t, F.lit(' ">'))
+    head = F.when(k % 4 == 0, block(one)).when(k % 4 == 1, F.concat(block(F.lit("{broken")), block(many))).when(k % 4 == 2, F.concat(block(F.lit('{"@type":"Person","description":"nobody"}')), meta)).otherwise(meta)
+    pages = fx.table(s, d, "pages").select("page_id", F.concat(head, "html").alias("html"))
+    return pages.withColumn("o", do.organisation(F.col("html"))).select("page_id", "o.description", "o.location")

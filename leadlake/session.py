@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,19 +26,25 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared folder, spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder of
+    its own there, and one on a cluster a folder in the warehouse, which its executors reach."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            local = context.master.startswith("local[") or context.master == "local"
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
 def checkpointed(df):
-    """Cut the lineage with a checkpoint in the session's shared folder (spark.checkpoint.dir)."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """Cut the lineage with a checkpoint in the session's shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the session's shared folder, for tables of one run."""
-    import uuid
-
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -36,8 +36,8 @@ def file_bytes(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as one text each."""
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+    """Whole files as one text each, with where they come from; bytes that are no UTF-8 become U+FFFD."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.make_valid_utf8("value").alias("text"))
 
 
 def json_documents(documents: DataFrame, column: str) -> DataFrame:
