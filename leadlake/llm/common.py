@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import bisect
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadlake.session import ship
+from leadlake.session import checkpoint_folder, shared_path, ship
 
 #: Groups up to which their table is broadcast.
 MOST_GROUPS = 10_000
@@ -33,29 +31,26 @@ def words(text: F.Column) -> F.Column:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the session's shared folder (spark.checkpoint.dir)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    checkpoint_folder(df.sparkSession)
     done = df.checkpoint()
-    release(spark)
+    release(df.sparkSession)
     return done
 
 
 def store(df: DataFrame) -> DataFrame:
     """Write a table of one run into the shared checkpoint folder and read it back; compressed, unlike a checkpoint."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
-    release(spark)
-    return spark.read.parquet(path)
+    release(df.sparkSession)
+    back = df.sparkSession.read.parquet(path)
+    back.__dict__["stored_at"] = path
+    return back
 
 
 def unstore(*tables: DataFrame) -> None:
-    """Delete tables that `store` wrote, when nothing reads them any more."""
+    """Delete tables that `store` wrote, when nothing reads them any more; others are left alone."""
     for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path := df.__dict__.get("stored_at"):
             target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 

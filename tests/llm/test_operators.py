@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from leadlake.llm import embedding_dedup, jaccard_join, langid, line_dedup, mixing, quality, toxicity
@@ -185,6 +186,49 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.judge(docs.limit(0), quality.learn(docs.limit(0), good.limit(0))).count() == 0
 
 
+def test_quality_counts_are_exact_where_hashes_clash(spark, monkeypatch):
+    whole = quality._window
+    monkeypatch.setattr(quality, "_window", lambda i: F.pmod(whole(i), F.lit(3)))  # three hashes for all windows
+    texts = corpus(7, 20) + ["a b c a b c d", "a b a b a b", "x y z"]
+    for r in quality.judge(odd_docs(spark, texts), quality.Ratio(None, 0.0)).collect():
+        assert r.n_repeat_words == plain_quality(texts[r.doc_id])[4]
+
+
+def test_quality_verdict_equals_a_plain_ratio(spark):
+    def bucket(*parts):
+        h = 42
+        for x in parts:
+            h = xxhash.xxh64(x.encode(), seed=h).intdigest()
+        return (h - (1 << 64) * (h >> 63)) % quality.BUCKETS
+
+    def grams(t):
+        w = plain_words(t)
+        return [bucket(x) for x in w] + [bucket(x, y) for x, y in zip(w, w[1:])]
+
+    rng = random.Random(15)
+    texts = corpus(6) + [" ".join(rng.choices(["zz%d" % k for k in range(50)], k=120)) for _ in range(12)]
+    docs = odd_docs(spark, texts)  # the first two rows stand twice
+    good = set(range(0, 60))
+    ratio = quality.learn(docs, spark.createDataFrame([(i,) for i in [*good, 3, 3, 10_000]] + [(None,)], "doc_id long"))
+    rows = [*range(len(texts)), 0, 1]
+    raw, target = collections.Counter(), collections.Counter()
+    for i in rows:
+        raw.update(grams(texts[i]))
+        if i in good:
+            target.update(grams(texts[i]))
+    st, sr = sum(target.values()) + quality.BUCKETS, sum(raw.values()) + quality.BUCKETS
+    score = lambda t: sum(round(math.log((target[b] + 1) / st) - math.log((raw[b] + 1) / sr), 6) for b in grams(t)) / max(1, 2 * len(plain_words(t)) - 1)
+    low, mid = np.quantile([score(texts[i]) for i in rows if i in good and plain_words(texts[i])], [quality.LOW, 0.5])
+    least = low - (mid - low) / 2
+    assert ratio.least == pytest.approx(least, abs=1e-6)
+    verdicts = collections.Counter()
+    for r in quality.judge(docs, ratio).collect():
+        s = score(texts[r.doc_id])
+        assert r.score == pytest.approx(s, abs=1e-6) and r.kept == (not r.base_failed and s >= least)
+        verdicts[r.kept, r.base_failed] += 1
+    assert all(verdicts[x] for x in ((True, False), (False, False), (False, True)))
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(7)
     base = rng.standard_normal((40, 16))
@@ -228,8 +272,8 @@ def test_kneser_ney_probabilities_sum_to_one():
     points, _ = langid.characters(["abcabcaab cab abba"])
     keys, number = np.unique(langid.packed(alphabet.codes(points), langid.ORDER)[1:], return_counts=True)
     m = langid.Models(["x"], [(keys, number)], alphabet)
-    head = int(keys[3]) >> 8
-    total = sum(math.exp(m._scores(np.array([head << 8 | c], np.uint32), langid.ORDER)[0, 0]) for c in (0, 1, 2, 3, 255))
+    head = int(keys[3]) >> langid._BITS
+    total = sum(math.exp(m._scores(np.array([head << langid._BITS | c], np.uint64), langid.ORDER)[0, 0]) for c in (0, 1, 2, 3, langid.LETTERS + 1))
     assert abs(total - 1) < 1e-4
 
 
@@ -254,6 +298,112 @@ def test_toxicity_learns_words_and_scores_every_row(spark):
 
 
 def test_bounded_sample_holds_its_bound(spark):
-    rows = spark.range(5000).select("id", F.when(F.col("id") % 10 < 9, "big").otherwise("small").alias("g"))
-    got = collections.Counter(r.g for r in bounded_sample(rows, "g", 100).collect())
-    assert got["big"] == 100 and got["small"] == 100
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 10 < 9, "big").when(F.col("id") % 100 == 9, None).otherwise("small").alias("g"))
+    got = collections.Counter(r.g for r in bounded_sample(rows.fillna("tiny"), 100, "g").collect())
+    assert 80 <= got["big"] <= 100 and 80 <= got["small"] <= 100 and got["tiny"] == 50
+    assert 80 <= bounded_sample(rows, 100).count() <= 100 and bounded_sample(rows.limit(0), 100).count() == bounded_sample(rows.limit(0), 100, "g").count() == 0
+
+
+def plain_features(text, lexicon):
+    """The features of toxicity.FEATURES, word by word over the whole text."""
+    t = toxicity
+    if not text or not text.split():
+        return [0.0] * len(t.FEATURES)
+    words, original = t._WORDS.findall(text.lower()), t._WORDS.findall(text)
+    a = [lexicon.get(w, 0.0) for w in words]
+    b = [next((lexicon[p] for p in (w[:5] + "*", w[:4] + "*") if lexicon.get(p)), 0.0) for w in words]
+    hits = [k for k in range(len(words)) if a[k] or b[k]]
+    yous = [k for k, w in enumerate(words) if w in t._YOU]
+    near = [max(a[i], b[i]) / (1 + abs(i - j)) for i in hits for j in yous if abs(i - j) <= t._NEAR]
+    mixed = t._MIXED.findall(text.lower())
+    opened = [t._INNER.sub("", m).translate(t._LEET).strip("?,;:") for m in mixed]
+    opened = [x for x in opened if any(lexicon.get(y) for y in (x, x[:5] + "*", x[:4] + "*"))]
+    n, letters = max(1, len(words)), max(1, sum(map(len, words)))
+    return [
+        sum(a) / n, sum(b) / n, max([a[k] for k in hits] + [b[k] for k in hits] + [0.0]), math.log(1 + len(hits)), max(near + [0.0]), len(yous) / n,
+        sum(c.isupper() for c in text) / letters, sum(len(w) > 1 and w.isupper() for w in original) / n, sum(c in ".,;:?!" for c in text) / len(text),
+        sum(c == "!" for c in text) / len(text), len(mixed) / n, len(opened) / n, math.log(1 + len(words)),
+    ]
+
+
+def test_toxicity_features_equal_plain_ones(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 20)  # the table of pieces starts anew between texts
+    rng = random.Random(12)
+    lexicon = {"vile": 3.0, "viler": 2.5, "nasty": 4.0, "nast*": 2.0, "rotte*": 3.5}
+    parts = ["you", "YOU", "Vile", "v1le", "na$ty,", "nastier", "rotten-egg", "v.i.l.e", "word!", "don't", "(du)", "ΣΑΣ", "A1b", "plain", "x", "...", "n-a-s-t-y?", "you're-vile"]
+    pieces = toxicity._Pieces(lexicon)
+    texts = [None, "", " \n", "...", "vile" * 3, "you vile " + "word " * 40_000 + "nasty you"]
+    texts += ["".join(rng.choice(parts) + rng.choice([" ", "\n", "  ", "\u00a0"]) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    for t in texts:
+        assert toxicity.features(t, pieces) == pytest.approx(plain_features(t, lexicon), abs=1e-9)
+
+
+def test_toxicity_trees_and_calibration_by_hand(spark):
+    """Scores are the trees' votes summed up node by node, then read off the isotonic steps."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choices(["calm", "kind", "warm", "you"], k=15) + (["vile%d" % rng.randrange(3)] if i % 4 == 0 or rng.random() < 0.1 else [])), int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    one = toxicity.learn(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    pieces = toxicity._Pieces(one.lexicon)
+
+    def vote(node, x):
+        if node.subtreeDepth() == 0:
+            return node.prediction()
+        split = node.split()
+        return vote(node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild(), x)
+
+    steps = list(zip(one.calibration.boundaries.toArray(), one.calibration.predictions.toArray()))
+    assert all(p <= q for (_, p), (_, q) in zip(steps, steps[1:]))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, one).collect()}
+    for i, t, _ in rows[:60]:
+        x = toxicity.features(t, pieces)
+        margin = sum(w * vote(tree._java_obj.rootNode(), x) for w, tree in zip(one.trees.treeWeights, one.trees.trees))
+        assert got[i] == pytest.approx(float(np.interp(margin, *zip(*steps))), abs=1e-6)
+    assert toxicity.score(docs.limit(0), one).count() == 0 and toxicity.learn(docs.limit(0), docs.limit(0).select("doc_id", F.lit(1).alias("toxic"))).trees is None
+
+
+def plain_kneser_ney(counts, discounts, uniform, gram, n):
+    """Interpolated Kneser-Ney probability of the last letter of gram after those before it."""
+    if n == 0:
+        return uniform
+    level = counts[n]
+    gram = gram[-n:]
+    same = {g: c for g, c in level.items() if g[:-1] == gram[:-1]}
+    lower = plain_kneser_ney(counts, discounts, uniform, gram, n - 1)
+    if not same:
+        return lower
+    total = sum(same.values())
+    return max(same.get(gram, 0) - discounts[n], 0) / total + discounts[n] * len(same) / total * lower
+
+
+def test_language_model_equals_a_plain_kneser_ney():
+    rng = random.Random(14)
+    text = " ".join("".join(rng.choices("abcde\U00030001", [5, 4, 3, 2, 1, 1], k=rng.randrange(1, 7))) for _ in range(60))
+    alphabet = langid.Alphabet(np.unique(np.array([ord(c) for c in text if c != " "], np.uint32)))
+    points, _ = langid.characters([text])
+    codes = alphabet.codes(points)
+    keys, number = np.unique(langid.packed(codes, langid.ORDER)[1:], return_counts=True)
+    m = langid.Models(["x"], [(keys, number)], alphabet)
+    padded = (0,) * (langid.ORDER - 1) + tuple(int(c) for c in codes)
+    of = {langid.ORDER: collections.Counter(padded[k - langid.ORDER + 1 : k + 1] for k in range(langid.ORDER, len(padded)))}
+    for n in range(langid.ORDER - 1, 0, -1):
+        of[n] = collections.Counter(g[1:] for g in of[n + 1])  # distinct left neighbours
+    once = {n: (sum(c == 1 for c in x.values()), sum(c == 2 for c in x.values())) for n, x in of.items()}
+    discounts = {n: a / (a + 2 * b) if a and b else 0.5 for n, (a, b) in once.items()}
+    for _ in range(300):
+        gram = tuple(rng.choices([0, 1, 2, 3, 4, 5, 6, langid.LETTERS + 1], k=langid.ORDER))
+        want = plain_kneser_ney(of, discounts, m.uniform, gram, langid.ORDER)
+        key = sum(c << langid._BITS * k for k, c in enumerate(reversed(gram)))
+        assert math.exp(m._scores(np.array([key], np.uint64), langid.ORDER)[0, 0]) == pytest.approx(want, rel=1e-4)
+
+
+def test_language_of_rare_letters_and_of_nothing(spark):
+    docs = spark.createDataFrame([(k, "abc abd", "en") for k in range(40)] + [(k, "\U00030001\U00030002 \U00030001", "xx") for k in range(40, 80)] + [(90, "word " * 60_000, None)], "doc_id long, text string, lang string")
+    one = langid.learn(docs, F.lit(True))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, one).collect()}
+    assert got[0] == "en" and got[50] == "xx" and got[90] == "en"
+    assert langid.identify(docs.limit(0), one).count() == 0
+    points, _ = langid.characters(["abc abd"])
+    same = np.unique(langid.packed(one.models.alphabet.codes(points), langid.ORDER)[1:], return_counts=True)
+    tied = langid.Identifier(langid.Models(["a", "b"], [same, same], one.models.alphabet), 1.0, 9.0)
+    assert {r.lang_pred for r in langid.identify(docs, tied).collect()} == {"a"}
