@@ -54,41 +54,100 @@ def keys_of(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in (4, 5) if len(w) > k}
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
+#: Pieces between blanks whose figures a task remembers; it starts anew when there are more.
+REMEMBERED = 100_000
+_PLAIN = ".,;:?!"
+_FIGURES = ("words", "letters", "upper", "capital_words", "mixed", "opened", "weight", "prefix_weight", "hits", "yous", "strongest")
+
+
+class _Pieces(dict):
+    """Piece of text between blanks -> its row in a table of figures; no feature looks beyond a piece, but closeness,
+    for which the places of lexicon and second-person words are kept. Most pieces of a text occur again, so their
+    figures are computed once."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.table = np.zeros((1 << 12, len(_FIGURES)))  # twice as long whenever it is full
+        self.places: dict[int, tuple[list, list]] = {}
+
+    def __missing__(self, piece: str) -> int:
+        get = self.lexicon.get
+        at = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self[piece] = at
+        word = piece.strip(_PLAIN)
+        if word.isalpha():  # one word and nothing mixed, as most pieces are
+            low = word.lower()
+            upper = 0 if word == low else 1 if word[1:] == low[1:] else sum(map(str.isupper, word))
+            self.table[at, :4] = 1, len(low), upper, upper > 1 and word.isupper()
+            a, b, you = get(low, 0.0), get(low[:5] + "*", 0.0) or get(low[:4] + "*", 0.0), low in _YOU
+            if a or b or you:
+                self.table[at, 6:] = a, b, bool(a or b), you, max(a, b)
+                self.places[at] = [(0, a, b)] if a or b else [], [0] * you
+            return at
+        low = piece.lower()
+        words = _WORDS.findall(low)
+        hits = [(k, get(w, 0.0), get(w[:5] + "*", 0.0) or get(w[:4] + "*", 0.0)) for k, w in enumerate(words)]
+        hits = [h for h in hits if h[1] or h[2]]
+        yous = [k for k, w in enumerate(words) if w in _YOU]
+        mixed = _MIXED.findall(low)
+        opened = sum(bool(get(x) or get(x[:5] + "*") or get(x[:4] + "*")) for x in (_INNER.sub("", m).translate(_LEET).strip("?,;:") for m in mixed))
+        upper = sum(map(str.isupper, piece)) if piece != low else 0
+        capital = sum(1 for w in _WORDS.findall(piece) if len(w) > 1 and w.isupper()) if upper else 0
+        self.table[at] = (len(words), sum(map(len, words)), upper, capital, len(mixed), opened, sum(h[1] for h in hits), sum(h[2] for h in hits), len(hits), len(yous), max((max(h[1:]) for h in hits), default=0.0))
+        if hits or yous:
+            self.places[at] = hits, yous
+        return at
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of a text, as rows of the table, and those rows."""
+        if len(self) > REMEMBERED:
+            self.forget()
+        ids = np.array([self[x] for x in text.split()], np.int64)
+        return ids, self.table[ids]
+
+
+def _closeness(ids: np.ndarray, rows: np.ndarray, pieces: _Pieces) -> float:
+    """Strongest lexicon word near a second-person word, divided by one more than their distance."""
+    first = np.cumsum(rows[:, 0]) - rows[:, 0]
+    hits, yous = [], []
+    for k in np.flatnonzero(rows[:, 8] + rows[:, 9]):
+        h, y = pieces.places[int(ids[k])]
+        hits += [(first[k] + i, max(a, b)) for i, a, b in h]
+        yous += [first[k] + i for i in y]
+    place, weight = np.array(hits).T
+    yous = np.array(yous)
+    at = np.searchsorted(yous, place)
+    gap = np.minimum(np.abs(yous[np.maximum(at - 1, 0)] - place), np.abs(yous[np.minimum(at, len(yous) - 1)] - place))
+    return float(np.max(np.where(gap <= _NEAR, weight / (1 + gap), 0.0)))
+
+
+def features(text: str | None, pieces: _Pieces) -> list[float]:
     """The dense features of one whole text, in the order of FEATURES."""
     if not text:
         return [0.0] * len(FEATURES)
-    low = text.lower()
-    words = _WORDS.findall(low)
-    n, size = len(words), len(text)
-    get = lexicon.get
-    hits = [(i, get(w, 0.0), get(w[:5] + "*", 0.0) or get(w[:4] + "*", 0.0)) for i, w in enumerate(words)]
-    hits = [h for h in hits if h[1] or h[2]]
-    near = 0.0
-    yous = [i for i, w in enumerate(words) if w in _YOU]
-    if hits and yous:
-        at = np.searchsorted(yous, [h[0] for h in hits])
-        for (i, a, b), k in zip(hits, at):
-            gap = min(abs(yous[j] - i) for j in (k - 1, k) if 0 <= j < len(yous))
-            if gap <= _NEAR:
-                near = max(near, max(a, b) / (1 + gap))
-    mixed = _MIXED.findall(low)
-    opened = sum(bool(get(x) or get(x[:5] + "*") or get(x[:4] + "*")) for x in (_INNER.sub("", m).translate(_LEET).strip("?,;:") for m in mixed))
-    upper = sum(map(str.isupper, text)) if text != low else 0
-    letters = sum(map(len, words)) or 1
-    per = 1.0 / max(n, 1)
+    ids, rows = pieces.of(text)
+    if not len(ids):
+        return [0.0] * len(FEATURES)
+    n, letters, upper, capital, mixed, opened, weight, prefix, hits, yous, _ = rows.sum(0).tolist()
+    per, size = 1.0 / max(n, 1), len(text)
     return [
-        sum(h[1] for h in hits) * per,
-        sum(h[2] for h in hits) * per,
-        max((max(h[1], h[2]) for h in hits), default=0.0),
-        math.log1p(len(hits)),
-        near,
-        len(yous) * per,
-        upper / letters,
-        sum(1 for w in _WORDS.findall(text) if len(w) > 1 and w.isupper()) * per if upper else 0.0,
+        weight * per,
+        prefix * per,
+        float(rows[:, -1].max()),
+        math.log1p(hits),
+        _closeness(ids, rows, pieces) if hits and yous else 0.0,
+        yous * per,
+        upper / (letters or 1),
+        capital * per,
         sum(map(text.count, ".,;:?!")) / size,
         text.count("!") / size,
-        len(mixed) * per,
+        mixed * per,
         opened * per,
         math.log1p(n),
     ]
@@ -99,8 +158,8 @@ def featured(docs: DataFrame, lexicon: dict[str, float], id_col: str, text_col:
     broadcast = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def make():
-        known = broadcast.value
-        return lambda texts: ([features(t, known) for t in texts],)
+        pieces = _Pieces(broadcast.value)
+        return lambda texts: ([features(t, pieces) for t in texts],)
 
     raw = text_pass(docs, id_col, text_col, make, [("_features", T.ArrayType(T.DoubleType()), pa.list_(pa.float64()))], keep)
     return raw.withColumn("_features", array_to_vector("_features"))
