@@ -92,7 +92,8 @@ def matches(events: DataFrame, rules: DataFrame, min_value: float | None = None)
     joined = joined.withColumns({"threshold": threshold, "sector_ok": (F.size("sectors") == 0) | related(F.col("sector"), F.col("sectors"))})
     text = joined.withColumn("_text", _text())
     keyword = F.exists("keywords", lambda k: F.col("_text").contains(k))
-    return text.filter((keyword | F.col("sector_ok")) & ((F.col("threshold") == 0) | (F.coalesce("value", F.lit(0)) >= F.col("threshold")))).drop("_text")
+    worth = (F.col("threshold") == 0) | (F.coalesce("value", F.lit(0)) >= F.col("threshold"))
+    return text.filter(worth & (F.col("sector_ok") | keyword)).drop("_text")  # the keywords are searched last
 
 
 def detect(events: DataFrame, rules: DataFrame, signals: DataFrame | None = None, min_value: float | None = None) -> DataFrame:

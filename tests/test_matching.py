@@ -226,3 +226,9 @@ def test_text_forms(spark):
     assert (row.core, row.domain, row.id, row.s1, row.s2) == ("acme infra", "acme.example", "AB12", "c_level", "director")
     assert "1200" in row.n and "50cr" in row.n
     assert (row.v1, row.v2, row.d, row.a1, row.a2, row.c) == ("₹2.5 cr", "1,500 USD", "2026-08-07", 1.0, 1.0, 0.0)
+
+
+def test_name_ratio_is_that_of_whole_names(spark):
+    rows = [("acme infra ltd", "acme infra limited"), ("a", None), (None, "a"), ("", ""), ("bharat", "bharath")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", m.name_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert all(x.r == (None if None in (x.a, x.b) else SequenceMatcher(None, x.a, x.b).ratio()) for x in got)

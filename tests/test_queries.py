@@ -45,4 +45,4 @@ def test_query_equals_its_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).columns
+    assert catalog.QUERIES[name](spark, DATA).count() > 0
