@@ -276,10 +276,10 @@ def company_forms(observations: DataFrame) -> DataFrame:
 
 def _first(forms: DataFrame, key: str, confidence: Column | float) -> DataFrame:
     """Each observation (b) with the first one (a) that has its key."""
-    x = checkpointed(forms.filter(F.col(key).isNotNull()))
+    x = forms.filter(F.col(key).isNotNull())
     fields = [c for c in x.columns if c != key]
-    table = x.groupBy(key).agg(F.min_by(F.struct(*fields), "obs_id").alias("_a"), F.count("*").alias("_rows"))
-    j = by_key(x, checkpointed(table), [key], x.count())
+    table = checkpointed(x.groupBy(key).agg(F.min_by(F.struct(*fields), "obs_id").alias("_a"), F.count("*").alias("_rows")))
+    j = by_key(x, table, [key], table.agg(F.sum("_rows")).first()[0] or 0)
     named = j.select(*(F.col(c).alias(f"{c}_b") for c in fields), *(F.col(f"_a.{c}").alias(f"{c}_a") for c in fields), F.col(key).alias(f"{key}_a"), F.col(key).alias(f"{key}_b"))
     how = confidence if isinstance(confidence, Column) else F.lit(confidence)
     return named.filter("obs_id_a < obs_id_b").withColumns({"confidence": how, "kind": F.lit(key)})
@@ -302,6 +302,7 @@ def conflicts(forms: DataFrame) -> DataFrame:
 def key_matches(forms: DataFrame) -> DataFrame:
     """(a, b, kind, confidence): the best match of b with the first holder a of one of its registration ids or of its
     domain, without conflicts."""
+    forms = checkpointed(forms)
     every = reduce(DataFrame.unionByName, (_first(forms, k, c).select("obs_id_a", "obs_id_b", *(f"{k}_{x}" for k in ("cin", "gstin", "pan") for x in "ab"), "confidence", "kind") for k, c in KEYS))
     best = every.filter(_no_conflict()).groupBy(F.col("obs_id_b").alias("b")).agg(F.max(F.struct("confidence", (-F.col("obs_id_a")).alias("n"), "kind")).alias("x"))
     return best.select((-F.col("x.n")).alias("a"), "b", "x.kind", "x.confidence")
@@ -315,6 +316,7 @@ def name_matches(forms: DataFrame) -> DataFrame:
 
 def candidates(forms: DataFrame) -> DataFrame:
     """Each observation with the first holders of its keys, core and full name: a union instead of a disjunction."""
+    forms = checkpointed(forms)
     return reduce(DataFrame.union, (_first(forms, k, 0.0).selectExpr(*_ENDS) for k in ("cin", "gstin", "pan", "domain", "core", "full"))).distinct()
 
 
