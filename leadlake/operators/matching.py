@@ -1,6 +1,6 @@
 """Entity matching: event reports to canonical events, company observations to companies.
 
-Rows that share a key are never paired with each other: each meets the first row of its key, or the key's own summary.
+Rows that share a key are never paired with each other: each meets the first row of its key, or a summary of the key.
 Pairs are formed only where values must be compared, and then inside bands of value and date or among rows that share
 rare parts. The two order-dependent steps are leader clustering, in parallel rounds, and the company fold, one ordered
 stream per connected component.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from leadlake.functions import text as tx
 from leadlake.functions import values as v
-from leadlake.operators.joins import by_key
+from leadlake.operators.joins import by_key, components
 from leadlake.session import checkpointed, ship
 
 # --- similarity ---
@@ -270,76 +270,109 @@ def company_forms(observations: DataFrame) -> DataFrame:
     name = F.col("raw_name")
     return observations.select(
         "obs_id", tx.empty_to_null(tx.company_core(name)).alias("core"), tx.company_full(name).alias("full"), tx.company_display(name).alias("display"),
-        key("cin").alias("cin"), key("gstin").alias("gstin"), key("pan").alias("pan"), tx.domain(F.col("website")).alias("domain"), F.lower("city").alias("city"), F.lower("state").alias("state"),
+        key("cin").alias("cin"), key("gstin").alias("gstin"), key("pan").alias("pan"), tx.domain(F.col("website")).alias("domain"), tx.empty_to_null(F.lower(F.trim("city"))).alias("city"), tx.empty_to_null(F.lower(F.trim("state"))).alias("state"),
     )
 
 
-def _first(forms: DataFrame, key: str, confidence: Column | float) -> DataFrame:
-    """Each observation (b) with the first one (a) that has its key."""
-    x = forms.filter(F.col(key).isNotNull())
-    fields = [c for c in x.columns if c != key]
-    table = checkpointed(x.groupBy(key).agg(F.min_by(F.struct(*fields), "obs_id").alias("_a"), F.count("*").alias("_rows")))
-    j = by_key(x, table, [key], table.agg(F.sum("_rows")).first()[0] or 0)
-    named = j.select(*(F.col(c).alias(f"{c}_b") for c in fields), *(F.col(f"_a.{c}").alias(f"{c}_a") for c in fields), F.col(key).alias(f"{key}_a"), F.col(key).alias(f"{key}_b"))
-    how = confidence if isinstance(confidence, Column) else F.lit(confidence)
-    return named.filter("obs_id_a < obs_id_b").withColumns({"confidence": how, "kind": F.lit(key)})
+#: Registration ids: two observations that both have one of a kind must have the same.
+IDS = ("cin", "gstin", "pan")
+
+
+def _kinds(forms: DataFrame, keys: dict[str, Column], *more: str) -> DataFrame:
+    """(obs_id, more, kind, value): a row for each key that an observation has."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in keys.items())))
+    return forms.select("obs_id", *more, kinds.alias("x")).select("obs_id", *more, "x.*").dropna(subset=["value"])
+
+
+def earliest_compatible(forms: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """(obs_id, kind, a): for each kind of key, each observation with the earliest one of all that have its key and no
+    other registration id, where that is an earlier one.
+
+    A null id agrees with every other, so compatibility is not transitive and no row stands for a whole key. Observations
+    of one key and the same ids are a class. A class is entered into a table of least ids under each of the 8 patterns
+    of its ids, a pattern having an id as it is (or none) or any; it then looks up the patterns that agree with it: an id
+    that it has, as such and as none, and one that it lacks, as any. So there is no pair of rows or classes of a key."""
+    on = ["kind", "value"]
+    rows = _kinds(forms.withColumns({f"_{k}": F.col(k) for k in IDS}), keys, *(f"_{k}" for k in IDS))
+    ids = [f"_{k}" for k in IDS]
+    own = {k: F.coalesce(F.concat(F.lit("="), k), F.lit("-")) for k in ids}
+    rows = checkpointed(rows.withColumns(own))
+    classes = checkpointed(rows.groupBy(*on, *ids).agg(F.min("obs_id").alias("first"), F.count("*").alias("_rows")))
+
+    def patterns(options: dict[str, Column]) -> DataFrame:
+        found = classes
+        for k in ids:
+            found = found.withColumn(f"{k}p", F.explode(options[k]))
+        return found
+
+    key = [*on, *(f"{k}p" for k in ids)]
+    held = patterns({k: F.array(F.col(k), F.lit("*")) for k in ids}).select(*key, "first", F.lit(0).alias("_asks"))
+    asked = patterns({k: F.when(F.col(k) == "-", F.array(F.lit("*"))).otherwise(F.array(F.col(k), F.lit("-"))) for k in ids})
+    both = held.unionByName(asked.select(*key, F.lit(None).cast(dict(classes.dtypes)["first"]).alias("first"), F.lit(1).alias("_asks")))
+    table = checkpointed(both.groupBy(*key).agg(F.min("first").alias("a"), F.sum("_asks").alias("_rows")).filter("a is not null and _rows > 0"))
+    found = by_key(asked.select(*on, *ids, *(f"{k}p" for k in ids)), table, key, table.agg(F.sum("_rows")).first()[0] or 0)
+    sizes = classes.select(*on, *ids, "_rows")
+    best = checkpointed(found.groupBy(*on, *ids).agg(F.min("a").alias("a")).join(sizes, [*on, *ids]))
+    return by_key(rows, best, [*on, *ids], rows.count()).filter("a < obs_id").select("obs_id", "kind", "a")
+
+
+def _best(found: DataFrame, confidence: dict[str, float]) -> DataFrame:
+    """(a, b, kind, confidence): of each observation b the match of most confidence, the earliest of equals."""
+    weight = F.create_map(*(F.lit(x) for kv in confidence.items() for x in kv))
+    best = found.withColumn("confidence", weight[F.col("kind")]).groupBy(F.col("obs_id").alias("b")).agg(F.max(F.struct("confidence", (-F.col("a")).alias("n"), "kind")).alias("x"))
+    return best.select((-F.col("x.n")).alias("a"), "b", "x.kind", "x.confidence")
 
 
-def _no_conflict() -> Column:
-    """No registration id is present on both sides with different values."""
-    return ~reduce(lambda p, q: p | q, (F.coalesce(F.col(f"{k}_a") != F.col(f"{k}_b"), F.lit(False)) for k in ("cin", "gstin", "pan")))
+def key_matches(forms: DataFrame) -> DataFrame:
+    """(a, b, kind, confidence): the best match of b among all earlier observations that share a registration id or the
+    domain with it and conflict in no id."""
+    return _best(earliest_compatible(forms, {k: F.col(k) for k, _ in KEYS}), dict(KEYS))
 
 
-_ENDS = ("obs_id_a AS a", "obs_id_b AS b")
+def name_matches(forms: DataFrame) -> DataFrame:
+    """(a, b, confidence): the best match of b among all earlier observations of its core name that conflict in no id: 0.92
+    where the city or the state is the same, 0.85 otherwise."""
+    placed = lambda c: F.concat("core", F.lit("\u0000"), c)  # noqa: E731  null where there is no place
+    keys = {"city": placed("city"), "state": placed("state"), "core": F.col("core")}
+    return _best(earliest_compatible(forms, keys), {"city": 0.92, "state": 0.92, "core": 0.85}).drop("kind")
 
 
 def conflicts(forms: DataFrame) -> DataFrame:
-    """Observations that must not merge with another one of their core name, as a registration id differs: with the
-    first one that has such an id."""
-    return reduce(DataFrame.union, (_first(forms.filter(F.col(k).isNotNull()), "core", 0.0).filter(F.col(f"{k}_a") != F.col(f"{k}_b")).selectExpr(*_ENDS) for k in ("cin", "gstin", "pan"))).distinct()
+    """(a, b): each observation b that has the core name, but not the registration id of another one, with the earliest
+    such a of each kind of id. Of a name, the first holders of its two earliest ids tell that for all rows."""
+    rows = checkpointed(_kinds(forms, {k: F.col(k) for k in IDS}, "core").dropna(subset=["core"]))
+    values = checkpointed(rows.groupBy("core", "kind", "value").agg(F.min("obs_id").alias("id"), F.count("*").alias("n")))
+    first = checkpointed(values.groupBy("core", "kind").agg(F.min(F.struct("id", "value")).alias("one"), F.count("*").alias("_rows"), F.sum("n").alias("n")).filter("_rows > 1"))
+    others = by_key(values.select("core", "kind", "value", "id"), first.select("core", "kind", "one", "_rows"), ["core", "kind"], values.count())
+    second = others.filter("value <> one.value").groupBy("core", "kind").agg(F.min("id").alias("two"))
+    told = checkpointed(first.select("core", "kind", "one", F.col("n").alias("_rows")).join(second, ["core", "kind"]))
+    other = F.when(F.col("value") == F.col("one.value"), F.col("two")).otherwise(F.col("one.id"))
+    return by_key(rows, told, ["core", "kind"], rows.count()).select(other.alias("a"), F.col("obs_id").alias("b")).distinct()
 
 
-def key_matches(forms: DataFrame) -> DataFrame:
-    """(a, b, kind, confidence): the best match of b with the first holder a of one of its registration ids or of its
-    domain, without conflicts."""
-    forms = checkpointed(forms)
-    every = reduce(DataFrame.unionByName, (_first(forms, k, c).select("obs_id_a", "obs_id_b", *(f"{k}_{x}" for k in ("cin", "gstin", "pan") for x in "ab"), "confidence", "kind") for k, c in KEYS))
-    best = every.filter(_no_conflict()).groupBy(F.col("obs_id_b").alias("b")).agg(F.max(F.struct("confidence", (-F.col("obs_id_a")).alias("n"), "kind")).alias("x"))
-    return best.select((-F.col("x.n")).alias("a"), "b", "x.kind", "x.confidence")
-
-
-def name_matches(forms: DataFrame) -> DataFrame:
-    """Observations with the first one of their core name: 0.92 where the city, or else the state, agrees, 0.85 otherwise."""
-    place = F.when(F.col("city_a").isNotNull() & F.col("city_b").isNotNull(), F.col("city_a") == F.col("city_b")).otherwise(F.coalesce(F.col("state_a") == F.col("state_b"), F.lit(False)))
-    return _first(forms, "core", F.when(place, 0.92).otherwise(0.85)).filter(_no_conflict()).selectExpr(*_ENDS, "confidence")
+#: What makes an observation a candidate for another one.
+BLOCKS = ("cin", "gstin", "pan", "domain", "core", "full")
 
 
 def candidates(forms: DataFrame) -> DataFrame:
-    """Each observation with the first holders of its keys, core and full name: a union instead of a disjunction."""
-    forms = checkpointed(forms)
-    return reduce(DataFrame.union, (_first(forms, k, 0.0).selectExpr(*_ENDS) for k in ("cin", "gstin", "pan", "domain", "core", "full"))).distinct()
+    """(obs_id, kind, block, holders): the blocks of each observation, a block being all observations with one value of a
+    registration id, domain, core or full name, called by the earliest of them. Two observations are candidates for each
+    other if and only if they share a block; blocks of one are left out."""
+    rows = checkpointed(_kinds(forms, {k: F.col(k) for k in BLOCKS}))
+    blocks = checkpointed(rows.groupBy("kind", "value").agg(F.min("obs_id").alias("block"), F.count("*").alias("holders")).filter("holders > 1").withColumn("_rows", F.col("holders")))
+    return by_key(rows, blocks, ["kind", "value"], rows.count()).select("obs_id", "kind", "block", "holders")
 
 
 def key_groups(forms: DataFrame) -> DataFrame:
-    """(obs_id, grp): connected components of observations that share any key, by label propagation over key values;
-    each round is two aggregations, with no pairs."""
-    key = F.explode(F.filter(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(k + ":"), F.col(k))) for k in ("cin", "gstin", "pan", "domain", "core", "full"))), lambda x: x.isNotNull()))
-    links = checkpointed(forms.select("obs_id", key.alias("k")))
-    label = checkpointed(forms.select("obs_id", F.col("obs_id").alias("grp")))
-    while True:
-        low = links.join(label, "obs_id").groupBy("k").agg(F.min("grp").alias("m"))
-        new = links.join(low, "k").groupBy("obs_id").agg(F.min("m").alias("m"))
-        nxt = checkpointed(label.join(new, "obs_id", "left").select("obs_id", F.coalesce("m", "grp").alias("new"), "grp"))
-        if not nxt.filter("new <> grp").head(1):
-            return nxt.select("obs_id", "grp")
-        label = nxt.select("obs_id", F.col("new").alias("grp"))
+    """(obs_id, grp): connected components of observations that share any key; each is tied to the first of its blocks."""
+    ties = candidates(forms).filter("obs_id <> block").select(F.col("obs_id").alias("a"), F.col("block").alias("b"))
+    found = components(ties)
+    return forms.select("obs_id").join(found.withColumnRenamed("id", "obs_id"), "obs_id", "left").select("obs_id", F.coalesce("component", "obs_id").alias("grp"))
 
 
 class _Companies:
     """The companies of one key group as they are made, found by key in constant time."""
 
-    IDS = ("cin", "gstin", "pan")
-
     def __init__(self):
         self.made: list[dict] = []
         self.by: dict[tuple, dict[str | None, list[int]]] = {}  # (key, value) -> company's cin -> companies, in order
@@ -354,18 +387,18 @@ class _Companies:
         if not known:
             return None
         lists = known.values() if not r["cin"] else [known[c] for c in (r["cin"], None) if c in known]
-        agree = lambda n: not any(r[k] and self.made[n][k] and r[k] != self.made[n][k] for k in self.IDS)
+        agree = lambda n: not any(r[k] and self.made[n][k] and r[k] != self.made[n][k] for k in IDS)
         return min((n for n in (next(filter(agree, x), None) for x in lists) if n is not None), default=None)
 
     def named(self, r: dict, key: str, value: str | None):
         """All companies with a name, in order, whose registration ids do not differ from those of a row."""
         known = self.by.get((key, value), {}) if value else {}
         lists = list(known.values()) if not r["cin"] else [known[c] for c in (r["cin"], None) if c in known]
-        return (n for n in heapq.merge(*lists) if not any(r[k] and self.made[n][k] and r[k] != self.made[n][k] for k in self.IDS))
+        return (n for n in heapq.merge(*lists) if not any(r[k] and self.made[n][k] and r[k] != self.made[n][k] for k in IDS))
 
     def add(self, r: dict) -> int:
         n = len(self.made)
-        self.made.append({k: None for k in (*self.IDS, "domain", "city", "state", "core")} | {"id": r["obs_id"], "aliases": set()})
+        self.made.append({k: None for k in (*IDS, "domain", "city", "state", "core")} | {"id": r["obs_id"], "aliases": set()})
         self.learn(n, r)
         self.made[n]["core"] = r["core"]
         self._put(n, "core", r["core"])
@@ -402,7 +435,7 @@ def _fold(made: _Companies, r: dict) -> tuple[int, float | None]:
             c = made.made[m]
             if r["domain"] and r["domain"] == c["domain"]:
                 continue
-            if r["city"] == c["city"] if r["city"] and c["city"] else bool(r["state"]) and r["state"] == c["state"]:
+            if any(r[k] and r[k] == c[k] for k in ("city", "state")):
                 weight, n = 0.92, m
                 break
             if n is None:

@@ -110,7 +110,8 @@ def detect(events: DataFrame, rules: DataFrame, signals: DataFrame | None = None
     if signals is None:
         m = m.withColumns({"add_signals": F.lit(0.0), "corroborated_by": F.array().cast("array<string>")})
     else:
-        known = signals.groupBy("company_id").agg(F.map_from_entries(F.collect_list(F.struct("signal", "confidence"))).alias("_known"))
+        each = signals.filter("signal is not null").groupBy("company_id", "signal").agg(F.max("confidence").alias("confidence"))
+        known = each.groupBy("company_id").agg(F.map_from_entries(F.collect_list(F.struct("signal", "confidence"))).alias("_known"))
         m = m.join(known, "company_id", "left")
         have = F.filter("signals", lambda x: F.map_contains_key(F.col("_known"), x))
         m = m.withColumn("corroborated_by", F.coalesce(have, F.array().cast("array<string>")))

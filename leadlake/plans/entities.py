@@ -100,7 +100,7 @@ def u04(s, d):
 
 # --- companies ---
 
-CF = {"cf": f"SELECT obs_id, nullif({CORE_SQL}, '') AS core, {FULL_SQL} AS full_name, nullif(upper(trim(cin)), '') AS cin, nullif(upper(trim(gstin)), '') AS gstin, nullif(upper(trim(pan)), '') AS pan, {DOMAIN_SQL} AS domain, lower(city) AS city, lower(state) AS state FROM co"}
+CF = {"cf": f"SELECT obs_id, nullif({CORE_SQL}, '') AS core, {FULL_SQL} AS full_name, nullif(upper(trim(cin)), '') AS cin, nullif(upper(trim(gstin)), '') AS gstin, nullif(upper(trim(pan)), '') AS pan, {DOMAIN_SQL} AS domain, lower(trim(city)) AS city, lower(trim(state)) AS state FROM co"}
 CONFLICT = "(coalesce(a.cin <> b.cin, false) OR coalesce(a.gstin <> b.gstin, false) OR coalesce(a.pan <> b.pan, false))"
 
 
@@ -108,22 +108,25 @@ def forms(s, d):
     return m.company_forms(fx.companies(s, d))
 
 
-#: Each observation b with the first one a that has its key.
-def _first(k: str, more: str = "true", extra: str = "", known: str = "true") -> str:
-    return f"SELECT a.obs_id AS a, b.obs_id AS b{extra} FROM (SELECT *, min(obs_id) OVER (PARTITION BY {k}) AS f FROM cf WHERE {k} IS NOT NULL AND {known}) b JOIN cf a ON a.obs_id = b.f AND a.obs_id < b.obs_id WHERE {more}"
+#: All pairs of observations that may match, each b with every earlier a; of each b the best, the earliest of equals.
+def _pairs(k: str, more: str = "") -> str:
+    return f"SELECT a.obs_id AS a, b.obs_id AS b{more} FROM cf a JOIN cf b ON a.{k} = b.{k} AND a.obs_id < b.obs_id WHERE NOT {CONFLICT}"
 
 
-@query("J06_company_keys", sql("SELECT arg_max(a, {'c': confidence, 'n': -a}) AS a, b, arg_max(kind, {'c': confidence, 'n': -a}) AS kind, max(confidence) AS confidence FROM (" + " UNION ALL ".join(_first(k, f"NOT {CONFLICT}", f", '{k}' AS kind, {c} AS confidence") for k, c in m.KEYS) + ") GROUP BY b", "co", more=CF))
+@query("J06_company_keys", sql("SELECT arg_max(a, {'c': confidence, 'n': -a}) AS a, b, arg_max(kind, {'c': confidence, 'n': -a}) AS kind, max(confidence) AS confidence FROM (" + " UNION ALL ".join(_pairs(k, f", '{k}' AS kind, {c} AS confidence") for k, c in m.KEYS) + ") GROUP BY b", "co", more=CF))
 def j06(s, d):
     return m.key_matches(forms(s, d))
 
 
-@query("J07_registration_conflicts", sql(" UNION ".join(_first("core", f"a.{k} <> b.{k}", known=f"{k} IS NOT NULL") for k in ("cin", "gstin", "pan")), "co", more=CF))
+@query("J07_registration_conflicts", sql("SELECT DISTINCT a, b FROM (" + " UNION ALL ".join(f"SELECT min(a.obs_id) AS a, b.obs_id AS b FROM cf a JOIN cf b ON a.core = b.core WHERE a.{k} <> b.{k} GROUP BY b.obs_id" for k in m.IDS) + ")", "co", more=CF))
 def j07(s, d):
     return m.conflicts(forms(s, d))
 
 
-@query("J08_company_names", sql(_first("core", f"NOT {CONFLICT}", ", CASE WHEN CASE WHEN a.city IS NOT NULL AND b.city IS NOT NULL THEN a.city = b.city ELSE coalesce(a.state = b.state, false) END THEN 0.92 ELSE 0.85 END AS confidence"), "co", more=CF))
+PLACE = "CASE WHEN coalesce(a.city = b.city, false) OR coalesce(a.state = b.state, false) THEN 0.92 ELSE 0.85 END"
+
+
+@query("J08_company_names", sql("SELECT arg_max(a, {'c': confidence, 'n': -a}) AS a, b, max(confidence) AS confidence FROM (" + _pairs("core", f", {PLACE} AS confidence") + ") GROUP BY b", "co", more=CF))
 def j08(s, d):
     return m.name_matches(forms(s, d))
 
@@ -144,8 +147,12 @@ def x41(s, d):
     return f.join(first, "domain").filter("x.obs_id < obs_id").select(F.col("x.obs_id").alias("a"), F.col("obs_id").alias("b"), m.name_ratio(F.col("x.full"), F.col("full")).alias("ratio"))
 
 
-@query("J10_company_candidates", sql(" UNION ".join(_first(k) for k in ("cin", "gstin", "pan", "domain", "core", "full_name")), "co", more=CF))
+_KINDS = ("cin", "gstin", "pan", "domain", "core", "full_name")
+
+
+@query("J10_company_candidates", sql("SELECT obs_id, kind, min(obs_id) OVER (PARTITION BY kind, value) AS block, count(*) OVER (PARTITION BY kind, value) AS holders FROM (" + " UNION ALL ".join(f"SELECT obs_id, '{k.removesuffix('_name')}' AS kind, {k} AS value FROM cf WHERE {k} IS NOT NULL" for k in _KINDS) + ") QUALIFY holders > 1", "co", more=CF))
 def j10(s, d):
+    """The blocks whose members are each observation's candidates: membership instead of all pairs of a block."""
     return m.candidates(forms(s, d))
 
 

@@ -137,6 +137,8 @@ VIEWS = {
       (c_custkey % 40 + 50) / 100 AS confidence, c_custkey % 5 = 0 AS verified, c_acctbal < 0 AS do_not_contact FROM customer""",
 }
 _NEEDS = {"rp": ("ev",)}
+#: Common table expressions that are computed once for all that reads them.
+ONCE = ("l0", "l2")
 
 
 def sql(body: str, *views: str, more: dict[str, str] | None = None) -> str:
@@ -144,5 +146,5 @@ def sql(body: str, *views: str, more: dict[str, str] | None = None) -> str:
     names: list[str] = []
     for v in views:
         names += [x for x in (*_NEEDS.get(v, ()), v) if x not in names]
-    parts = [f"{v} AS ({VIEWS[v]})" for v in names] + [f"{k} AS ({v})" for k, v in (more or {}).items()]
+    parts = [f"{v} AS ({VIEWS[v]})" for v in names] + [f"{k} AS {'MATERIALIZED ' * (k in ONCE)}({v})" for k, v in (more or {}).items()]
     return (f"WITH {', '.join(parts)} " if parts else "") + body

@@ -114,3 +114,15 @@ def test_board_filters(spark):
     assert [r.lead_id for r in bd.board(d, as_of, date_days=30).collect()] == [1]
     assert sorted(r.lead_id for r in bd.board(d, as_of, date_days=30, keep_undated=True).collect()) == [1, 2]
     assert bd.board(d, as_of, company="acm", score_min=91).count() == 1
+
+
+def test_repeated_signals_of_a_company(spark):
+    """A company that has a signal twice counts it once, with its highest confidence."""
+    events = spark.createDataFrame([(1, 7, "contract_award", "IT", 10**9, "Acme", "digital governance platform")], "event_id long, company_id long, event_type string, sector string, value long, awardee string, project string")
+    rules = opportunities.default_rules(spark)
+    name = rules.select(F.explode("signals").alias("s")).first().s
+    once = [(7, name, 0.5)]
+    cols = "company_id long, signal string, confidence double"
+    plain = opportunities.detect(events, rules, spark.createDataFrame(once, cols)).orderBy("product_id").collect()
+    again = opportunities.detect(events, rules, spark.createDataFrame([*once, (7, name, 0.2), (7, None, 0.9), *once], cols)).orderBy("product_id").collect()
+    assert again == plain and any(r.corroborated_by for r in plain)

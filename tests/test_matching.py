@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leadlake.functions import text as tx
 from leadlake.functions import values as v
+from leadlake.operators import joins
 from leadlake.operators import matching as m
 from leadlake.session import checkpointed
 
@@ -75,7 +76,7 @@ def test_companies(spark):
     f = m.company_forms(spark.createDataFrame(COMPANIES, "obs_id long, raw_name string, cin string, gstin string, pan string, website string, city string, state string"))
     got = {r.obs_id: r.company_id for r in m.resolve(f).collect()}
     assert got[1] == got[2] == got[3] == 1 and got[4] == 4 and got[5] == 5 and got[6] != got[7]
-    assert [(r.a, r.b) for r in m.conflicts(f).collect()] == [(3, 4)]
+    assert {(r.a, r.b) for r in m.conflicts(f).collect()} == {(3, 4), (4, 3)}
 
 
 def plain_resolve(rows):
@@ -88,7 +89,7 @@ def plain_resolve(rows):
                 continue
             conf = max((w for k, w in m.KEYS if r[k] and r[k] == c[k]), default=0.0)
             if not conf and r["core"] and (r["core"] == c["core"] or r["full"] in c["aliases"]):
-                near = r["city"] == c["city"] if r["city"] and c["city"] else bool(r["state"]) and r["state"] == c["state"]
+                near = any(r[k] and r[k] == c[k] for k in ("city", "state"))
                 conf = 0.92 if near else 0.85
             if conf > how:
                 best, how = c, conf
@@ -120,7 +121,82 @@ def test_a_portal_that_all_share_is_folded_whole(spark):
     rows = spark.range(3000).selectExpr("id AS obs_id", "concat('Firm ', id) AS raw_name", "concat('C', id) AS cin", "CAST(NULL AS string) AS gstin", "CAST(NULL AS string) AS pan", "'portal.example' AS website", "CAST(NULL AS string) AS city", "'KA' AS state")
     f = m.company_forms(rows)
     assert m.resolve(f).filter("obs_id <> company_id").count() == 0
-    assert m.candidates(f).count() == 2999 and m.key_matches(f).count() == 0
+    assert {(r.kind, r.block, r.holders) for r in m.candidates(f).collect()} == {("domain", 0, 3000)} and m.key_matches(f).count() == 0
+
+
+def pairs_of(rows):
+    """Every earlier a of every b that conflicts in no registration id."""
+    for b in rows:
+        for a in rows:
+            if a["obs_id"] < b["obs_id"] and not any(a[k] and b[k] and a[k] != b[k] for k in m.IDS):
+                yield a, b
+
+
+def best_of(found):
+    """b -> (confidence, earliest a) of (a, b, confidence)."""
+    out = {}
+    for a, b, c in found:
+        out[b] = max(out.get(b, (0, 0)), (c, -a))
+    return {b: (c, -a) for b, (c, a) in out.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_company_matches_equal_all_pairs(spark, seed):
+    """Best matches, conflicts and candidate blocks against every pair, over rows whose compatibility is not transitive."""
+    rng = random.Random(seed)
+    pick = lambda x, share: rng.choice(x) if rng.random() < share else None
+    rows = [
+        {"obs_id": i, "core": pick(["a", "b", "c", "hot"], 0.9), "full": pick(["f", "g"], 0.5), "cin": pick("123", 0.4), "gstin": pick("45", 0.3), "pan": pick("67", 0.2), "domain": pick(["x.example", "portal.example"], 0.5),
+         "city": pick(["p", "q", "r"], 0.5), "state": pick(["s", "t"], 0.5)}
+        for i in range(150)
+    ]
+    f = spark.createDataFrame(rows, "obs_id long, core string, full string, cin string, gstin string, pan string, domain string, city string, state string")
+    keys = best_of((a["obs_id"], b["obs_id"], c) for a, b in pairs_of(rows) for k, c in m.KEYS if a[k] and a[k] == b[k])
+    assert {r.b: (r.confidence, r.a) for r in m.key_matches(f).collect()} == keys
+    names = best_of((a["obs_id"], b["obs_id"], 0.92 if any(a[k] and a[k] == b[k] for k in ("city", "state")) else 0.85) for a, b in pairs_of(rows) if a["core"] and a["core"] == b["core"])
+    assert {r.b: (r.confidence, r.a) for r in m.name_matches(f).collect()} == names and {c for c, _ in names.values()} == {0.85, 0.92}
+    differ = {(min(x for x in own), b["obs_id"]) for b in rows for k in m.IDS if (own := [a["obs_id"] for a in rows if a["core"] and a["core"] == b["core"] and a[k] and b[k] and a[k] != b[k]])}
+    assert {(r.a, r.b) for r in m.conflicts(f).collect()} == differ
+    blocks = collections.defaultdict(set)
+    for r in m.candidates(f).collect():
+        blocks[r.kind, r.block].add(r.obs_id)
+        assert r.holders == sum(x[r.kind] is not None and x[r.kind] == rows[r.block][r.kind] for x in rows)
+    shared = {(a, b) for x in blocks.values() for a in x for b in x if a < b}
+    assert shared == {(a["obs_id"], b["obs_id"]) for a in rows for b in rows if a["obs_id"] < b["obs_id"] and any(a[k] is not None and a[k] == b[k] for k in m.BLOCKS)}
+
+
+def test_rows_that_only_later_holders_match(spark):
+    """Four rows of one core name: the third conflicts with the first holder of the domain, the second is its match."""
+    rows = [(1, "Acme Infra", "CINA", "a.example", "Pune", "MH"), (2, "Acme Infra", None, "a.example", "Delhi", None), (3, "Acme Infra", "CINB", "a.example", "Delhi", None), (4, "Acme Infra", "CINA", None, "Delhi", None)]
+    cols = "obs_id long, raw_name string, cin string, website string, city string, state string"
+    f = m.company_forms(spark.createDataFrame(rows, cols).withColumns({"gstin": F.lit(None).cast("string"), "pan": F.lit(None).cast("string")}))
+    assert {(r.a, r.b, r.kind) for r in m.key_matches(f).collect()} == {(1, 2, "domain"), (2, 3, "domain"), (1, 4, "cin")}
+    assert {(r.a, r.b, r.confidence) for r in m.name_matches(f).collect()} == {(1, 2, 0.85), (2, 3, 0.92), (2, 4, 0.92)}
+    assert {(r.a, r.b) for r in m.conflicts(f).collect()} == {(3, 1), (1, 3), (3, 4)}
+
+
+def test_two_cities_in_one_state_are_one_place(spark):
+    rows = [(1, "Acme Infra", "Pune", " MH "), (2, "Acme Infra", "Nagpur", "mh"), (3, "Beta", "", ""), (4, "Beta", "", "")]
+    f = m.company_forms(spark.createDataFrame(rows, "obs_id long, raw_name string, city string, state string").withColumns({k: F.lit(None).cast("string") for k in ("cin", "gstin", "pan", "website")}))
+    assert {(r.a, r.b, r.confidence) for r in m.name_matches(f).collect()} == {(1, 2, 0.92), (3, 4, 0.85)}
+    assert {r.obs_id: (r.company_id, r.confidence) for r in m.resolve(f).collect()} == {1: (1, None), 2: (1, 0.92), 3: (3, None), 4: (3, 0.85)}
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(7)
+    ties = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    root = {x: x for t in ties for x in t}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in ties:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.id: r.component for r in joins.components(spark.createDataFrame(ties, "a long, b long")).collect()}
+    assert got == {x: find(x) for t in ties for x in t if t[0] != t[1]}
 
 
 def plain_events(reports, texts):
