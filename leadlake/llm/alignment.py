@@ -58,6 +58,9 @@ class Chunks(dict):
         for token, i in ranks.items():
             self.bytes_a[i] = token
         self.width = len(self.bytes_b)
+        self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        # ids as text with what may follow them, by separator and id
+        self.texts, self.spread = [b"%d%s" % (i, end) for end in (b",", b"|", b";") for i in range(len(self.bytes_a))], len(self.bytes_a)
         self.forget()
 
     def forget(self) -> None:
@@ -71,41 +74,56 @@ class Chunks(dict):
         if len(self) > REMEMBERED or len(self.pairs) > MOST_LINKS or self.bytes > MOST_BYTES:
             self.forget()
 
-    def __missing__(self, chunk: str) -> int:
-        a, b, known = self.encode_a(" " + chunk), self.encode_b(chunk), (" " + chunk).encode()
-        bytes_a, bytes_b, width = self.bytes_a, self.bytes_b, self.width
-        if b"".join(map(bytes_a.__getitem__, a)) != known or b"".join(map(bytes_b.__getitem__, b)) != known:
-            self.sizes.extend((-1, -1, -1, -1))
-            self.groups.append(b"")
-        else:
-            i, j, x, y = 0, 0, len(bytes_a[a[0]]), len(bytes_b[b[0]])  # ends of the tokens i and j
-            pairs, text, from_a, from_b = [a[0] * width + b[0]], [], 0, 0
-            while True:
-                if x == y:
-                    text.append(",".join(map(str, a[from_a : i + 1])) + "|" + ",".join(map(str, b[from_b : j + 1])))
-                    if i + 1 == len(a):
-                        break
-                    i, j = i + 1, j + 1
-                    x, y, from_a, from_b = x + len(bytes_a[a[i]]), y + len(bytes_b[b[j]]), i, j
-                elif x < y:
-                    i += 1
-                    x += len(bytes_a[a[i]])
-                else:
-                    j += 1
-                    y += len(bytes_b[b[j]])
-                pairs.append(a[i] * width + b[j])
-            self.sizes.extend((len(a), len(b), len(text), len(pairs)))
-            self.pairs.extend(pairs)
-            self.groups.append(";".join(text).encode())
-        self.starts.append(len(self.pairs))
-        self.bytes += len(self.groups[-1]) + len(chunk)
-        self[chunk] = found = len(self.groups) - 1
-        return found
-
-    def of(self, text: str) -> list[int]:
-        """Numbers of the chunks of a whole text."""
-        first, *more = chunks(" " + text)
-        return list(map(self.__getitem__, (first[1:], *more) if first else more))
+    def learn(self, new: list[str]) -> None:
+        """Align chunks. Those without white space at their ends are put together again, many to a text, as a cut may be
+        taken back as well; others, and all if a tokenizer changes one of them, are aligned one by one."""
+        whole = [c for c in new if c == c.strip() and "▁" not in c]
+        if whole and not self.aligned(whole, [" ".join(whole[i : i + 500]) for i in range(0, len(whole), 500)]):
+            whole = []
+        for c in new if not whole else (c for c in new if c not in self):
+            if not self.aligned([c], [c]):
+                self.put([c], np.full((4, 1), -1), np.zeros(0, np.int64), np.zeros(1, np.int64), [b""])
+
+    def aligned(self, new: list[str], texts: list[str]) -> bool:
+        """Align chunks that make up the texts; false if a tokenizer does not give them back."""
+        a, b = [i for t in texts for i in self.encode_a(" " + t)], [i for t in self.encode_b(texts) for i in t]
+        known = "".join(f" {t}" for t in texts).encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) != known or b"".join(map(self.bytes_b.__getitem__, b)) != known:
+            return False
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        ends = np.cumsum(np.fromiter((len(c.encode()) + 1 for c in new), np.int64, len(new)))
+        every, both = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
+        pairs = a[np.searchsorted(end_a, every)] * self.width + b[np.searchsorted(end_b, every)]
+        count = lambda at: np.bincount(np.searchsorted(ends, at), minlength=len(ends))
+        sizes = np.stack([count(x) for x in (end_a, end_b, both, every)])
+        # tokens by group, A before B; the last of each kind in a group is followed by | or ;
+        order = np.concatenate([np.searchsorted(both, end_a) * 2, np.searchsorted(both, end_b) * 2 + 1])
+        at = np.argsort(order, kind="stable")
+        order = order[at]
+        last = np.diff(order, append=-1) != 0
+        text = list(map(self.texts.__getitem__, (np.concatenate([a, b])[at] + np.where(last, 1 + order % 2, 0) * self.spread).tolist()))
+        cut = [0, *np.cumsum(sizes[0] + sizes[1]).tolist()]
+        self.put(new, sizes, pairs, np.cumsum(sizes[3]), [b"".join(text[x:y])[:-1] for x, y in zip(cut, cut[1:])])
+        return True
+
+    def put(self, new: list[str], sizes: np.ndarray, pairs: np.ndarray, ends: np.ndarray, groups: list[bytes]) -> None:
+        n = len(self.groups)
+        self.update(zip(new, range(n, n + len(new))))
+        self.starts.frombytes((ends + len(self.pairs)).astype(np.int64).tobytes())
+        self.pairs.frombytes(pairs.tobytes())
+        self.sizes.frombytes(np.ascontiguousarray(sizes.T, np.int64).tobytes())
+        self.groups += groups
+        self.bytes += sum(map(len, groups)) + sum(map(len, new))
+
+    def of(self, texts: list[str | None]) -> list[list[int]]:
+        """Numbers of the chunks of whole texts; null and empty texts have none."""
+        cut = []
+        for t in texts:
+            first, *more = chunks(" " + t) if t else ("",)
+            cut.append([first[1:], *more] if first else more)
+        self.learn(list(dict.fromkeys(c for d in cut for c in d if c not in self)))
+        return [list(map(self.__getitem__, d)) for d in cut]
 
 
 def postings(pair: np.ndarray, doc: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +168,7 @@ def align(docs: DataFrame, a: Definition, pattern: str, b: Definition, id_col: s
     def block_of(known: Chunks, part: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
         texts = part.column(1).to_pylist()
         n = len(texts)
-        numbers = [known.of(t) if t else [] for t in texts]
+        numbers = known.of(texts)
         sizes = np.frombuffer(known.sizes, np.int64).reshape(-1, 4)
         many = np.fromiter(map(len, numbers), np.int64, n)
         doc, number = np.repeat(np.arange(n), many), np.fromiter((x for d in numbers for x in d), np.int64, many.sum())
