@@ -78,6 +78,36 @@ def test_jaccard_join_equals_all_pairs(spark, monkeypatch, short, block):
     assert all(want[r.doc_id] == (r.n_shingles, r.component_id) for r in out)
 
 
+@pytest.mark.parametrize("short, seed", [(64, 1), (2, 2), (2, 3)])
+def test_jaccard_join_of_templates_of_many_lengths(spark, monkeypatch, short, seed):
+    """Parts of one template with own words on either side: similarities all around 0.75, between sets of all sizes."""
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
+    rng = random.Random(seed)
+    template = ["t%d" % k for k in range(120)]
+    texts = []
+    for k in range(140):
+        a, b = rng.choice([0, 0, rng.randrange(20)]), rng.choice([0, 0, rng.randrange(25)])
+        own = ["o%d_%d" % (k if rng.random() < 0.8 else k // 5, j) for j in range(rng.choice([0, 1, 5, 10, 14, 15, 16, 17, 25, 40]))]
+        words = template[a : 120 - b]
+        texts.append(" ".join(own + words if rng.random() < 0.5 else words + own))
+    out = jaccard_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = plain_jaccard(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want and 5 < len({c for _, c in want.values()}) < 135
+
+
+def test_templates_that_do_not_link_make_no_blocks(spark, monkeypatch):
+    """160 words of a template and 40 own ones: every pair is at 0.66, and no list of the template's shingles is left."""
+    template = " ".join("t%d" % k for k in range(160))
+    texts = [template + " " + " ".join("o%d_%d" % (k, j) for j in range(40)) for k in range(600)]
+    texts += [" ".join(texts[k].split()[:-2]) for k in range(20)]
+    made, blocks, checked = [], jaccard_join._blocks, jaccard_join._checked
+    monkeypatch.setattr(jaccard_join, "_blocks", lambda groups, sets: made.append(groups.count()) or blocks(groups, sets))
+    monkeypatch.setattr(jaccard_join, "_checked", lambda pairs, sets: made.append(pairs.count()) or checked(pairs, sets))
+    out = jaccard_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert made[0] == 0 and sum(made) <= 40
+    assert all(r.component_id == (r.doc_id - 600 if r.doc_id >= 600 else r.doc_id) for r in out)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
