@@ -37,6 +37,8 @@ from leadlake.session import ship
 
 COSINE = 0.98
 SAMPLE, CELL, BLOCK, RECALL = 20_000, 256, 1024, 0.9995
+#: Vector lengths that get an index, the most frequent ones; vectors of other lengths are compared in blocks.
+INDEXED = 64
 
 
 def _bounds(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,14 +132,16 @@ def link(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec
     ship(spark)
     v = F.col("v")
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    fine = F.col("label").isNotNull() & v.isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (norm > 0)
+    most = F.array_max(F.transform("v", F.abs))
+    fine = F.col("label").isNotNull() & v.isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (most > 0)
     key = F.format_string("%016x%016x", F.xxhash64("label", "v"), F.xxhash64(F.lit(1), "label", "v"))
     rows = rows.withColumn("c", F.when(F.coalesce(fine, F.lit(False)), key))
     own = checkpoint(rows.select("id", "c"))  # no vectors
     units = own.filter("c is not null").groupBy("c", "id").agg(F.when(F.col("id").isNull(), F.count("*")).otherwise(1).alias("n"))
     sizes = units.groupBy("c").agg(F.min("id").alias("low"), F.sum("n").alias("size"))
-    values = rows.filter("c is not null").groupBy("c").agg(F.any_value("label").alias("label"), F.any_value("v").alias("v"))
+    # a power of two near the largest magnitude: dividing by it is exact, and no square over- or underflows then
+    scaled = F.transform("v", lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(most))))
+    values = rows.filter("c is not null").groupBy("c").agg(F.any_value("label").alias("label"), F.any_value("v").alias("v")).withColumn("v", scaled)
     classes = checkpoint(values.join(sizes, "c").select("label", "c", "low", "size", "v", F.size("v").alias("dim")))
     number = classes.count()
     if number:
@@ -159,7 +163,8 @@ def _partial(classes: DataFrame, number: int, cosine: float) -> DataFrame:
     """(c, links, root): what single blocks know of the links and of the component of a class."""
     spark = classes.sparkSession
     indexes = {}
-    for (dim,) in classes.select("dim").distinct().limit(64).collect():
+    lengths = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(INDEXED)
+    for dim, _ in lengths.collect():
         taken = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("c")).limit(max(SAMPLE, 4 * _k(number))).select("v").toPandas()["v"]  # bounded
         x = np.array(taken.tolist(), float).reshape(len(taken), dim)
         if dim >= 2:
@@ -177,7 +182,7 @@ def _partial(classes: DataFrame, number: int, cosine: float) -> DataFrame:
                     cell, (a, b) = index.locate(x)
                     width = len(index.books[1])
                     others = [[c for i, j in visits(p, q, index.limit) if (c := i * width + j) < own] for p, q, own in zip(a, b, cell)]
-                else:  # one component, or a length beyond the first 64: all in one cell, cut into blocks
+                else:  # one component, or a rare length: all in one cell, cut into blocks
                     cell, others = np.zeros(len(x), int), [[]] * len(x)
                 yield pd.DataFrame({"label": part["label"], "dim": dim, "c": part["c"], "size": part["size"], "u": [r.tobytes() for r in x], "cell": cell.astype("int64"), "others": others})
 
@@ -229,8 +234,10 @@ OP7_SQL = """
 WITH RECURSIVE ok AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
-links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    AND list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) > 0),
+two AS (SELECT vec_id, label, v, pow(2, floor(log2(nullif(list_max(list_transform(v, lambda x: abs(x))), 0)))) AS p FROM ok),
+fit AS (SELECT vec_id, label, list_transform(v, lambda x: x / p) AS v FROM two),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
           WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.98),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, r.c AS component_id, e.vec_id = r.c AS kept

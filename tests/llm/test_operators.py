@@ -108,6 +108,18 @@ def test_templates_that_do_not_link_make_no_blocks(spark, monkeypatch):
     assert all(r.component_id == (r.doc_id - 600 if r.doc_id >= 600 else r.doc_id) for r in out)
 
 
+def test_vectors_of_any_magnitude_and_many_lengths(spark, monkeypatch):
+    """Squares of these components over- or underflow; only zero and non-finite vectors link with nothing."""
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [-1e-200, 0.0]), (3, [-2e-200, -1e-203]), (4, [1.7e308, 1.7e308]), (5, [5e-324, 5e-324]), (6, [0.0, 0.0]), (7, [float("inf"), 1.0]), (8, [1e308, -1e308]), (9, [3.0, -3.0])]
+    for indexed in (64, 1):  # with one index, all other lengths are compared in blocks
+        monkeypatch.setattr(embedding_dedup, "INDEXED", indexed)
+        more = [(100 + 2 * k + j, [float(k), 1.0] + [0.5 * j * 1e-3] * k) for k in range(1, 70) for j in range(2)]
+        df = spark.createDataFrame(rows + more, "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link(df).collect()}
+        assert {k: got[k] for k in range(10)} == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7), 8: (1, 8), 9: (1, 8)}
+        assert all(got[100 + 2 * k + j] == (1, 100 + 2 * k) for k in range(1, 70) for j in range(2))
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
