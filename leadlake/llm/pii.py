@@ -117,7 +117,8 @@ _RUN = re.compile(rf"(?<![^\W_])(?:(?:plus|más)[ -])?(?:{_SPELLED}|[0-9]+)(?:(?
 _TOKEN = re.compile(rf"{_SPELLED}|[0-9]+|plus|más|{_POINT}|\.", re.I)
 _SIGN = {"plus": "+", "más": "+", "dot": ".", "punkt": ".", "punto": ".", "point": ".", ".": "."}
 _WORD = re.compile(_SPELLED, re.I)
-_AT = re.compile(r"\x20{0,4}[\[({<]\x20?(?:at|@|arroba|arobase)\x20?[\])}>]\x20{0,4}|(?P<bare>\x20{1,4}(?:at|arroba|arobase)\x20{1,4})|@", re.I)
+_POINTS = re.compile(_POINT, re.I)
+_AT = re.compile(r"\x20{0,4}[\[({<]\x20?(?:at|@|arroba|arobase)\x20?[\])}>]\x20{0,4}|(?P<bare>\x20{1,4}(?:at|arroba|arobase|@)\x20{1,4})|@", re.I)
 _BRACKETED = re.compile(rf"\x20{{0,4}}[\[({{<]\x20?(?:{_POINT}|\.)\x20?[\])}}>]\x20{{0,4}}", re.I)
 _DOT = re.compile(rf"{_BRACKETED.pattern}|\x20{{1,4}}{_POINT}\x20{{1,4}}", re.I)
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
@@ -153,8 +154,9 @@ class Rewritten:
         return a, b, b - a != end - start or any(x[2] for x in self.source[first : last + 1])
 
 
-def _addresses(text: str) -> list[tuple[int, int, str]]:
-    """Rewritings of the disguised signs of e-mail addresses, found from each at."""
+def _addresses(text: str, source: str) -> list[tuple[int, int, str]]:
+    """Rewritings of the disguised signs of e-mail addresses, found from each at. Words and signs between blanks count
+    where something else tells an address; a sign that only looks like @ in the source does so itself."""
     dots = [m.span() for m in _DOT.finditer(text)]
     by_start, by_end = {a: b for a, b in dots}, {b: a for a, b in dots}
     found, done = [], 0
@@ -187,7 +189,8 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
                 break
         if labels < 2:
             continue
-        if m["bare"] and not hard and not edits:
+        disguised = "@" in m[0] and "@" not in source[m.start() : m.end()]
+        if m["bare"] and not hard and not edits and not disguised:
             if not _SIGNED.search(text, a, m.start()) and not _MAIL.search(text, max(done, a - 30), a):
                 continue
         if m.end() - m.start() > 1:
@@ -197,15 +200,16 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _edits(text: str) -> list[tuple[int, int, str]]:
-    """Non-overlapping rewritings by place: invisible characters, disguised signs, spelled digits."""
+def _edits(text: str, source: str) -> list[tuple[int, int, str]]:
+    """Non-overlapping rewritings by place: invisible characters, disguised signs, digits and points in words. source is
+    the text before its look-alikes were replaced, place by place."""
     found = [] if text.isascii() else [(m.start(), m.end(), "") for m in _UNSEEN.finditer(text)]
     if any(c in text for c in "[({<"):
         found += [(m.start(), m.end(), ".") for m in _BRACKETED.finditer(text)]
     if _AT.search(text):
-        found += _addresses(text)
+        found += _addresses(text, source)
     for m in _RUN.finditer(text):
-        if _WORD.search(m[0]):
+        if _WORD.search(m[0]) or _POINTS.search(m[0]):
             found.append((m.start(), m.end(), "".join(_SIGN.get(w := t.lower()) or _DIGITS.get(w, w) for t in _TOKEN.findall(m[0]))))
     found.sort()
     kept, end = [], 0
@@ -220,7 +224,7 @@ def hidden(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int,
     """Spans that show only after rewriting; none overlaps a base span of its kind."""
     odd = not text.isascii() and bool(_ODD.search(text))
     plain = text.translate(_SAME) if odd else text
-    edits = _edits(plain)
+    edits = _edits(plain, text)
     if not odd and not edits:
         return []
     new = Rewritten(plain, edits)

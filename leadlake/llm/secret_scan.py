@@ -34,11 +34,13 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _CONTEXT = re.compile(
-    r"(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?)"
-    r"[\"']?\x20?(?:=>|->|:=|[:=]|\x20is\x20)\x20?[\"'`]?([^\s\"'`<>]+)",
+    r"(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?"
+    r"|passwort|kennwort|zugangscode|geheimnis|schl(?:[üÜ]|ue)ssel|mots?[ _-]de[ _-]passe|code[ _-]secret|cl(?:[éÉ]|e)[ _-]secr(?:[èÈ]|e)te"
+    r"|contrase(?:[ñÑ]|n)a|clave(?:[ _-](?:secreta|de[ _-]acceso))?)"
+    r"[\"']?[\x20\xa0]?(?:=>|->|:=|[:=]|\x20(?:is|ist|lautet|est|es)\x20)[\x20\xa0]?[\"'`]?([^\s\"'`<>]+)",
     re.I | re.A,
 )
-_HEAD = re.compile("pass|pwd|secret|token|key|credential", re.I | re.A)
+_HEAD = re.compile("pass|pwd|secret|token|key|credential|kennwort|zugangscode|geheimnis|schl(?:[üÜ]|ue)ssel|contrase|clave", re.I | re.A)
 
 
 def patterns(text: str) -> list[tuple[str, int, int]]:
@@ -128,6 +130,21 @@ def guess_cost(value: str, words: dict[str, float], enough: float = math.inf, lo
     return best[n]
 
 
+def repeat_cost(value: str) -> float:
+    """log10 of the guesses of a value that is one short unit over and over, in one step; infinite for others."""
+    n = len(value)
+    for unit in range(1, min(_UNIT, n // 2) + 1):
+        if n >= 3 and value[unit:] == value[: n - unit]:
+            times, rest = divmod(n, unit)
+            return sum(map(_alphabet, value[:unit])) + math.log10(times) + _SEGMENT * bool(rest) + sum(map(_alphabet, value[n - rest :] if rest else ""))
+    return math.inf
+
+
+def costs(value: str, words: dict[str, float], longest: int | None = None) -> bool:
+    """Whether guessing the value costs at least GUESSES. Long repeats are told at once: their cost bounds the least."""
+    return repeat_cost(value) >= GUESSES and guess_cost(value, words, GUESSES, longest) >= GUESSES
+
+
 def dictionary(path: str) -> dict[str, float]:
     """Words of a public vocabulary file with the logarithm of their rank; the file bounds its size."""
     found: dict[str, float] = {}
@@ -146,7 +163,7 @@ def guessed(text: str, base: list[tuple[str, int, int]], words: dict[str, float]
     return [
         ("guess", m.start(1), m.end(1))
         for m in _CONTEXT.finditer(text)
-        if m.end(1) - m.start(1) >= 6 and not taken.meets(*m.span(1)) and guess_cost(m[1].rstrip(".,;:!?)"), words, GUESSES, longest) >= GUESSES
+        if m.end(1) - m.start(1) >= 6 and not taken.meets(*m.span(1)) and costs(m[1].rstrip(".,;:!?)"), words, longest)
     ]
 
 

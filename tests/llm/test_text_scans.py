@@ -189,3 +189,28 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     v = byte_bpe.production_vocabulary(spark)
     assert pii.find_pii(none).count() == byte_bpe.decode(byte_bpe.encode(none, v), v).count() == 0
+
+
+def test_pii_reads_points_between_numbers_and_signs_that_look_like_at():
+    for text, kind in (("192 dot 168 dot 1 dot 1", "ip"), ("10 punkt 0 punkt 12 punkt 255", "ip"), ("jane ＠ example.org", "email"), ("jane.doe ﹫ example.org", "email")):
+        assert pii.hidden(text, pii.identifiers(text)) == [(kind, 0, len(text))], text
+    text = "write to jane @ example.org now"
+    assert [text[a:b] for _, a, b in pii.hidden(text, [])] == ["jane @ example.org"]
+    for text in ("we met @ example.org", "1 dot 2 dot 3", "300 dot 1 dot 1 dot 1"):
+        assert pii.hidden(text, pii.identifiers(text)) == [], text
+
+
+def test_secret_contexts_of_four_languages_and_long_repeats():
+    words = {"hello": 1.0, "sommer": 1.5}
+    for text in ("Passwort: x7Gq9Lp2mmT", "Das Kennwort lautet x7Gq9Lp2mmT", "mot de passe : x7Gq9Lp2mmT", "le code secret est x7Gq9Lp2mmT", "contraseña: x7Gq9Lp2mmT", "La CONTRASEÑA es x7Gq9Lp2mmT", "clave de acceso = x7Gq9Lp2mmT", "Schlüssel: x7Gq9Lp2mmT"):
+        assert [text[a:b] for _, a, b in secret_scan.guessed(text, [], words)] == ["x7Gq9Lp2mmT"], text
+    for text in ("Passwort: hello1", "mot de passe : sommer2024", "clave: aaaaaaaaaaaa"):
+        assert secret_scan.guessed(text, [], words) == []
+    began = time.process_time()
+    for unit in ("a", "xy", "123"):
+        assert secret_scan.guessed("Passwort: " + unit * 200_000, [], words) == []
+        for n in (2, 3, 7):
+            for more in range(len(unit)):
+                v = unit * n + unit[:more]
+                assert secret_scan.repeat_cost(v) >= secret_scan.guess_cost(v, words) - 1e-9
+    assert time.process_time() - began < 3 and secret_scan.repeat_cost("abcdefgh1") == float("inf")
