@@ -91,27 +91,52 @@ def identifier_edges(prints: DataFrame) -> DataFrame:
     return star.filter("a < seq").select("a", F.col("seq").alias("b")).distinct().withColumn("confidence", F.lit(0.98))
 
 
-def composite_edges(prints: DataFrame) -> DataFrame:
-    """Pairs with equal buyer and company whose values and dates agree where both are present, at least one of them.
-    They meet in bands of value (2 %) and date (4 days), each with its neighbours."""
+def composite_classes(prints: DataFrame) -> DataFrame:
+    """(seq, k, buyer, company, value, event_date): reports with buyer and company and with a value or a date, by a hash
+    of these four (128 bits). Reports of one class agree with each other and with the same others."""
+    part = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
+    fields = ("buyer", "company", "value", "event_date")
+    known = prints.filter("buyer is not null and company is not null and (value is not null or event_date is not null)")
+    return known.select("seq", F.md5(F.concat_ws("\u0001", *map(part, fields))).alias("k"), *fields)
+
+
+def composite_links(classes: DataFrame) -> DataFrame:
+    """(k, k2): classes with equal buyer and company whose values and dates agree where both are present, at least one of
+    them; in both directions. They meet in bands of value (2 %) and date (4 days), each with its neighbours."""
     day, size = F.datediff("event_date", F.lit("1970-01-01").cast("date")), F.abs(F.col("value").cast("double"))
-    x = prints.filter("buyer is not null and company is not null").select(
-        "seq", "buyer", "company", "value", "event_date", F.floor(day / 4).alias("db"), F.when(size > 0, F.floor(F.log(size) / 0.0203)).when(size == 0, -(1 << 40)).alias("vb")
-    )
+    x = classes.drop("seq").distinct().withColumns({"db": F.floor(day / 4), "vb": F.when(size > 0, F.floor(F.log(size) / 0.0203)).when(size == 0, -(1 << 40))})
     valued, dated = F.col("value").isNotNull(), F.col("event_date").isNotNull()
 
     def pairs(left: DataFrame, right: DataFrame, *bands: str) -> DataFrame:
         for band in bands:
             right = right.withColumn(band, F.explode(F.array(F.col(band) - 1, F.col(band), F.col(band) + 1)))
-        one = lambda df, side: df.select("buyer", "company", *bands, *(F.col(c).alias(f"{c}_{side}") for c in ("seq", "value", "event_date")))
-        return one(left, "a").join(one(right, "b"), ["buyer", "company", *bands]).filter("seq_a <> seq_b").drop(*bands)
+        one = lambda df, side: df.select("buyer", "company", *bands, *(F.col(c).alias(f"{c}_{side}") for c in ("k", "value", "event_date")))
+        return one(left, "a").join(one(right, "b"), ["buyer", "company", *bands]).filter("k_a <> k_b").drop(*bands)
 
+    x = checkpointed(x)
     both = x.filter(valued & dated)
-    met = pairs(both, both, "vb", "db").filter("seq_a < seq_b")
+    met = pairs(both, both, "vb", "db").filter("k_a < k_b")
     met = met.unionByName(pairs(x.filter(valued & ~dated), x.filter(valued), "vb")).unionByName(pairs(x.filter(dated & ~valued), x.filter(dated), "db"))
     values, dates = v.value_close(F.col("value_a"), F.col("value_b")), v.date_close(F.col("event_date_a"), F.col("event_date_b"))
     agree = F.coalesce(values, F.lit(True)) & F.coalesce(dates, F.lit(True)) & (values.isNotNull() | dates.isNotNull())
-    return met.filter(agree).select(F.least("seq_a", "seq_b").alias("a"), F.greatest("seq_a", "seq_b").alias("b")).distinct().withColumn("confidence", F.lit(0.9))
+    found = checkpointed(met.filter(agree).select(F.least("k_a", "k_b").alias("k"), F.greatest("k_a", "k_b").alias("k2")).distinct())
+    return found.unionByName(found.select(F.col("k2").alias("k"), F.col("k").alias("k2")))
+
+
+def _class_edges(classes: DataFrame, links: DataFrame, confidence: float) -> DataFrame:
+    """(a, b, confidence): each report with the first of its class, and the first ones of linked classes with each other:
+    as many rows as reports and links of classes, however many reports a class has."""
+    first = checkpointed(classes.groupBy("k").agg(F.min("seq").alias("a"), F.count("*").alias("_rows")))
+    star = by_key(classes.select("seq", "k"), first, ["k"], classes.count()).filter("a < seq").select("a", F.col("seq").alias("b"))
+    ends = first.select("k", "a")
+    across = links.filter("k < k2").join(ends, "k").join(ends.select(F.col("k").alias("k2"), F.col("a").alias("b")), "k2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return star.unionByName(across).withColumn("confidence", F.lit(confidence))
+
+
+def composite_edges(prints: DataFrame) -> DataFrame:
+    """(a, b, confidence) of reports that agree in buyer, company, value and date: representatives and their classes."""
+    classes = checkpointed(composite_classes(prints))
+    return _class_edges(classes, composite_links(classes), 0.9)
 
 
 def semantic_classes(prints: DataFrame, texts: DataFrame) -> DataFrame:
@@ -126,18 +151,31 @@ def semantic_links(classes: DataFrame, least: float = 0.86, name_least: float =
     """(k, k2): classes whose texts have a cosine of `least` or more and whose companies or buyers have a name ratio of
     `name_least` or more; in both directions.
 
-    Candidates share a bucket of the hashed embedding in the rarest buckets of both texts: those before the point from
-    which on the rest of a vector is too short to reach the cosine by itself."""
+    Candidates share two of the rarest buckets of both texts' hashed embeddings. A text's rarest buckets go on until what
+    is left of its vector, together with any one of them, is too short to reach the cosine; a text that reaches it in one
+    bucket alone stands under that bucket. So a list holds the texts of two buckets out of 128, not of one."""
     ship(classes.sparkSession)
     one = checkpointed(classes.groupBy("k").agg(F.first("company").alias("company"), F.first("buyer").alias("buyer"), F.first("text").alias("text")).withColumn("e", v.hashed_counts(F.col("text"))))
     posts = one.select("k", F.explode("e").alias("bucket", "n"))
     often = posts.groupBy("bucket").agg(F.count("*").alias("df"))  # at most 128 rows
     norm = F.aggregate("o", F.lit(0.0), lambda a, x: a + x["n"] * x["n"])
     ordered = posts.join(F.broadcast(often), "bucket").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "bucket", "n"))).alias("o")).withColumn("norm", norm)
-    rest = lambda i: F.aggregate(F.slice("o", i + 1, F.size("o")), F.lit(0.0), lambda a, x: a + x["n"] * x["n"])
-    prefix = F.filter("o", lambda x, i: rest(i) >= (least * least - 1e-9) * F.col("norm"))
-    heads = ordered.select("k", F.explode(F.transform(prefix, lambda x: x["bucket"])).alias("bucket"))
-    pairs = heads.join(heads.withColumnRenamed("k", "k2"), "bucket").filter("k < k2").select("k", "k2").distinct()
+    square = lambda x: x["n"] * x["n"]
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda a, x: a + square(x))
+    enough = (least * least - 1e-9) * F.col("norm")
+
+    def reaches(i: Column) -> Column:
+        """Whether the buckets from place i on, with the largest one before it, may reach the cosine."""
+        before = F.slice("o", 1, i)
+        return total(F.slice("o", i + 1, F.size("o"))) + F.coalesce(F.array_max(F.transform(before, square)), F.lit(0)) >= enough
+
+    heads = ordered.select("k", "o", "norm", F.filter("o", lambda x, i: reaches(i)).alias("p"))
+    names = F.array_sort(F.transform("p", lambda x: x["bucket"].cast("long")))
+    twos = F.flatten(F.transform(names, lambda x: F.transform(F.filter(names, lambda y: y > x), lambda y: x * 1000 + y)))
+    # one bucket that reaches the cosine by itself: such texts can share it alone
+    ones = F.transform(F.filter("o", lambda x: square(x) >= (least * least - 1e-9) * F.col("norm")), lambda x: -x["bucket"].cast("long") - 1)
+    heads = checkpointed(heads.select("k", F.explode(F.concat(twos, ones)).alias("sign")))
+    pairs = heads.join(heads.withColumnRenamed("k", "k2"), "sign").filter("k < k2").select("k", "k2").distinct()
     side = lambda x: one.select(F.col("k").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("company", "buyer", "e")))
     j = pairs.join(side("k"), "k").join(side("k2"), "k2")
     dot = F.aggregate(F.map_entries("k_e"), F.lit(0.0), lambda a, x: a + x["value"] * F.coalesce(F.try_element_at("k2_e", x["key"]), F.lit(0)))
@@ -149,20 +187,22 @@ def semantic_links(classes: DataFrame, least: float = 0.86, name_least: float =
 
 
 def semantic_edges(prints: DataFrame, texts: DataFrame, least: float = 0.86, name_least: float = 0.6) -> DataFrame:
-    """(a, b, confidence): of reports with alike texts and companies or buyers, each with the first of its class, and the
-    first ones of alike classes with each other. Dates play no part."""
+    """(a, b, confidence) of reports with alike texts and companies or buyers: representatives and their classes. Dates
+    play no part."""
     classes = checkpointed(semantic_classes(prints, texts))
-    first = checkpointed(classes.groupBy("k").agg(F.min("seq").alias("a"), F.count("*").alias("_rows")))
-    star = by_key(classes.select("seq", "k"), first, ["k"], classes.count()).filter("a < seq").select("a", F.col("seq").alias("b"))
-    links = semantic_links(classes, least, name_least).filter("k < k2")
-    ends = first.select("k", "a")
-    across = links.join(ends, "k").join(ends.select(F.col("k").alias("k2"), F.col("a").alias("b")), "k2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return star.unionByName(across).withColumn("confidence", F.lit(0.85))
+    return _class_edges(classes, semantic_links(classes, least, name_least), 0.85)
 
 
-def event_edges(prints: DataFrame) -> DataFrame:
-    """Best confidence per pair over identifier and composite edges."""
-    return identifier_edges(prints).unionByName(composite_edges(prints)).groupBy("a", "b").agg(F.max("confidence").alias("confidence"))
+def best_matches(prints: DataFrame) -> DataFrame:
+    """(seq, best, confidence): of each report the match of most confidence among all earlier ones, by identifiers and by
+    buyer, company, value and date; the earliest of equals."""
+    classes = checkpointed(composite_classes(prints))
+    first = checkpointed(classes.groupBy("k").agg(F.min("seq").alias("a"), F.count("*").alias("_rows")))
+    near = composite_links(classes).join(first.select(F.col("k").alias("k2"), "a"), "k2").select("k", "a", F.lit(0).cast("long").alias("_rows"))
+    earliest = checkpointed(first.unionByName(near).groupBy("k").agg(F.min("a").alias("a"), F.sum("_rows").alias("_rows")))
+    found = by_key(classes.select("seq", "k"), earliest, ["k"], classes.count()).filter("a < seq").select("a", F.col("seq").alias("b"), F.lit(0.9).alias("confidence"))
+    best = identifier_edges(prints).unionByName(found).groupBy(F.col("b").alias("seq"))
+    return best.agg(F.max_by("a", F.struct("confidence", -F.col("a"))).alias("best"), F.max("confidence").alias("confidence"))
 
 
 def candidate_counts(prints: DataFrame) -> DataFrame:
@@ -241,11 +281,12 @@ def leaders(items: DataFrame, edges: DataFrame | None = None, decided: DataFrame
 
 def canonicalise(prints: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(seq, canonical, confidence) by shared identifiers, then buyer, company, value and date, then alike texts."""
-    groups = [(identifier_keys(prints), None, 0.98)]
+    same = checkpointed(composite_classes(prints))
+    groups = [(identifier_keys(prints), None, 0.98), (same.select("seq", "k"), composite_links(same), 0.9)]
     if texts is not None:
         classes = checkpointed(semantic_classes(prints, texts))
         groups.append((classes.select("seq", "k"), semantic_links(classes), 0.85))
-    return leaders(prints.select("seq"), composite_edges(prints), groups=tuple(groups))
+    return leaders(prints.select("seq"), groups=tuple(groups))
 
 
 def canonical_events(reports: DataFrame, links: DataFrame, companies: DataFrame | None = None) -> DataFrame:

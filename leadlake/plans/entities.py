@@ -38,7 +38,11 @@ def j01(s, d):
     return m.identifier_edges(prints(s, d))
 
 
-@query("J02_composite_matches", sql(J2, "rp", more=FP))
+#: The first reports of equal buyer, company, value and date with each other, and all others with the first of theirs.
+J2_SQL = J2.replace("FROM fp a JOIN fp b", "FROM one a JOIN one b") + " UNION ALL SELECT f AS a, seq AS b, 0.9 AS confidence FROM (SELECT seq, min(seq) OVER (PARTITION BY buyer, company, value, event_date) AS f FROM fp) WHERE f < seq"
+
+
+@query("J02_composite_matches", sql(J2_SQL, "rp", more=FP | {"one": "SELECT min(seq) AS seq, buyer, company, value, event_date FROM fp GROUP BY ALL"}))
 def j02(s, d):
     return m.composite_edges(prints(s, d))
 
@@ -88,7 +92,7 @@ def a18(s, d):
 
 @query("W09_best_match", sql("SELECT b AS seq, arg_max(a, {'c': confidence, 'n': -a}) AS best, max(confidence) AS confidence FROM (SELECT a, b, max(confidence) AS confidence FROM (" + J1 + " UNION ALL " + J2 + ") GROUP BY a, b) GROUP BY b", "rp", more=FP))
 def w09(s, d):
-    return m.event_edges(prints(s, d)).groupBy(F.col("b").alias("seq")).agg(F.max_by("a", F.struct("confidence", -F.col("a"))).alias("best"), F.max("confidence").alias("confidence"))
+    return m.best_matches(prints(s, d))
 
 
 @query("U04_shared_identifiers", sql("SELECT a.report_id AS a, b.report_id AS b, len(list_intersect([a.event_id, a.company_id], [b.event_id, b.company_id])) AS shared FROM rp a JOIN rp b ON a.event_id = b.event_id AND a.report_id < b.report_id WHERE len(list_intersect([a.event_id, a.company_id], [b.event_id, b.company_id])) > 0", "rp"))

@@ -61,7 +61,7 @@ def test_event_matches(spark):
     p = m.fingerprints(r)
     assert [(x.a, x.b) for x in m.identifier_edges(p).collect()] == [(1, 2)]
     assert [(x.a, x.b) for x in m.composite_edges(p).collect()] == [(3, 4)]
-    links = m.leaders(p, m.event_edges(p))
+    links = m.canonicalise(p)
     assert sum(x.sources for x in m.canonical_events(r, links).collect()) == len(REPORTS)
 
 
@@ -270,7 +270,41 @@ def test_pair_counts_and_stars_of_events(spark):
                 v_, d_ = None not in (a.value, b.value), None not in (a.event_date, b.event_date)
                 if (v_ or d_) and (not v_ or abs(a.value - b.value) <= 0.02 * max(a.value, b.value)) and (not d_ or abs((a.event_date - b.event_date).days) <= 3):
                     want.add((a.seq, b.seq))
-    assert {(x.a, x.b) for x in m.composite_edges(p).collect()} == want and want
+    # representatives and their classes stand for all pairs
+    shape = lambda r: (r.buyer, r.company, r.value, r.event_date)
+    first = {}
+    for r in sorted(rows.values(), key=lambda r: r.seq):
+        first.setdefault(shape(r), r.seq)
+    links = {(x.a, x.b) for x in m.composite_edges(p).collect()}
+    near = lambda a, b: first[shape(rows[a])] == first[shape(rows[b])] or tuple(sorted((first[shape(rows[a])], first[shape(rows[b])]))) in links
+    assert {(a, b) for a, b in want if not near(a, b)} == set() and links <= want
+    assert {(a, b) for a in rows for b in rows if a < b and rows[a].buyer and rows[a].company and (rows[a].value is not None or rows[a].event_date is not None) and near(a, b)} == want
+    best = {x.b: (x.confidence, -x.a) for x in sorted(m.identifier_edges(p).collect(), key=lambda x: -x.a)}
+    for a, b in want:
+        best[b] = max(best.get(b, (0, 0)), (0.9, -a))
+    assert {x.seq: (x.confidence, -x.best) for x in m.best_matches(p).collect()} == best
+
+
+def test_equal_reports_give_linear_output(spark):
+    r = spark.range(30_000).selectExpr("id AS report_id", "CAST(NULL AS string) AS reference", "'Rail Board' AS buyer", "'Acme' AS company", "CAST(100 AS long) AS value", "DATE'2026-01-01' AS event_date")
+    p = m.fingerprints(r)
+    assert m.composite_edges(p).count() == 29_999
+    assert m.canonicalise(p).filter("canonical <> 0").count() == 0
+
+
+def test_alike_texts_equal_brute_force(spark):
+    """Candidates by two rare buckets against every pair, with texts of one token and of tokens repeated very often."""
+    rng = random.Random(11)
+    words = ["w%d" % k for k in range(25)]
+    texts = list(dict.fromkeys(" ".join(rng.choices(words, k=rng.choice([1, 2, 3, 6, 12]))) for _ in range(120)))
+    texts += [t + " " + rng.choice(words) for t in texts[:60]] + ["w1 " * 9 + "w2", "w1 " * 9 + "w3", "w1 w1", "w1 " * 5]
+    texts = list(dict.fromkeys(texts))
+    classes = spark.createDataFrame([("%04d" % k, k, "Acme", None, t) for k, t in enumerate(texts)], "k string, seq long, company string, buyer string, text string")
+    got = {(r.k, r.k2) for r in m.semantic_links(classes).collect()}
+    vec = [collections.Counter(int(hashlib.md5(w.encode()).hexdigest()[-2:], 16) % 128 for w in t.split()) for t in texts]
+    size = [math.sqrt(sum(x * x for x in a.values())) for a in vec]
+    cos = lambda i, j: sum(vec[i][b] * vec[j][b] for b in vec[i]) / (size[i] * size[j])
+    assert got == {("%04d" % i, "%04d" % j) for i in range(len(texts)) for j in range(len(texts)) if i != j and cos(i, j) >= 0.86} and len(got) > 40
 
 
 def test_similar_names_with_frequent_trigrams(spark):
