@@ -118,20 +118,35 @@ def t1(s, d):
     out, state = shared_path(s, "landed"), shared_path(s, "state")
     docs = _stream(s, d, "documents", ["source", F.sha2("text", 256).alias("hash"), F.concat(F.lit("https://x.example/"), "doc_id").alias("url")]).filter("hash is not null")
     jobs.land_documents(docs, out, state).awaitTermination()
-    return s.read.schema("source string, hash string, url string").parquet(out).select("source", "hash")
+    return s.read.parquet(out).select("source", "hash")
 
 
 @query("T2_streamed_matching", sql("SELECT seq, min(seq) OVER (PARTITION BY i) AS canonical FROM (SELECT report_id AS seq, nullif(upper(regexp_replace(reference, '[^A-Za-z0-9]+', '', 'g')), '') AS i FROM rp) WHERE i IS NOT NULL", "rp"))
 def t2(s, d):
     """Reports land in three folders, in order of their ids; each folder is one batch, of as many files as tasks wrote."""
     src, out, state = shared_path(s, "reports"), shared_path(s, "canonical"), shared_path(s, "state")
-    r = fx.reports(s, d).select(F.col("report_id").alias("seq"), F.filter(F.array(tx.identifier(F.col("reference"))), lambda x: x.isNotNull()).alias("identifiers")).filter(F.size("identifiers") > 0)
+    r = fx.reports(s, d).select(F.col("report_id").alias("seq"), tx.identifier(F.col("reference")).alias("identifier")).filter("identifier is not null")
     cuts = r.agg(F.percentile_approx("seq", F.array(F.lit(0.33), F.lit(0.66)))).first()[0]
     for k, part in enumerate((r.filter(F.col("seq") <= cuts[0]), r.filter((F.col("seq") > cuts[0]) & (F.col("seq") <= cuts[1])), r.filter(F.col("seq") > cuts[1]))):
         part.write.parquet(f"{src}/part{k}")
         stream = s.readStream.schema(r.schema).parquet(f"{src}/part*")
-        jobs.match_reports(stream, out, state).awaitTermination()
-    return s.read.schema("seq bigint, canonical bigint").parquet(out).select("seq", "canonical")
+        jobs.match_by_identifier(stream, out, state).awaitTermination()
+    return s.read.parquet(out).select("seq", "canonical")
+
+
+@query("T4_change_stream", sql("SELECT lead_id, CASE WHEN score % 2 = 0 THEN 'changed' ELSE 'removed' END AS change FROM bl WHERE score % 2 = 0 OR (score % 5 = 0)", "ev", more=BOARD))
+def t4_stream(s, d):
+    """The board's rows as written on one day, then those written and deleted on the next: what the second day changed."""
+    src, out, state = shared_path(s, "operations"), shared_path(s, "changes"), shared_path(s, "state")
+    day = lambda n: F.to_timestamp(F.lit(f"2001-09-0{n}"))
+    old = board_leads(s, d).withColumns({"at": day(1), "gone": F.lit(False)})
+    goes = (F.col("score") % 2 != 0) & (F.col("score") % 5 == 0)
+    new = old.withColumns({"gone": goes, "score": F.when(F.col("score") % 2 == 0, F.col("score") + 1).otherwise(F.col("score")), "at": day(2)})
+    for k, part in enumerate((old, new)):
+        part.write.parquet(f"{src}/part{k}")
+        feed = jobs.change_feed(s.readStream.schema(old.schema).parquet(f"{src}/part*"), "lead_id", "at", "gone")
+        jobs.write_changes(feed, out, state).awaitTermination()
+    return s.read.parquet(out).filter(F.col("at") == day(2)).select("lead_id", "change")
 
 
 @query("T3_streamed_feedback", sql(f"SELECT lead_id, arg_max(status, {{'t': occurred_at, 's': seq}}) AS status FROM (SELECT *, {case('event_type', v.FEEDBACK_STATUS)} AS status FROM fb) WHERE status IS NOT NULL GROUP BY lead_id", "fb"))

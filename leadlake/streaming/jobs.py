@@ -1,20 +1,23 @@
-"""Structured Streaming jobs: landing, incremental matching, feedback, running outcomes.
+"""Structured Streaming jobs: landing, incremental matching, change feed, feedback, running outcomes.
 
-Each job takes a streaming DataFrame, a table path and a checkpoint path, and is exactly-once by the batch id: a batch
-that is run again overwrites its own part of the output.
+Each job takes a streaming DataFrame, a table path and a checkpoint path. Landing, matching by one identifier and the change
+feed keep one state per key in a state store, so a batch costs what its own keys cost, however long the history is, and
+the file sink's log makes them exactly-once. The others are exactly-once by the batch id: a batch that is run again
+overwrites its own part of the output.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leadlake.functions.values import FEEDBACK_CLASS, FEEDBACK_STATUS, lookup
 from leadlake.operators import matching
-from leadlake.operators.documents import land
 
 
 def _start(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
@@ -31,14 +34,23 @@ def _earlier(spark: SparkSession, path: str, schema: str, batch: int) -> DataFra
         return spark.createDataFrame([], schema + ", batch bigint")
 
 
-def land_documents(documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Landing of (source, hash, url): content that its source already has is not stored again."""
-    schema = "source string, hash string, url string"
+#: State in RocksDB: what a batch does not touch stays on disk and is not written again.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
-    def work(batch: DataFrame, n: int) -> None:
-        land(_earlier(batch.sparkSession, path, schema, n), batch).select("source", "hash", "url").write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-    return _start(documents, checkpoint, work)
+def _append(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Rows of a stream with keyed state, appended to a table of files. A batch that is run again gives the same files."""
+    for key, value in STATE_STORE.items():
+        rows.sparkSession.conf.set(key, value)
+    return rows.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def land_documents(documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Landing of (source, hash, url): content that its source already has is not stored again. State: the keys."""
+    return _append(documents.select("source", "hash", "url").dropDuplicates(["source", "hash"]), path, checkpoint)
 
 
 def land_within(documents: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -47,8 +59,9 @@ def land_within(documents: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def match_reports(prints: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Incremental leader clustering of fingerprints (seq, identifiers): each batch meets the canonical reports of
-    earlier ones. Exact, since a canonical report never changes; batches must come in order of seq."""
+    """Incremental leader clustering of fingerprints with several identifiers (seq, identifiers): each batch meets the
+    canonical reports of earlier ones, which it reads. Exact, since a canonical report never changes; batches must come in
+    order of seq. Where reports have one identifier, match_by_identifier costs no more with a longer history."""
     schema = "seq bigint, canonical bigint, identifiers array<string>"
 
     def work(batch: DataFrame, n: int) -> None:
@@ -60,6 +73,60 @@ def match_reports(prints: DataFrame, path: str, checkpoint: str) -> StreamingQue
     return _start(prints, checkpoint, work)
 
 
+def _first_holder(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    seqs = (part["seq"] for part in rows)
+    if state.exists:
+        (first,) = state.get
+    else:  # the first batch with this identifier: its ids, to find the least
+        seqs = list(seqs)
+        first = min(int(x.min()) for x in seqs)
+        state.update((first,))
+    for part in seqs:
+        yield pd.DataFrame({"seq": part, "canonical": first})
+
+
+def match_by_identifier(reports: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Incremental matching of reports (seq, identifier) by one identifier each: the canonical report of an identifier is
+    its first one, and later batches find it in the identifier's state. Batches must come in order of seq."""
+    found = reports.groupBy("identifier").applyInPandasWithState(_first_holder, "seq long, canonical long", "first long", "append", GroupStateTimeout.NoTimeout)
+    return _append(found, path, checkpoint)
+
+
+def _changed(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    known = state.get if state.exists else None  # (at, sign, gone) of the last operation
+    out = []
+    for at, sign, gone in sorted({x for part in rows for x in zip(*(part[c].tolist() for c in ("at", "sign", "gone")))}):
+        if known is not None and at < known[0]:
+            continue  # older than what is known
+        there = known is not None and not known[2]
+        change = ("removed" if there else None) if gone else "added" if not there else "changed" if sign != known[1] else None
+        if change:
+            out.append((key[0], at, change))
+        known = (at, sign, gone)
+    if known is not None:
+        state.update(known)
+    if out:
+        yield pd.DataFrame(out, columns=["key", "at", "change"])
+
+
+def change_feed(operations: DataFrame, key: str, at: str, gone: str) -> DataFrame:
+    """(key, at, change): added, changed or removed, for each operation of a stream that changes a row. operations: whole
+    rows as written, with their time `at`, and `gone` for those deleted. State: time and hash of each row's last operation;
+    operations older than that, and repeated ones, change nothing. The change feed of a stream in update mode."""
+    fields = sorted(c for c in operations.columns if c not in (at, gone))
+    kind = operations.schema[key].dataType.simpleString()
+    rows = operations.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.xxhash64(*fields).alias("sign"), F.coalesce(F.col(gone), F.lit(False)).alias("gone"))
+    found = rows.groupBy("key").applyInPandasWithState(_changed, f"key {kind}, at long, change string", "at long, sign long, gone boolean", "update", GroupStateTimeout.NoTimeout)
+    return found.select(F.col("key").alias(key), F.timestamp_micros("at").alias("at"), "change")
+
+
+def write_changes(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The change feed as parts by batch."""
+    for key, value in STATE_STORE.items():
+        changes.sparkSession.conf.set(key, value)
+    return _start(changes, checkpoint, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"), "update")
+
+
 def feedback_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append-only feedback log with the status that each event gives its lead (null if none)."""
 
