@@ -5,32 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: vocabularies of the lead schema
-EVENT_TYPES = {"tender": "tender", "contract_award": "award", "work_order": "work_order", "funding": "funding", "policy": "policy", "scheme": "other", "approval": "approval", "expansion": "other", "other": "other"}
-EVENT_LABELS = {
-    "tender": "Tender", "award": "Contract award", "work_order": "Work order", "funding": "Funding", "grant": "Grant", "policy": "Policy",
-    "approval": "Approval", "budget_allocation": "Budget allocation", "contract": "Contract", "empanelment": "Empanelment", "mou": "MoU", "other": "Event",
-}
-FEEDBACK_CLASS = {
-    "lead_viewed": "view", "lead_accepted": "engaged", "contacted": "engaged", "meeting_booked": "converted", "opportunity_created": "converted",
-    "lead_rejected": "negative", "not_relevant": "negative", "incorrect_company": "data_error", "incorrect_opportunity": "data_error", "incorrect_contact": "data_error",
-}
-FEEDBACK_OUTCOME = {
-    "lead_viewed": "neutral", "lead_accepted": "positive", "contacted": "neutral", "meeting_booked": "positive", "opportunity_created": "converted",
-    "lead_rejected": "negative", "not_relevant": "not_interested", "incorrect_company": "bad_data", "incorrect_opportunity": "bad_data", "incorrect_contact": "wrong_contact",
-}
-FEEDBACK_STATUS = {"lead_accepted": "qualified", "opportunity_created": "qualified", "contacted": "contacted", "meeting_booked": "meeting", "lead_rejected": "disqualified", "not_relevant": "disqualified"}
-SENIORITY_RANK = {"c_level": 5, "vp": 4, "director": 3, "head": 3, "manager": 2, "staff": 1, "unknown": 0}
+from leadlake.config import load
+
+# fixed values of the lead schema, from config/vocabulary.json; the families are words that mark a headline as one kind of
+# company signal
+_WORDS = load("vocabulary")
+EVENT_TYPES, EVENT_LABELS, TYPE_WEIGHTS = _WORDS["event_types"], _WORDS["event_labels"], _WORDS["type_weights"]
+FEEDBACK_CLASS, FEEDBACK_OUTCOME, FEEDBACK_STATUS = _WORDS["feedback_class"], _WORDS["feedback_outcome"], _WORDS["feedback_status"]
+SENIORITY_RANK, NEWS_FAMILIES = _WORDS["seniority_rank"], _WORDS["news_families"]
 TIER_PROVIDER = {4: "web", 3: "registry", 2: "third_party", 1: "third_party", 0: "other"}
-TYPE_WEIGHTS = {"contract_award": 1.0, "award": 1.0, "work_order": 0.9, "funding": 0.9, "tender": 0.6, "policy": 0.4, "scheme": 0.6, "approval": 0.5, "expansion": 0.7}
-# words that mark a headline as one kind of company signal
-NEWS_FAMILIES = {
-    "recent_contracts": ("contract", "awarded", "work order", "tender", "bags order", "wins order", "order worth"),
-    "expansion_activity": ("expansion", "expand", "new plant", "new facility", "sets up", "commissions", "capacity"),
-    "hiring_signals": ("hiring", "recruit", "jobs", "headcount", "workforce", "onboard"),
-    "funding_signals": ("funding", "raised", "investment", "series ", "ipo", "fundraise", "capital raise"),
-    "technology_activity": ("technology", " ai ", "platform", "digital", "software", "launches", "r&d", "innovation"),
-}
 AUTHORITIES = (
     ("eprocure.gov.in", 1.00), ("gem.gov.in", 1.00), ("defprocurement", 1.00), ("api.data.gov.in", 0.95), ("data.gov.in", 0.95), ("pib.gov.in", 0.98),
     ("bseindia.com", 0.97), ("nseindia.com", 0.97), ("rbi.org.in", 0.98), ("sebi.gov.in", 0.98), ("economictimes", 0.85), ("business-standard", 0.85),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,22 +48,31 @@ def plausible_company(name: Column) -> Column:
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
-    return F.greatest(*(text.contains(w) for w in words))
+    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+
+
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with more columns, each computed once for a row: what generates a row is not copied into the filters and
+    projections that read it, as a plain column would be."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
 def extract(headlines: DataFrame) -> DataFrame:
     """headlines (title, vertical, …) that say that a company won an amount from a public body, with company, buyer,
-    amount and value."""
-    after = F.regexp_replace("title", "(?s)^.*?: ", "")
-    before = F.regexp_extract("title", "(?s)^(.*?): ", 1)
-    label = F.col("title").contains(": ") & (F.size(F.filter(F.split(before, r"\s+"), lambda w: w != "")) <= 4) & after.rlike(AMOUNT) & after.rlike(VERB)
-    h = headlines.withColumn("_w", F.when(label, after).otherwise(F.col("title"))).withColumn("_l", F.lower("_w"))
-    h = h.filter(~_any(F.col("_l"), NOISE) & F.col("_w").rlike(AMOUNT) & F.col("_w").rlike(VERB) & _any(F.col("_l"), GOVERNMENT))
-    name = F.btrim(F.split("_w", VERB, 2)[0], F.lit(" -–—:"))
-    name = F.btrim(F.split(name, r"\s[-–—]\s", 2)[0], F.lit(QUOTES + " "))
+    amount and value. Cheap tests come first, and each pattern is sought once in a title."""
+    low = F.lower("title")
+    h = headlines.filter(low.contains("₹") | low.contains("rs"))  # every amount has one of them
+    h = _once(h, _a=F.regexp_replace("title", "(?s)^.*?: ", ""), _b=F.regexp_extract("title", "(?s)^(.*?): ", 1))
+    label = F.col("title").contains(": ") & (F.size(F.filter(F.split("_b", r"\s+"), lambda w: w != "")) <= 4) & F.col("_a").rlike(AMOUNT) & F.col("_a").rlike(VERB)
+    h = _once(h, _w=F.when(label, F.col("_a")).otherwise(F.col("title")))
+    h = _once(h, _l=F.lower("_w"), _m=F.regexp_extract("_w", AMOUNT, 0)).filter(F.col("_m") != "")
+    h = h.filter(~_any(F.col("_l"), NOISE) & _any(F.col("_l"), GOVERNMENT))
+    h = _once(h, _p=F.split("_w", VERB, 2)).filter(F.size("_p") == 2)
+    name = F.btrim(F.get("_p", F.lit(0)), F.lit(" -–—:"))
+    h = _once(h, _c=F.btrim(F.split(name, r"\s[-–—]\s", 2)[0], F.lit(QUOTES + " "))).filter(plausible_company(F.col("_c")))
     buyer = F.coalesce(tx.empty_to_null(F.trim(F.regexp_extract("title", BUYER, 1))), F.lit("Government (India)"))
-    out = h.withColumns({"company": name, "government_buyer": buyer, "amount": F.regexp_extract("_w", AMOUNT, 0), "value": amount_inr(F.col("_w"))})
-    return out.filter(plausible_company(F.col("company"))).drop("_w", "_l")
+    out = h.withColumns({"company": F.col("_c"), "government_buyer": buyer, "amount": F.col("_m"), "value": amount_inr(F.col("_m"))})
+    return out.drop("_a", "_b", "_w", "_l", "_m", "_p", "_c")
 
 
 def deduplicated(headlines: DataFrame, per_vertical: int | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadlake.config import load
+
 RULE_SCHEMA = (
     "product_id string, name string, category string, triggers array<string>, keywords array<string>, min_value double, sectors array<string>,"
     "need_key string, need string, tier int, timing string, signals array<string>, w_value double, w_sector double, w_signal double,"
@@ -19,35 +21,8 @@ MOST_RULES = 10_000
 TIER_BASE = {3: 0.85, 2: 0.5, 1: 0.3}  # fact, inference, speculation
 TIER_NAME = {3: "fact", 2: "inference", 1: "speculation"}
 
-# fixed values: the product rules that ship with the lead schema
-RULES = [
-    ("cyber-1", "Cybersecurity Services", "cybersecurity", ["contract_award", "work_order", "funding", "tender"],
-     ["defence", "defense", "data", "surveillance", "security", "citizen", "health record", "identity", "payment"], 100_000_000.0,
-     ["Defence", "BFSI", "Healthcare", "e-Governance", "Smart Cities"], "security_requirements", "Cybersecurity & data-protection need", 2, "0-6 months",
-     ["technology_activity"], 0.15, 0.15, 0.15, ["assumes sensitive data is handled", "assumes compliance obligations apply"],
-     ["may rely on an in-house security team", "may already be compliant/certified"], ["IT Security", "Compliance", "CISO office"],
-     ["CISO", "CIO", "Head of IT Security", "IT Manager"]),
-    ("cloud-1", "Cloud & Infrastructure", "cloud_infrastructure", ["contract_award", "work_order", "funding"],
-     ["digital", "infrastructure", "cloud", "data centre", "data center", "platform", "network", "compute", "smart city", "e-governance"], 50_000_000.0,
-     ["e-Governance", "Smart Cities", "Telecom", "IT"], "infrastructure_expansion", "Cloud/compute/networking scale-up", 2, "0-9 months",
-     ["expansion_activity", "technology_activity"], 0.15, 0.15, 0.15, ["assumes new digital workloads", "assumes cloud adoption"],
-     ["may use existing capacity", "may choose on-prem"], ["IT Infrastructure", "Cloud/DevOps"], ["CTO", "Head of Infrastructure", "Cloud Architect"]),
-    ("staff-1", "Workforce & Staffing", "workforce_staffing", ["contract_award", "work_order"],
-     ["project", "execution", "construction", "deploy", "rollout", "implementation"], 100_000_000.0, [], "workforce_requirement",
-     "Hiring / workforce ramp-up for project execution", 2, "0-6 months", ["hiring_signals", "expansion_activity"], 0.15, 0.15, 0.15,
-     ["assumes in-house execution", "assumes net-new headcount"], ["may subcontract execution", "may redeploy existing staff"],
-     ["HR", "Talent Acquisition", "Operations"], ["CHRO", "Head of Talent", "HR Manager", "Project Director"]),
-    ("skill-1", "Training & Skilling", "training_skilling", ["funding", "scheme", "policy", "contract_award"],
-     ["skill", "training", "capacity building", "education", "workforce development"], None, ["Education & EdTech", "e-Governance"], "skilling_need",
-     "Workforce training / capacity building", 1, "3-12 months", ["hiring_signals"], 0.15, 0.15, 0.15, ["assumes skill gaps in new mandate"],
-     ["may have internal L&D", "may not prioritise training"], ["L&D", "HR"], ["Head of L&D", "CHRO"]),
-    ("event-1", "Event Sponsorship & Media", "events_sponsorship", ["contract_award", "funding", "expansion", "work_order"],
-     ["smart city", "digital", "governance", "summit", "launch", "mission"], None, ["Smart Cities", "e-Governance", "BFSI", "Healthcare", "Education & EdTech"],
-     "visibility_thought_leadership", "Brand visibility / thought-leadership at sector events", 1, "1-6 months",
-     ["funding_signals", "expansion_activity", "recent_contracts"], 0.15, 0.15, 0.15, ["assumes a marketing budget", "assumes interest in sector visibility"],
-     ["may focus purely on delivery", "may already sponsor rival events"], ["Marketing", "Corporate Communications", "Business Development"],
-     ["CMO", "Head of Marketing", "BD Head"]),
-]
+#: The product rules that ship with the lead schema, from config/rules.json, with the fields of RULE_SCHEMA in order.
+RULES = [tuple(rule.values()) for rule in load("rules")]
 
 
 def default_rules(spark: SparkSession) -> DataFrame:

@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="leadlake-")) / "leadlake.zip"
     with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(root.rglob("*.py")):
+        for path in sorted((*root.rglob("*.py"), *root.rglob("*.json"))):
             out.write(path, path.relative_to(root.parent))
     context.addPyFile(str(archive))
     _SHIPPED.add(context.applicationId)
