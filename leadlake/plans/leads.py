@@ -240,10 +240,10 @@ def a20(s, d):
     return bd.facets(board_leads(s, d), "sector", "product", "event_type", "buyer")
 
 
-@query("O1_board_order", sql("SELECT lead_id, event_date, score, row_number() OVER (ORDER BY event_date DESC NULLS LAST, score DESC, lead_id) AS place FROM bl QUALIFY place <= 100", "ev", more=BOARD))
+@query("O1_board_order", sql("SELECT lead_id, event_date, score, row_number() OVER (ORDER BY event_date DESC NULLS LAST, score DESC, lead_id) AS place FROM bl", "ev", more=BOARD))
 def o1(s, d):
-    """The first page of the board, a hundred rows with their place: a top-k report."""
-    return bd.first_page(board_leads(s, d), 100, F.col("event_date").desc_nulls_last(), F.desc("score"), F.col("lead_id")).select("lead_id", "event_date", "score", "place")
+    """The whole board in order, each lead with its place."""
+    return bd.placed(board_leads(s, d)).select("lead_id", "event_date", "score", "place")
 
 
 @query("C10_lead_board", sql("SELECT lead_id, company, sector, product, event_date, value, score, grade FROM bl WHERE score >= 60 ORDER BY event_date DESC NULLS LAST, score DESC, lead_id", "ev", more=BOARD))

@@ -86,11 +86,13 @@ def s10(s, d):
     return rd.candidates_by_sector(s, path).select("vertical", "title")
 
 
-@query("S12_seeded_reference", "SELECT p_brand AS slug FROM part WHERE p_partkey % 2 = 0 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 7 = 0 AND p_size > 25) GROUP BY p_brand")
+@query("S12_seeded_reference", "WITH p AS (SELECT lower(p_brand || '-' || p_container) AS slug, p_size FROM part) SELECT DISTINCT slug FROM p WHERE slug NOT IN (SELECT slug FROM p WHERE p_size > 25)")
 def s12(s, d):
-    p = fx.table(s, d, "part")
-    have = p.filter("p_partkey % 7 = 0 and p_size > 25").select(F.col("p_brand").alias("slug")).distinct()
-    return wr.seed(have, p.filter("p_partkey % 2 = 0").select(F.col("p_brand").alias("slug")), ["slug"])
+    """Brands by container: those of large parts are known, the others are seeded once each, however often it runs."""
+    p = fx.table(s, d, "part").select(F.lower(F.concat_ws("-", "p_brand", "p_container")).alias("slug"), "p_size")
+    known = p.filter("p_size > 25").select("slug").distinct()
+    once = wr.seed(known, p.select("slug"), ["slug"])
+    return once.unionByName(wr.seed(known.unionByName(once), p.select("slug"), ["slug"]))
 
 
 @query("S14_text_files", "SELECT lang, part, md5(string_agg(text || CASE WHEN doc_id % 7 = 0 THEN chr(65533) || '(' ELSE '' END || chr(10), '' ORDER BY doc_id)) AS text_md5 FROM (SELECT lang, doc_id // 50 AS part, doc_id, text FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL) GROUP BY lang, part")
@@ -106,6 +108,23 @@ def s14(s, d):
     return t.select(of("lang").alias("lang"), of("part").cast("long").alias("part"), F.md5("text").alias("text_md5"))
 
 
+_XML = "replace(replace(text, '&', '&amp;'), '<', '&lt;')"
+
+
+@query("S14_xml_files", f"SELECT lang, part, md5('<?xml version=\"1.0\"?>' || chr(10) || '<documents>' || chr(10) || string_agg('<document id=\"' || doc_id || '\">' || {_XML} || '</document>' || chr(10), '' ORDER BY doc_id) || '</documents>' || chr(10)) AS text_md5 FROM (SELECT lang, doc_id // 50 AS part, doc_id, text FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL) GROUP BY lang, part")
+def s14_xml(s, d):
+    """Whole XML files as one text each, tags and all: one for each language and fifty documents."""
+    path = shared_path(s, "xml")
+    docs = fx.table(s, d, "documents").filter("lang is not null and text is not null")
+    text = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    line = F.concat(F.lit('<document id="'), "doc_id", F.lit('">'), text, F.lit("</document>"))
+    each = docs.groupBy("lang", F.floor(F.col("doc_id") / 50).alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("x"))  # fifty documents
+    value = F.concat_ws("\n", F.lit('<?xml version="1.0"?>'), F.lit("<documents>"), F.col("x.line"), F.lit("</documents>"))
+    each.select("lang", "part", value.alias("value")).write.partitionBy("lang", "part").text(path)
+    of = lambda k: F.regexp_extract("url", f"{k}=([^/]+)/", 1)
+    return rd.text_files(s, path).select(of("lang").alias("lang"), of("part").cast("long").alias("part"), F.md5("text").alias("text_md5"))
+
+
 # --- streams ---
 
 

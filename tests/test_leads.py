@@ -126,3 +126,28 @@ def test_repeated_signals_of_a_company(spark):
     plain = opportunities.detect(events, rules, spark.createDataFrame(once, cols)).orderBy("product_id").collect()
     again = opportunities.detect(events, rules, spark.createDataFrame([*once, (7, name, 0.2), (7, None, 0.9), *once], cols)).orderBy("product_id").collect()
     assert again == plain and any(r.corroborated_by for r in plain)
+
+
+def test_places_on_the_board_and_its_pages(spark):
+    rows = [(i, None if i % 7 == 0 else f"2026-01-{i % 28 + 1:02d}", i * 37 % 50) for i in range(300)]
+    leads = spark.createDataFrame(rows, "lead_id long, event_date string, score long").repartition(5)
+    want = {r[0]: k for k, r in enumerate(sorted(rows, key=lambda r: (r[1] is None, [-ord(c) for c in r[1] or ""], -r[2], r[0])), 1)}
+    assert {r.lead_id: r.place for r in bd.placed(leads).collect()} == want
+    for page in (0, 1, 2, 5):
+        assert {r.lead_id: r.place for r in bd.placed(leads, page, 60).collect()} == {i: p for i, p in want.items() if page * 60 < p <= page * 60 + 60}
+    assert bd.placed(leads.limit(0)).count() == 0
+
+
+def test_errors_of_the_cluster_are_no_errors_of_a_source(spark):
+    refs = spark.createDataFrame([(1, "a")], "obs_id long, value string")
+
+    def lost(refs):
+        raise RuntimeError("Job aborted due to stage failure: ExecutorLostFailure (executor 3 exited)")
+
+    def timed_out(refs):
+        raise TimeoutError("timed out")
+
+    found, errors = enrichment.collect(refs, {"good": lambda r: r, "bad": timed_out}, ("obs_id", "value"))
+    assert [r.source for r in found.collect()] == ["good"] and set(errors) == {"bad"}
+    with pytest.raises(RuntimeError, match="ExecutorLostFailure"):
+        enrichment.collect(refs, {"good": lambda r: r, "lost": lost}, ("obs_id", "value"))
