@@ -86,11 +86,11 @@ def s10(s, d):
     return rd.candidates_by_sector(s, path).select("vertical", "title")
 
 
-@query("S12_seeded_reference", "WITH p AS (SELECT lower(p_brand || '-' || p_type) AS slug, p_size FROM part) SELECT DISTINCT slug FROM p WHERE slug NOT IN (SELECT slug FROM p WHERE p_size > 25)")
+@query("S12_seeded_reference", "WITH p AS (SELECT lower(p_brand || '-' || p_type) AS slug, p_size FROM part) SELECT DISTINCT slug FROM p WHERE slug NOT IN (SELECT slug FROM p WHERE p_size > 49)")
 def s12(s, d):
-    """Brands by type: those of large parts are known, the others are seeded once each, however often it runs."""
+    """Brands by type: those of the largest parts are known, the others are seeded once each, however often it runs."""
     p = fx.table(s, d, "part").select(F.lower(F.concat_ws("-", "p_brand", "p_type")).alias("slug"), "p_size")
-    known = p.filter("p_size > 25").select("slug").distinct()
+    known = p.filter("p_size > 49").select("slug").distinct()
     once = wr.seed(known, p.select("slug"), ["slug"])
     return once.unionByName(wr.seed(known.unionByName(once), p.select("slug"), ["slug"]))
 
