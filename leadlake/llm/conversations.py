@@ -235,5 +235,47 @@ def op11_conversation_repair(spark, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.lit(empty)).alias("repaired_sha256"))
 
 
+# --- the same as SQL: a row of states for each conversation, extended turn by turn ---
+
+
+def _add(x: str, cost: str | int, edit: str, line: str | None = None) -> str:
+    """A state after one more edit; line is the SQL of the turn that it leaves, if any."""
+    r = f"{x}.r" if line is None else f"{x}.r || CASE WHEN {x}.r = '' THEN '' ELSE chr(10) END || {line}"
+    return f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 't': {x}.t || '{edit}', 'r': {r}}} END"
+
+
+def _best(*ways: str) -> str:
+    """The cheapest of some states, then the one with the least audit; null ones do not count."""
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+
+_PUT = {k: f"'{r}:'" for k, r in _ROLES.items()}
+
+
+def _over(x: str, to: str) -> str:
+    """The row kept or given the role that state `to` wants."""
+    own, keep = f"role || ':' || text", f"i = '{to}'"
+    turned = f"{_PUT[to]} || text"
+    return f"CASE WHEN NOT gone THEN CASE WHEN {keep} THEN {_add(x, 'more', 'K', own)} ELSE {_add(x, 'more + 1', 'R', turned)} END END"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE bits AS (SELECT n, list_reduce(list_prepend(n, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) b(n)),
+tab AS (SELECT list(v ORDER BY n) AS crc FROM bits),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+m AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda j: ascii(substr(k, j, 1))::BIGINT)), lambda x, b: xor(x >> 8, crc[(xor(x, b) & 255) + 1])), 4294967295) % 20 AS m FROM h, tab),
+d AS (SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, CASE m WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM m, range(2) c(j) WHERE m <> 0 AND (j = 0 OR m = 3)),
+o AS (SELECT *, coalesce('=' || conv_id, '-') AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM d),
+f AS (SELECT *, substr(role, 1, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM o),
+g AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS more, coalesce(lag(i) OVER (PARTITION BY conv_id ORDER BY place) || i NOT IN ('su', 'ua', 'au'), false) AS odd FROM f),
+n AS (SELECT key, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal FROM g GROUP BY key),
+s AS (SELECT key, 0::BIGINT AS pos, {{'c': 0::BIGINT, 't': '', 'r': ''}} AS z, NULL::STRUCT(c BIGINT, t VARCHAR, r VARCHAR) AS s, NULL::STRUCT(c BIGINT, t VARCHAR, r VARCHAR) AS u, NULL::STRUCT(c BIGINT, t VARCHAR, r VARCHAR) AS a FROM n
+ UNION ALL SELECT key, pos + 1, {_add('z', 2, 'D')}, {_best(_add('s', 2, 'D'), "CASE WHEN NOT gone AND i = 's' THEN " + _add('z', 'more', 'K', "role || ':' || text") + ' END')}, {_best(_add('v', 2, 'D'), _over('z', 'u'), _over('s', 'u'), _over('b', 'u'))}, {_best(_add('b', 2, 'D'), _over('v', 'a'))}
+  FROM (SELECT *, {_best('a', _add('v', 5, 'I', _PUT['a']))} AS b FROM (SELECT s.*, {_best('u', *(_add(x, 5, 'I', _PUT['u']) for x in 'zsa'))} AS v, g.role, g.text, g.i, g.gone, g.more FROM s JOIN g ON g.key = s.key AND g.place = s.pos + 1))),
+e AS (SELECT key, {_best('z', 'b')} AS w FROM (SELECT *, {_best('a', _add('v', 5, 'I', _PUT['a']))} AS b FROM (SELECT s.*, {_best('u', *(_add(x, 5, 'I', _PUT['u']) for x in 'zsa'))} AS v FROM s JOIN n ON n.key = s.key AND n.n = s.pos)))
+SELECT c.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, coalesce(e.w.c, 0) AS cost, coalesce(e.w.t, '') AS audit, sha256(coalesce(e.w.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.key = coalesce('=' || c.conv_id, '-') LEFT JOIN e ON e.key = n.key
+"""
+
 QUERIES = {"op11_conversation_repair": op11_conversation_repair}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op11_conversation_repair": OP11_SQL}
