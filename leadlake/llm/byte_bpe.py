@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadlake.llm.common import slices, table, text_pass
+from leadlake.llm.common import TABLES, release_tables, slices, table, text_pass
 from leadlake.session import ship
 
 #: Encodings of matches that a Python worker remembers; it starts anew when there are more.
@@ -98,7 +98,7 @@ class _Pieces(dict):
         return found
 
 
-_WORKER: dict = {}  # what a Python worker keeps from task to task: the vocabulary last used and its pieces
+_WORKER = TABLES.setdefault("byte_bpe", {})  # the vocabulary last used and its pieces
 
 
 def _pieces(vocabulary_id: str, ranks) -> _Pieces:
@@ -135,7 +135,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
         return _encoder(vocabulary_id, broadcast, pattern)
 
     fields = [("n_tokens", T.LongType(), pa.int64()), ("ids", T.BinaryType(), pa.binary())]
-    return text_pass(docs, id_col, text_col, make, fields)
+    return text_pass(docs, id_col, text_col, make, fields, tables="byte_bpe")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], at: int, ranks: dict[bytes, int], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +167,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id",
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids", binary), T.StructField("decoded", binary)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tables("byte_bpe")
         work = _encoder(vocabulary_id, broadcast, pattern)
 
         def encoded() -> Iterator[pa.RecordBatch]:

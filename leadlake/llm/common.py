@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
 
@@ -62,6 +63,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Tables that a Python worker keeps from task to task, by the module that fills them.
+TABLES: dict[str, dict] = {}
+
+
+def release_tables(but: str | None = None) -> None:
+    """Empty the worker's tables but one, and give their memory back: a worker outlives the stage that filled them."""
+    filled = [t for name, t in TABLES.items() if name != but and t]
+    for t in filled:
+        t.clear()
+    if filled:
+        gc.collect()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 #: Shares of the bound at which a sample's hash can be cut.
 _CUTS = (0.25, 0.5, 0.7, 0.8, 0.85, 0.9, 0.92, 0.94, 0.96, 0.98, 1.0, 1.02, 1.04)
 
@@ -104,14 +120,17 @@ def text_pass(
     make: Callable[[], Callable[[list], tuple]],
     fields: list[tuple[str, T.DataType, pa.DataType]],
     keep: tuple[str, ...] = (),
+    tables: str | None = None,
 ) -> DataFrame:
     """One pass over whole texts in Arrow batches: `make()` runs once in each task and returns a function from a
-    list of texts (None for null) to one list per field. Rows keep their number; of the other columns, `keep` stays."""
+    list of texts (None for null) to one list per field. Rows keep their number; of the other columns, `keep` stays.
+    tables: the worker's tables that the pass uses itself."""
     ship(docs.sparkSession)
     kept = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), *keep)
     schema = T.StructType([docs.schema[id_col], *(docs.schema[c] for c in keep), *(T.StructField(n, t) for n, t, _ in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tables(tables)
         work = make()
         for batch in batches:
             for part in slices(batch):

@@ -15,6 +15,8 @@ import re
 
 import numpy as np
 
+from leadlake.llm.common import TABLES, release_tables
+
 #: Encodings of chunks that a Python worker remembers; it starts anew when there are more.
 REMEMBERED = 300_000
 #: Characters of the longest chunk that is remembered.
@@ -58,11 +60,12 @@ class Definition:
         self.id, self.data = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
 
 
-_WORKER: dict = {}  # what a Python worker keeps from task to task, by the definitions it was made of
+_WORKER = TABLES.setdefault("tokenizing", {})  # what was made last, and the definitions that it was made of
 
 
 def kept_by_worker(key: tuple, make):
     """make() once in a Python worker; only what was made last is kept."""
+    release_tables("tokenizing")
     if _WORKER.get("key") != key:
         _WORKER.clear()
         _WORKER.update(key=key, made=make())
