@@ -42,7 +42,9 @@ def fuzzy_pairs(names: DataFrame, least: float = 0.9) -> DataFrame:
     Names of lengths L and M have K = ratio (L + M) / 2 matched characters in at most U + 1 blocks, where U = L + M - 2 K
     are left over; blocks of K characters hold at least K - 2 (U + 1) trigram places. The least of that over all M gives
     the trigrams that must be shared, less those that the name repeats; a name's rarest k - need + 1 of k trigrams must
-    then meet the other's. Trigrams of normal forms number at most 37^3, which bounds the table of counts.
+    then meet the other's, and of k - need + 2 two must, if it needs two. Names that need two meet on two trigrams at once,
+    so a frequent one makes no list; the few short names that need one meet the others on one. Trigrams of normal forms
+    number at most 37^3, which bounds the table of counts.
     """
     ship(names.sparkSession)
     n = F.length("name")
@@ -60,10 +62,21 @@ def fuzzy_pairs(names: DataFrame, least: float = 0.9) -> DataFrame:
     lengths = F.sequence(F.ceil(n * least / (2 - least) - 1e-9).cast("int"), F.floor(n * (2 - least) / least + 1e-9).cast("int"))
     need = (F.array_min(F.transform(lengths, shared)) - F.greatest(n - 2 - F.col("k"), F.lit(0))).cast("int")
     order = own.groupBy("id", "name", "k").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))  # one name's trigrams
-    prefix = order.select("id", "name", F.explode(F.slice("o", F.lit(1), F.col("k") - F.greatest(need, F.lit(1)) + 1)).alias("x")).select("id", "name", "x.t")
-    a, b = prefix.select(F.col("id").alias("a"), F.col("name").alias("na"), "t"), prefix.select(F.col("id").alias("b"), F.col("name").alias("nb"), "t")
-    fits = (F.col("a") < F.col("b")) & (2 * F.least(F.length("na"), F.length("nb")) >= least * (F.length("na") + F.length("nb")))
-    pairs = a.join(b, "t").filter(fits).select("a", "b", "na", "nb").distinct()
+    order = checkpointed(order.withColumn("need", F.greatest(need, F.lit(1))))
+    rarest = lambda more: F.transform(F.slice("o", F.lit(1), F.col("k") - F.col("need") + more), lambda x: x["t"])
+
+    def side(df: DataFrame, sign: Column, end: str) -> DataFrame:
+        return df.select(F.col("id").alias(end), F.col("name").alias(f"n{end}"), F.explode(sign).alias("t"))
+
+    most = F.array_sort(rarest(2))
+    twos = F.flatten(F.transform(most, lambda x: F.transform(F.filter(most, lambda y: y > x), lambda y: F.concat(x, y))))
+    long, short = order.filter("need > 1"), order.filter("need = 1")
+    fits = 2 * F.least(F.length("na"), F.length("nb")) >= least * (F.length("na") + F.length("nb"))
+    both = side(long, twos, "a").join(side(long, twos, "b"), "t").filter("a < b")
+    one = side(short, rarest(1), "a").join(side(order, rarest(1), "b"), "t").filter("a <> b")  # the smaller id first again
+    flip = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
+    one = one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), flip("na", "nb").alias("na"), flip("nb", "na").alias("nb"))
+    pairs = both.filter(fits).select("a", "b", "na", "nb").unionByName(one.filter(fits)).distinct()
     return pairs.withColumn("ratio", name_ratio(F.col("nb"), F.col("na"))).filter(F.col("ratio") >= least).select("a", "b", "ratio")
 
 

@@ -166,7 +166,22 @@ def u06(s, d):
     return f.filter(F.col("core").endswith("1")).select(F.col("obs_id").alias("id")).union(f.filter(F.col("full").endswith("1 limited")).select("obs_id")).distinct()
 
 
-@query("J11_resolved_companies")
+#: The fold, one observation after the other, over the list of all companies made so far.
+_IDS = "cin, gstin, pan, domain, city, state".split(", ")
+_WEIGHT = "CASE WHEN " + " OR ".join(f"coalesce(o.{k} <> c.{k}, false)" for k in m.IDS) + " THEN 0 " + " ".join(f"WHEN o.{k} = c.{k} THEN {w}" for k, w in m.KEYS) + " WHEN o.core = c.core OR (o.core IS NOT NULL AND list_contains(c.aliases, o.full_name)) THEN CASE WHEN coalesce(o.city = c.city, false) OR coalesce(o.state = c.state, false) THEN 0.92 ELSE 0.85 END ELSE 0 END"
+_MERGED = "{'id': c.id, 'core': c.core, 'aliases': list_distinct(list_append(c.aliases, full_name)), " + ", ".join(f"'{k}': coalesce(c.{k}, {k})" for k in _IDS) + "}"
+_NEW = "{'id': obs_id, 'core': core, 'aliases': [full_name], " + ", ".join(f"'{k}': {k}" for k in _IDS) + "}"
+FOLD = {
+    "ob": "SELECT *, row_number() OVER (ORDER BY obs_id) AS n FROM cf",
+    "f": f"""SELECT 0::BIGINT AS n, NULL::BIGINT AS obs_id, NULL::BIGINT AS company_id, NULL::DOUBLE AS confidence, []::STRUCT(id BIGINT, core VARCHAR, aliases VARCHAR[], {", ".join(k + " VARCHAR" for k in _IDS)})[] AS made
+      UNION ALL SELECT n, obs_id, CASE WHEN w > 0 THEN made[k].id ELSE obs_id END, CASE WHEN w > 0 THEN w END,
+        CASE WHEN w > 0 THEN list_transform(made, lambda c, j: CASE WHEN j = k THEN {_MERGED} ELSE c END) ELSE list_append(made, {_NEW}) END
+      FROM (SELECT *, coalesce(list_max(weights), 0) AS w, list_position(weights, list_max(weights)) AS k
+        FROM (SELECT o.*, f.made, list_transform(f.made, lambda c: ({_WEIGHT})::DOUBLE) AS weights FROM f JOIN ob o ON o.n = f.n + 1))""",
+}
+
+
+@query("J11_resolved_companies", sql("SELECT obs_id, company_id, confidence FROM f WHERE n > 0", "co", more=CF | FOLD).replace("WITH", "WITH RECURSIVE", 1))
 def j11(s, d):
     return m.resolve(forms(s, d))
 
