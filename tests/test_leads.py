@@ -151,3 +151,27 @@ def test_errors_of_the_cluster_are_no_errors_of_a_source(spark):
     assert [r.source for r in found.collect()] == ["good"] and set(errors) == {"bad"}
     with pytest.raises(RuntimeError, match="ExecutorLostFailure"):
         enrichment.collect(refs, {"good": lambda r: r, "lost": lost}, ("obs_id", "value"))
+
+
+def _exchanges(df):
+    """How many exchanges by lead_id a plan has: a row's own arrays need none."""
+    return df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(lead_id")
+
+
+def test_briefs_and_their_checks_stay_within_the_row(spark):
+    facts = F.array(*(F.struct(F.lit(f"F{i}").alias("fact_id"), F.lit("k").alias("kind"), F.lit(s).alias("statement"), F.lit(x).alias("value"), F.lit(3).alias("tier"), F.lit(None).cast("double").alias("confidence")) for i, (s, x) in enumerate([("Worth 12 crore", "12"), ("On 2024-01-02", "2024-01-02"), ("Mail a@b.example", None)])))
+    bodies = ["12 crore in 2024", "13 crore", "ask a@b.example or c@d.example", None]
+    parts = F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(f"T{k}").alias("title"), F.lit(b).alias("body")) for k, b in enumerate(bodies, 1)))
+    leads = spark.range(3).select(F.col("id").cast("string").alias("lead_id"), facts.alias("facts"), F.lit(50).alias("total"), F.lit(0.5).alias("confidence"))
+    rows = leads.select("lead_id", F.explode(parts).alias("x")).select("lead_id", "x.*")
+    want = briefs.verify(rows, leads.select("lead_id", F.explode("facts").alias("f")).select("lead_id", "f.*"), "lead_id")
+    checked = briefs.verified(leads, parts)
+    got = checked.select("lead_id", F.explode("checked").alias("x")).select("lead_id", "x.*")
+    key = lambda df: sorted(map(repr, df.select("lead_id", "ord", "numbers", "contacts", "status").collect()))
+    assert key(got) == key(want) and len(key(got)) == 12
+    want = sorted(map(repr, briefs.status(want, leads, "lead_id").collect()))
+    assert sorted(map(repr, briefs.row_status(checked, "lead_id").collect())) == want
+    text = leads.select("lead_id", briefs.markdown(F.slice(parts, 1, 3)).alias("content"))
+    rendered = briefs.render(rows.filter("ord < 4"), "lead_id")
+    assert sorted(map(repr, text.collect())) == sorted(map(repr, rendered.collect()))
+    assert _exchanges(got) == _exchanges(text) == 0
