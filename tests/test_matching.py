@@ -342,3 +342,19 @@ def test_name_ratio_is_that_of_whole_names(spark):
     rows = [("acme infra ltd", "acme infra limited"), ("a", None), (None, "a"), ("", ""), ("bharat", "bharath")]
     got = spark.createDataFrame(rows, "a string, b string").select("a", "b", m.name_ratio(F.col("a"), F.col("b")).alias("r")).collect()
     assert all(x.r == (None if None in (x.a, x.b) else SequenceMatcher(None, x.a, x.b).ratio()) for x in got)
+
+
+def test_composite_cells_repeat_few_rows_and_lose_no_pair(spark):
+    """Values and days on both sides of the edges of cells; the rows that enter the join grow by less than half."""
+    rng = random.Random(3)
+    day = datetime.date(2026, 1, 1)
+    rows = [(i, "R", "B", "Acme", rng.choice([None, 0, *(int(1000 * 1.004**k) for k in range(120))]), rng.choice([None, *(day + datetime.timedelta(k) for k in range(100))])) for i in range(400)]
+    r = spark.createDataFrame(rows, "report_id long, reference string, buyer string, company string, value long, event_date date")
+    _, first = m.composite_classes(m.fingerprints(r))
+    x = first.collect()
+    close = lambda p, q: p is None or q is None or abs(p - q) <= 0.02 * max(p, q)
+    near = lambda p, q: p is None or q is None or abs((p - q).days) <= 3
+    some = lambda p, q: None not in (p.value, q.value) or None not in (p.event_date, q.event_date)
+    want = sorted((p.a, q.a) for p in x for q in x if p.a < q.a and some(p, q) and close(p.value, q.value) and near(p.event_date, q.event_date))
+    assert sorted((t.a, t.b) for t in m.composite_links(first).collect()) == want and len(want) > 500
+    assert (1 + 3 / m.DAYS) * (1 + 2 / m.BANDS) < 1.5  # each row stood in nine bands before
