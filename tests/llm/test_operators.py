@@ -108,6 +108,22 @@ def test_templates_that_do_not_link_make_no_blocks(spark, monkeypatch):
     assert all(r.component_id == (r.doc_id - 600 if r.doc_id >= 600 else r.doc_id) for r in out)
 
 
+def test_shingles_are_shuffled_a_band_at_a_time(spark):
+    """The bands share the prefix shingles out, none of them holds half, and together they give the lists of all at once; the
+    checks get texts, not sets."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e"]) for _ in range(60)) for _ in range(60)]
+    texts += [t + " e" for t in texts[:30]] + [texts[0], None, " "]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = spark.sparkContext.broadcast(np.zeros(jaccard_join.BUCKETS, np.int64))
+    whole = [tuple(r) for r in jaccard_join.prefixes(docs, counts).collect()]
+    parts = [[tuple(r) for r in jaccard_join.prefixes(docs, counts, k, jaccard_join.BANDS).collect()] for k in range(jaccard_join.BANDS)]
+    assert jaccard_join.BANDS > 1 and sorted(sum(parts, [])) == sorted(whole) and all(0 < len(x) < len(whole) / 2 for x in parts)
+    lists = sorted(tuple(r) for r in jaccard_join.prefix_lists(docs, counts).collect())
+    assert lists and sorted(tuple(r) for k in range(jaccard_join.BANDS) for r in jaccard_join.prefix_lists(docs, counts, k, jaccard_join.BANDS).collect()) == lists
+    assert sorted(r.text for r in jaccard_join.set_rows(docs).select("text").collect()) == sorted(t for t in texts if t and t.strip())
+
+
 def test_vectors_of_any_magnitude_and_many_lengths(spark, monkeypatch):
     """Squares of these components over- or underflow; only zero and non-finite vectors link with nothing."""
     rows = [(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [-1e-200, 0.0]), (3, [-2e-200, -1e-203]), (4, [1.7e308, 1.7e308]), (5, [5e-324, 5e-324]), (6, [0.0, 0.0]), (7, [float("inf"), 1.0]), (8, [1e308, -1e308]), (9, [3.0, -3.0])]
