@@ -16,7 +16,7 @@ from leadlake.plans.fixtures import sql
 from leadlake.plans.leads import BOARD, MORE, SCORED, _pts, as_of, board_leads, score_inputs
 from leadlake.plans.registry import query
 from leadlake.plans.scalars import case
-from leadlake.session import shared_path, ship
+from leadlake.session import shared_path, ship, stored
 from leadlake.sources import readers as rd
 from leadlake.sources import writers as wr
 from leadlake.streaming import jobs
@@ -145,6 +145,7 @@ def t2(s, d):
     """Reports land in three folders, in order of their ids; each folder is one batch, of as many files as tasks wrote."""
     src, out, state = shared_path(s, "reports"), shared_path(s, "canonical"), shared_path(s, "state")
     r = fx.reports(s, d).select(F.col("report_id").alias("seq"), tx.identifier(F.col("reference")).alias("identifier")).filter("identifier is not null")
+    r = stored(r)
     cuts = r.agg(F.percentile_approx("seq", F.array(F.lit(0.33), F.lit(0.66)))).first()[0]
     for k, part in enumerate((r.filter(F.col("seq") <= cuts[0]), r.filter((F.col("seq") > cuts[0]) & (F.col("seq") <= cuts[1])), r.filter(F.col("seq") > cuts[1]))):
         part.write.parquet(f"{src}/part{k}")
@@ -158,7 +159,7 @@ def t4_stream(s, d):
     """The board's rows as written on one day, then those written and deleted on the next: what the second day changed."""
     src, out, state = shared_path(s, "operations"), shared_path(s, "changes"), shared_path(s, "state")
     day = lambda n: F.to_timestamp(F.lit(f"2001-09-0{n}"))
-    old = board_leads(s, d).withColumns({"at": day(1), "gone": F.lit(False)})
+    old = stored(board_leads(s, d)).withColumns({"at": day(1), "gone": F.lit(False)})
     goes = (F.col("score") % 2 != 0) & (F.col("score") % 5 == 0)
     new = old.withColumns({"gone": goes, "score": F.when(F.col("score") % 2 == 0, F.col("score") + 1).otherwise(F.col("score")), "at": day(2)})
     for k, part in enumerate((old, new)):

@@ -3,6 +3,8 @@
 import datetime
 import random
 
+import pandas as pd
+
 from leadlake.streaming import jobs
 
 
@@ -64,3 +66,23 @@ def test_change_feed_equals_the_diff_of_snapshots(spark, tmp_path):
     for r in spark.read.parquet(f"{tmp_path}/out").collect():
         got.setdefault((r["at"] - day(0)).days, set()).add((r.lead_id, r.change))
     assert got == {k: x for k, x in want.items() if x}
+
+
+class Held:
+    """A state as Spark gives it to a function."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_keys_share_a_state_and_keep_their_own_history():
+    state = Held()
+    feed = lambda *rows: [tuple(x) for part in jobs._changed((0,), iter([pd.DataFrame(rows, columns=["key", "at", "sign", "gone"])]), state) for x in part.itertuples(index=False)]
+    assert sorted(feed(("a", 1, 5, False), ("b", 1, 5, False), ("c", 1, 5, True))) == [("a", 1, "added"), ("b", 1, "added")]
+    assert sorted(feed(("a", 2, 6, False), ("b", 2, 5, True), ("c", 0, 7, False))) == [("a", 2, "changed"), ("b", 2, "removed")]
+    state = Held()
+    meet = lambda *parts: {r.seq: r.canonical for part in jobs._first_holders((0,), iter([pd.DataFrame(x, columns=["seq", "identifier"]) for x in parts]), state) for r in part.itertuples()}
+    assert meet([(4, "x"), (3, "y"), (9, None)], [(2, "x"), (5, "y"), (8, None)]) == {4: 2, 2: 2, 3: 3, 5: 3, 9: 8, 8: 8}
+    assert meet([(11, "y"), (12, "x")], [(14, "z"), (13, "z"), (15, "x")]) == {11: 3, 12: 2, 14: 13, 13: 13, 15: 2}
