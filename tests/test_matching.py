@@ -3,6 +3,7 @@
 import collections
 import datetime
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -358,3 +359,13 @@ def test_composite_cells_repeat_few_rows_and_lose_no_pair(spark):
     want = sorted((p.a, q.a) for p in x for q in x if p.a < q.a and some(p, q) and close(p.value, q.value) and near(p.event_date, q.event_date))
     assert sorted((t.a, t.b) for t in m.composite_links(first).collect()) == want and len(want) > 500
     assert (1 + 3 / m.DAYS) * (1 + 2 / m.BANDS) < 1.5  # each row stood in nine bands before
+
+
+def test_texts_of_one_embedding_are_linked_without_comparing_names_that_are_equal(spark, monkeypatch):
+    """Twenty-four orders of the same words are one embedding; they have one buyer, so no name is compared."""
+    names = [" ".join(x) for x in itertools.permutations(("alpha", "beta", "gamma", "delta"))]
+    rows = [(k, n, n, "one buyer") for k, n in enumerate(names)] + [(99, "other words", "other words here", "one buyer")]
+    classes = spark.createDataFrame(rows, "k long, company string, text string, buyer string")
+    monkeypatch.setattr(m, "name_ratio", lambda a, b: F.when(a.isNotNull(), F.raise_error(F.lit("compared")).cast("double")))
+    got = {(r.k, r.k2) for r in m.semantic_pairs(classes).collect()}
+    assert got == {(a, b) for a in range(len(names)) for b in range(a + 1, len(names))}
