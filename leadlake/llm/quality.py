@@ -1,9 +1,9 @@
 """Quality rules and a hashed n-gram likelihood ratio, in DataFrame functions only.
 
-The counts behind the base rules and the ratio are computed in the row: no text is shuffled. Words and word pairs are
-hashed to BUCKETS. Their counts in the raw corpus (all rows) and in a trusted target (a bounded sample of rows that
-are labelled good) are smoothed into two multinomials; the sum of log(p_target / p_raw) over a text's n-grams, divided
-by their number, is its score. The score below which a text is rejected comes from the target's own scores: the
+The counts behind the base rules and the ratio are computed in the row; texts are shuffled once, to find the trusted ones. Words and word pairs are
+hashed to BUCKETS. Their counts in the raw corpus (all rows) and in a trusted target (all rows that are labelled
+good) are smoothed into two multinomials; the sum of log(p_target / p_raw) over a text's n-grams, divided
+by their number, is its score. The score below which a text is rejected comes from all the target's own scores: the
 LOW quantile, less half its distance to the median. It is applied to every row alike.
 
 Repeated windows are found by sorting, in the row, one integer per window: a hash in the high bits and the place in the
@@ -23,11 +23,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.common import bounded_sample, checkpoint, table, words
+from leadlake.llm.common import store, table, unstore, words
 
 BUCKETS = 1 << 14
-#: Trusted rows that the target is counted on at most.
-TARGET = 10_000
+#: Scores that the driver sorts at most to find one of a given rank, and parts in which they are counted before.
+FEW, PARTS = 10_000, 4096
 LOW = 0.001
 
 
@@ -106,26 +106,55 @@ class Ratio:
 
 
 def learn(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ratio:
-    """trusted: one id column of rows that are good; at most TARGET of them are used. docs: the raw corpus, all of it."""
-    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).filter("id is not null")
-    chosen = F.broadcast(checkpoint(bounded_sample(ids, TARGET)).distinct().withColumn("good", F.lit(True)))  # bounded: TARGET ids
-    tokens = _tokens(docs, id_col, text_col)
-    marked = tokens.join(chosen, "id", "left").select("good", F.explode(_grams()).alias("bucket"))
-    counts = marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()  # at most BUCKETS rows
+    """trusted: one id column of rows that are good. docs: the raw corpus. All rows of both are counted."""
+    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).filter("id is not null").distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    good = store(texts.join(ids, "id", "left_semi"))
+    counted = lambda df: _tokens(df, "id", "text").select(F.explode(_grams()).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).collect()  # noqa: E731  at most BUCKETS rows
     target, raw = [1] * BUCKETS, [1] * BUCKETS
-    for r in counts:
-        target[r.bucket] += r.target
-        raw[r.bucket] += r.raw
-    if not sum(r.target for r in counts):
-        return Ratio(None, 0.0)
+    for into, rows in ((target, counted(good)), (raw, counted(texts))):
+        for r in rows:
+            into[r.bucket] += r.n
     st, sr = sum(target), sum(raw)
+    if st == BUCKETS:
+        unstore(good)
+        return Ratio(None, 0.0)
     ratio = Ratio([math.log(t / st) - math.log(r / sr) for t, r in zip(target, raw)], 0.0)
-    good = tokens.join(chosen, "id", "left_semi").filter(F.size("w") > 0).select(ratio.score().alias("s"))
-    low, mid = good.agg(F.percentile("s", F.array(F.lit(LOW), F.lit(0.5)))).first()[0]
+    scores = store(_tokens(good, "id", "text").filter(F.size("w") > 0).select(ratio.score().alias("s")))
+    low, mid = quantiles(scores, (LOW, 0.5))
+    unstore(good, scores)
     ratio.least = low - (mid - low) / 2
     return ratio
 
 
+def quantiles(scores: DataFrame, at: tuple[float, ...]) -> list[float]:
+    """Exact quantiles, linear between ranks, of the column s (no nulls, at least one row). A rank is found by counting
+    the scores in PARTS equal parts of a range that shrinks, until a part has FEW rows or one value."""
+
+    def ranked(rank: int) -> float:
+        inside, before = scores, 0
+        while True:
+            n, lo, hi = inside.agg(F.count("*"), F.min("s"), F.max("s")).first()
+            if lo == hi:
+                return lo
+            if n <= FEW:
+                return sorted(r.s for r in inside.collect())[rank - before]
+            part = F.least(F.floor((F.col("s") - lo) / (hi - lo) * PARTS), F.lit(PARTS - 1))
+            for k, rows in sorted(tuple(r) for r in inside.groupBy(part.alias("k")).count().collect()):
+                if before + rows > rank:
+                    break
+                before += rows
+            inside = inside.filter(part == k)
+
+    total = scores.count()
+    found = []
+    for q in at:
+        place = q * (total - 1)
+        below = ranked(math.floor(place))
+        found.append(below + (place % 1) * (ranked(math.ceil(place)) - below) if place % 1 else below)
+    return found
+
+
 def judge(docs: DataFrame, ratio: Ratio, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) of every row."""
     counted = base_counts(_tokens(docs, id_col, text_col)).withColumn("score", ratio.score())

@@ -108,6 +108,15 @@ def test_templates_that_do_not_link_make_no_blocks(spark, monkeypatch):
     assert all(r.component_id == (r.doc_id - 600 if r.doc_id >= 600 else r.doc_id) for r in out)
 
 
+def test_quality_counts_every_trusted_row(spark):
+    """Where all of 10,400 rows are trusted, the target is the raw corpus and no word weighs anything."""
+    docs = spark.range(10_400).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 997, F.lit(" x")).alias("text"))
+    assert set(quality.learn(docs, docs.select("doc_id")).weights) == {0.0}
+    scores = np.random.default_rng(1).normal(size=30_000).round(3)
+    got = quality.quantiles(spark.createDataFrame([(float(x),) for x in scores], "s double"), (0.001, 0.5, 1.0))
+    assert np.allclose(got, np.quantile(scores, [0.001, 0.5, 1.0]), atol=1e-12)
+
+
 def test_shingles_are_shuffled_a_band_at_a_time(spark):
     """The bands share the prefix shingles out, none of them holds half, and together they give the lists of all at once; the
     checks get texts, not sets."""
