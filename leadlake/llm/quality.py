@@ -1,9 +1,9 @@
 """Quality rules and a hashed n-gram likelihood ratio, in DataFrame functions only.
 
-The counts behind the base rules and the ratio are computed in the row; texts are shuffled once, to find the trusted ones. Words and word pairs are
-hashed to BUCKETS. Their counts in the raw corpus (all rows) and in a trusted target (all rows that are labelled
-good) are smoothed into two multinomials; the sum of log(p_target / p_raw) over a text's n-grams, divided
-by their number, is its score. The score below which a text is rejected comes from all the target's own scores: the
+The counts behind the base rules and the ratio are computed in the row: no text is shuffled, as the trusted ids, packed
+as bits, go to the texts in bands of bounded size. Words and word pairs are hashed to BUCKETS. Their counts in the raw
+corpus (all rows) and in a trusted target (all rows that are labelled good) are smoothed into two multinomials; the sum
+of log(p_target / p_raw) over a text's n-grams, divided by their number, is its score. The score below which a text is rejected comes from all the target's own scores: the
 LOW quantile, less half its distance to the median. It is applied to every row alike.
 
 Repeated windows are found by sorting, in the row, one integer per window: a hash in the high bits and the place in the
@@ -22,18 +22,21 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadlake.llm.common import store, table, unstore, words
 
 BUCKETS = 1 << 14
 #: Scores that the driver sorts at most to find one of a given rank, and parts in which they are counted before.
 FEW, PARTS = 10_000, 4096
+#: Rows of packed trusted ids that are broadcast at a time.
+BAND = 1_000_000
 LOW = 0.001
 
 
-def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, w): ids, texts and their words."""
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("w", words(F.col("text")))
+def _tokens(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
+    """(id, text, w): ids, texts and their words, with the columns in keep."""
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep).withColumn("w", words(F.col("text")))
 
 
 def _bucket(*parts) -> F.Column:
@@ -107,26 +110,58 @@ class Ratio:
 
 def learn(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ratio:
     """trusted: one id column of rows that are good. docs: the raw corpus. All rows of both are counted."""
-    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).filter("id is not null").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    good = store(texts.join(ids, "id", "left_semi"))
-    counted = lambda df: _tokens(df, "id", "text").select(F.explode(_grams()).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).collect()  # noqa: E731  at most BUCKETS rows
+    ids, bands = packed(texts, trusted)
     target, raw = [1] * BUCKETS, [1] * BUCKETS
-    for into, rows in ((target, counted(good)), (raw, counted(texts))):
-        for r in rows:
-            into[r.bucket] += r.n
+    for k in range(bands):  # the first band's pass counts the raw corpus too
+        rows = marked(texts, ids, bands, k)
+        grams = _tokens(rows if k == 0 else rows.filter("good"), "id", "text", "good").select("good", F.explode(_grams()).alias("bucket"))
+        for r in grams.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("good").alias("good")).collect():  # at most BUCKETS rows
+            target[r.bucket] += r.good
+            if k == 0:
+                raw[r.bucket] += r.n
     st, sr = sum(target), sum(raw)
     if st == BUCKETS:
-        unstore(good)
+        unstore(ids)
         return Ratio(None, 0.0)
     ratio = Ratio([math.log(t / st) - math.log(r / sr) for t, r in zip(target, raw)], 0.0)
-    scores = store(_tokens(good, "id", "text").filter(F.size("w") > 0).select(ratio.score().alias("s")))
-    low, mid = quantiles(scores, (LOW, 0.5))
-    unstore(good, scores)
+    parts = [store(_tokens(marked(texts, ids, bands, k).filter("good"), "id", "text").filter(F.size("w") > 0).select(ratio.score().alias("s"))) for k in range(bands)]
+    low, mid = quantiles(reduce(DataFrame.unionByName, parts), (LOW, 0.5))
+    unstore(ids, *parts)
     ratio.least = low - (mid - low) / 2
     return ratio
 
 
+def packed(texts: DataFrame, trusted: DataFrame) -> tuple[DataFrame, int]:
+    """(key, bits, hash) of the trusted ids, and the number of bands. Whole numbers are packed 64 to a row, one bit each;
+    other ids are rows of their own. A band has about BAND rows, so that it can be broadcast."""
+    given, own = F.col(trusted.columns[0]), texts.schema["id"].dataType
+    ids = trusted.select(given.alias("given"), given.try_cast(own).alias("id")).filter("id = given")
+    rows = ids.groupBy(_key(own).alias("key")).agg(F.bit_or(_bit(own)).alias("bits"))
+    found = store(rows.select("key", "bits", F.xxhash64("key").alias("hash")))
+    return found, max(1, -(-found.count() // BAND))
+
+
+def marked(texts: DataFrame, ids: DataFrame, bands: int, k: int) -> DataFrame:
+    """texts with good: whether the id is one of band k of the packed ids, which go to every task; no text is shuffled."""
+    own = texts.schema["id"].dataType
+    band = ids.filter(F.pmod("hash", F.lit(bands)) == k).select("key", "bits")
+    j = texts.withColumn("key", _key(own)).join(F.broadcast(band), "key", "left")
+    return j.select("id", "text", F.coalesce(F.col("bits").bitwiseAND(_bit(own)) != 0, F.lit(False)).alias("good"))
+
+
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _key(own: T.DataType) -> F.Column:
+    return F.shiftright(F.col("id").cast("long"), 6) if isinstance(own, _WHOLE) else F.col("id")
+
+
+def _bit(own: T.DataType) -> F.Column:
+    one = F.lit(1).cast("long")
+    return F.call_function("shiftleft", one, F.pmod(F.col("id").cast("long"), F.lit(64)).cast("int")) if isinstance(own, _WHOLE) else one
+
+
 def quantiles(scores: DataFrame, at: tuple[float, ...]) -> list[float]:
     """Exact quantiles, linear between ranks, of the column s (no nulls, at least one row). A rank is found by counting
     the scores in PARTS equal parts of a range that shrinks, until a part has FEW rows or one value."""

@@ -117,6 +117,35 @@ def test_quality_counts_every_trusted_row(spark):
     assert np.allclose(got, np.quantile(scores, [0.001, 0.5, 1.0]), atol=1e-12)
 
 
+def shuffled(spark, work):
+    """Bytes that the stages of some work shuffle."""
+    j = spark._jvm.java.util.ArrayList
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    listed = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(j(), False, False, none, j())
+    every = lambda q: {(q.apply(i).stageId(), q.apply(i).attemptId()): q.apply(i).shuffleWriteBytes() for i in range(q.size())}
+    before = every(listed())
+    work()
+    return sum(n for k, n in every(listed()).items() if k not in before)
+
+
+def test_quality_finds_trusted_texts_without_shuffling_them(spark, monkeypatch):
+    """Even where Spark would not broadcast, in several bands, for numbers below zero and for ids that are no numbers."""
+    docs = spark.range(-700, 700).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.sha2(F.concat("id", F.lit(f"-{k}")), 512) for k in range(40))).alias("text")).localCheckpoint()
+    good = docs.filter("doc_id % 3 = 0").select("doc_id")
+    want = quality.learn(docs, good)
+    monkeypatch.setattr(quality, "BAND", 12, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        assert shuffled(spark, lambda: got.append(quality.learn(docs, good))) < 2_000_000  # the texts take 2.9 MB in a shuffle; counts of buckets move
+        named = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+        monkeypatch.setattr(quality, "BAND", 240, raising=False)
+        got.append(quality.learn(named(docs), named(good)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all(r.weights == want.weights and abs(r.least - want.least) < 1e-12 for r in got) and any(want.weights)
+
+
 def test_shingles_are_shuffled_a_band_at_a_time(spark):
     """The bands share the prefix shingles out, none of them holds half, and together they give the lists of all at once; the
     checks get texts, not sets."""
