@@ -175,3 +175,28 @@ def test_briefs_and_their_checks_stay_within_the_row(spark):
     rendered = briefs.render(rows.filter("ord < 4"), "lead_id")
     assert sorted(map(repr, text.collect())) == sorted(map(repr, rendered.collect()))
     assert _exchanges(got) == _exchanges(text) == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+
+
+def test_event_texts_are_made_once_and_signals_meet_events(spark):
+    """Not in the condition, where each keyword would make them again, and not after the rules have multiplied the rows."""
+    cols = "event_id long, company_id long, event_type string, awardee string, sector string, project string, value long"
+    e = spark.createDataFrame([(k, k % 3, "contract_award", f"A{k}", "Smart Cities", "digital", 10**9) for k in range(9)], cols)
+    signals = spark.createDataFrame([(1, "technology_activity", 0.5)], "company_id long, signal string, confidence double")
+    found = opportunities.detect(e, opportunities.default_rules(spark), signals)
+    plan = plan_of(found)
+    joins = [x for x in plan if "Join " in x]
+    assert len(joins) == 2 and "event_type" in joins[0] and not any("concat_ws" in x or "lower(" in x for x in joins)
+    assert {r.company_id for r in found.collect() if r.corroborated_by} == {1}
+
+
+def test_versions_share_points(spark):
+    """Seven components and two that differ in the second version: nine figures, each computed once, for components and total."""
+    row = {"event_type": "work_order", "value": 10**8, "event_date": "2001-08-01", "event_sector": "IT", "company_industry": "IT", "employee_range": "51-200", "opportunity_confidence": 0.5, "num_contacts": 1, "best_seniority": "vp"}
+    df = spark.createDataFrame([row]).withColumns({"event_date": F.to_date("event_date"), "target_sectors": F.array(F.lit("IT")), "ideal_ranges": F.array(F.lit("51-200")), "evidence_confidences": F.array(F.lit(0.4))})
+    out = scoring.score(df, scoring.config() + scoring.config("b", sector_relevance=15, recency=25), F.to_date(F.lit("2001-08-31")))
+    assert sum(x.count("bround(") for x in plan_of(out)) == 9
+    assert all(r.total == sum(c["points"] for c in r.components) for r in out.collect()) and out.count() == 2
