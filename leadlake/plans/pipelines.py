@@ -30,7 +30,7 @@ def s01(s, d):
         F.lit("<description>Type "), "p_type", F.lit("</description>"), F.when(k % 3 == 0, F.concat(F.lit("<guid>g"), k, F.lit("</guid>"))).otherwise(""), F.lit("</item>"),
     )
     pages = fx.table(s, d, "part").select(F.floor(k / 100).alias("page"), one.alias("item")).groupBy("page").agg(F.array_join(F.collect_list("item"), "").alias("items"))
-    pages.select(F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>"))).write.option("maxRecordsPerFile", 1).text(path)
+    wr.whole_files(pages.select(F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("value")), path)
     return rd.feed_entries(s, path, "https://feed.example").select("title", "link", "summary", "entry_id")
 
 
@@ -42,7 +42,7 @@ def s02(s, d):
     one.select(F.to_json(F.struct("offset", "records")).alias("value")).repartition(4).write.option("lineSep", "\n").text(path)
     pages = s.read.schema("offset bigint, records array<struct<ref: string, name: string>>").json(path)
     again = shared_path(s, "pages")
-    pages.write.option("maxRecordsPerFile", 1).json(again)
+    wr.whole_files(pages.select(F.to_json(F.struct("offset", "records")).alias("value")), again)
     return rd.json_records(s, again, "ref: string, name: string").select("row", "ref", "record.name")
 
 
@@ -95,17 +95,27 @@ def s12(s, d):
     return once.unionByName(wr.seed(known.unionByName(once), p.select("slug"), ["slug"]))
 
 
+def _fifty(doc_id):
+    return F.floor(doc_id / 50).alias("part")
+
+
+def _lang():
+    return F.regexp_extract("url", "lang=([^/]+)/", 1).alias("lang")
+
+
 @query("S14_text_files", "SELECT lang, part, md5(string_agg(text || CASE WHEN doc_id % 7 = 0 THEN chr(65533) || '(' ELSE '' END || chr(10), '' ORDER BY doc_id)) AS text_md5 FROM (SELECT lang, doc_id // 50 AS part, doc_id, text FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL) GROUP BY lang, part")
 def s14(s, d):
-    """Whole text files, one for each language and fifty documents; every seventh document ends in bytes that are no UTF-8."""
+    """Whole text files, one for each language and fifty documents, with the number of the fifty as their first line; every
+    seventh document ends in bytes that are no UTF-8."""
     path = shared_path(s, "texts")
     bad = F.unhex(F.lit("C328")).cast("string")
     docs = fx.table(s, d, "documents").filter("lang is not null and text is not null")
-    docs = docs.select("lang", F.floor(F.col("doc_id") / 50).alias("part"), "doc_id", F.concat("text", F.when(F.col("doc_id") % 7 == 0, bad).otherwise("")).alias("value"))
-    docs.repartition("lang", "part").sortWithinPartitions("lang", "part", "doc_id").drop("doc_id").write.partitionBy("lang", "part").text(path)
-    t = rd.text_files(s, path)
-    of = lambda k: F.regexp_extract("url", f"{k}=([^/]+)/", 1)
-    return t.select(of("lang").alias("lang"), of("part").cast("long").alias("part"), F.md5("text").alias("text_md5"))
+    text = F.concat("text", F.when(F.col("doc_id") % 7 == 0, bad).otherwise(""))
+    each = docs.groupBy("lang", _fifty(F.col("doc_id"))).agg(F.array_sort(F.collect_list(F.struct("doc_id", text.alias("text")))).alias("x"))  # fifty documents
+    wr.whole_files(each.select("lang", F.concat_ws("\n", F.col("part").cast("string"), F.col("x.text")).alias("value")), path, "lang")
+    t = rd.text_files(s, path).withColumn("_n", F.instr("text", "\n"))
+    part = F.substring("text", F.lit(1), F.col("_n") - 1).cast("long")
+    return t.select(_lang(), part.alias("part"), F.md5(F.substring("text", F.col("_n") + 1, F.length("text"))).alias("text_md5"))
 
 
 _XML = "replace(replace(text, '&', '&amp;'), '<', '&lt;')"
@@ -113,16 +123,16 @@ _XML = "replace(replace(text, '&', '&amp;'), '<', '&lt;')"
 
 @query("S14_xml_files", f"SELECT lang, part, md5('<?xml version=\"1.0\"?>' || chr(10) || '<documents>' || chr(10) || string_agg('<document id=\"' || doc_id || '\">' || {_XML} || '</document>' || chr(10), '' ORDER BY doc_id) || '</documents>' || chr(10)) AS text_md5 FROM (SELECT lang, doc_id // 50 AS part, doc_id, text FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL) GROUP BY lang, part")
 def s14_xml(s, d):
-    """Whole XML files as one text each, tags and all: one for each language and fifty documents."""
+    """Whole XML files as one text each, tags and all: one for each language and fifty documents, which their ids tell."""
     path = shared_path(s, "xml")
     docs = fx.table(s, d, "documents").filter("lang is not null and text is not null")
     text = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     line = F.concat(F.lit('<document id="'), "doc_id", F.lit('">'), text, F.lit("</document>"))
-    each = docs.groupBy("lang", F.floor(F.col("doc_id") / 50).alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("x"))  # fifty documents
+    each = docs.groupBy("lang", _fifty(F.col("doc_id"))).agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("x"))  # fifty documents
     value = F.concat_ws("\n", F.lit('<?xml version="1.0"?>'), F.lit("<documents>"), F.col("x.line"), F.lit("</documents>"))
-    each.select("lang", "part", value.alias("value")).write.partitionBy("lang", "part").text(path)
-    of = lambda k: F.regexp_extract("url", f"{k}=([^/]+)/", 1)
-    return rd.text_files(s, path).select(of("lang").alias("lang"), of("part").cast("long").alias("part"), F.md5("text").alias("text_md5"))
+    wr.whole_files(each.select("lang", value.alias("value")), path, "lang")
+    part = _fifty(F.regexp_extract("text", '<document id="([^"]+)">', 1).cast("long"))
+    return rd.text_files(s, path).select(_lang(), part, F.md5("text").alias("text_md5"))
 
 
 # --- streams ---

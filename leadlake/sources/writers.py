@@ -10,6 +10,14 @@ def export_leads(details: DataFrame, path: str) -> None:
     details.write.mode("overwrite").partitionBy("organization_id").json(path)
 
 
+def whole_files(texts: DataFrame, path: str, *folders: str) -> None:
+    """One text file for each row's `value`, in one folder for each value of `folders`, which should be few: a folder for
+    each file is made, moved and listed by itself. On local disks files go without checksum files, as setting the rights
+    of a file takes a process there."""
+    local = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+    texts.select("value", *folders).write.options(maxRecordsPerFile=1, **local).partitionBy(*folders).text(path)
+
+
 def seed(existing: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Reference rows that are not there yet, by natural key; seeding twice adds nothing."""
     return wanted.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
