@@ -79,7 +79,8 @@ def deduplicated(headlines: DataFrame, per_vertical: int | None = None) -> DataF
     """The first headline of each title key across verticals; then the first ones of each vertical in feed order."""
     from pyspark.sql import Window as W
 
-    one = first_by(headlines.withColumn("_k", tx.title_key(tx.without_tags(F.col("title")))).filter("_k <> ''"), ["_k"], F.col("feed_ord"), F.col("supp")).drop("_k")
+    keyed = _once(headlines, _k=tx.title_key(tx.without_tags(F.col("title")))).filter("_k <> ''")
+    one = first_by(keyed, ["_k"], F.col("feed_ord"), F.col("supp")).drop("_k")
     if per_vertical is None:
         return one
     return one.withColumn("_r", F.row_number().over(W.partitionBy("vertical").orderBy("feed_ord", "supp"))).filter(F.col("_r") <= per_vertical).drop("_r")

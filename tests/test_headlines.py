@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from leadlake import catalog
+from leadlake.operators import headlines as he
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
@@ -32,3 +33,15 @@ def test_leads_and_report_of_every_line(spark, db):
       SELECT DISTINCT p_name || ' Infra', vertical FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY k ORDER BY f, s) = 1)""").fetchall()
     assert pairs == set(want)
     assert catalog.QUERIES["F20_lead_rows"](spark, DATA).count() == 5 * len(pairs)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_title_keys_are_made_once(spark):
+    titles = ["A <b>win</b>!", "a WIN", "", "<i></i>", None, "B < win", "other"]
+    df = spark.createDataFrame([(k, 7, "V", t) for k, t in enumerate(titles)], "feed_ord bigint, supp bigint, vertical string, title string")
+    out = he.deduplicated(df, 10)
+    assert sorted(r.feed_ord for r in out.collect()) == [0, 5, 6]
+    assert plan(out).count("(?U)") == 1
