@@ -36,14 +36,14 @@ BAD_START = ("ministry", "government", "govt", "department", "state of", "nation
 QUOTES = "'\"“”‘’"
 
 
+_AT_MOST = r"\s*(?:\S+\s+){0,%d}\S*\s*\z"  # so many words and one more
+
+
 def plausible_company(name: Column) -> Column:
     """Shape of a company name: 3 to 80 characters, up to eight words, one capitalised, no clause or public body."""
-    words = F.filter(F.split(name, r"\s+"), lambda w: w != "")
-    first = F.lower(F.btrim(F.get(words, F.lit(0)), F.lit(QUOTES)))
-    public = F.lit(False)
-    for p in BAD_START:
-        public = public | F.lower(name).startswith(p)
-    shape = F.length(name).between(3, 80) & (F.size(words) <= 8) & ~first.isin(*BAD_FIRST) & ~public & F.exists(words, lambda w: w.rlike(r"^\p{Lu}"))
+    first = F.lower(F.btrim(F.regexp_extract(name, r"^\s*(\S*)", 1), F.lit(QUOTES)))
+    words = r"(?s)^(?!(?i:" + "|".join(BAD_START) + r"))(?=(?:.*\s)?\p{Lu})" + _AT_MOST % 7  # one pattern: each sought costs a copy of the text
+    shape = F.length(name).between(3, 80) & name.rlike(words) & ~first.isin(*BAD_FIRST)
     return F.coalesce(shape, F.lit(False))
 
 
@@ -59,20 +59,20 @@ def _once(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def extract(headlines: DataFrame) -> DataFrame:
     """headlines (title, vertical, …) that say that a company won an amount from a public body, with company, buyer,
-    amount and value. Cheap tests come first, and each pattern is sought once in a title."""
-    low = F.lower("title")
-    h = headlines.filter(low.contains("₹") | low.contains("rs"))  # every amount has one of them
-    h = _once(h, _a=F.regexp_replace("title", "(?s)^.*?: ", ""), _b=F.regexp_extract("title", "(?s)^(.*?): ", 1))
-    label = F.col("title").contains(": ") & (F.size(F.filter(F.split("_b", r"\s+"), lambda w: w != "")) <= 4) & F.col("_a").rlike(AMOUNT) & F.col("_a").rlike(VERB)
-    h = _once(h, _w=F.when(label, F.col("_a")).otherwise(F.col("title")))
+    amount and value. Cheap tests come first, and each pattern is sought once in a title. Patterns are those of functions
+    that compile them once: split would do so for every row."""
+    h = headlines.filter(F.col("title").contains("₹") | F.col("title").rlike("[Rr][Ss]"))  # every amount has one of them
+    colon = F.instr("title", ": ")
+    rest = F.substring("title", colon + 2, F.length("title"))
+    label = (colon > 0) & F.substring_index("title", ": ", 1).rlike("^" + _AT_MOST % 3) & rest.rlike(AMOUNT) & rest.rlike(VERB)
+    h = _once(h, _w=F.when(label, rest).otherwise(F.col("title")))
     h = _once(h, _l=F.lower("_w"), _m=F.regexp_extract("_w", AMOUNT, 0)).filter(F.col("_m") != "")
     h = h.filter(~_any(F.col("_l"), NOISE) & _any(F.col("_l"), GOVERNMENT))
-    h = _once(h, _p=F.split("_w", VERB, 2)).filter(F.size("_p") == 2)
-    name = F.btrim(F.get("_p", F.lit(0)), F.lit(" -–—:"))
-    h = _once(h, _c=F.btrim(F.split(name, r"\s[-–—]\s", 2)[0], F.lit(QUOTES + " "))).filter(plausible_company(F.col("_c")))
+    name = F.btrim(F.regexp_extract("_w", "(?s)^(.*?)" + VERB, 1), F.lit(" -–—:"))  # empty without a verb
+    h = _once(h, _c=F.btrim(F.regexp_replace(name, r"(?s)\s[-–—]\s.*", ""), F.lit(QUOTES + " "))).filter(plausible_company(F.col("_c")))
     buyer = F.coalesce(tx.empty_to_null(F.trim(F.regexp_extract("title", BUYER, 1))), F.lit("Government (India)"))
     out = h.withColumns({"company": F.col("_c"), "government_buyer": buyer, "amount": F.col("_m"), "value": amount_inr(F.col("_m"))})
-    return out.drop("_a", "_b", "_w", "_l", "_m", "_p", "_c")
+    return out.drop("_w", "_l", "_m", "_c")
 
 
 def deduplicated(headlines: DataFrame, per_vertical: int | None = None) -> DataFrame:

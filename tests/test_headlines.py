@@ -39,6 +39,27 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_no_pattern_is_compiled_for_each_title(spark):
+    rows = [
+        ("Order win: Tata Infra - East wins ₹5 crore order from Ministry of Steel for works", "Tata Infra", "Ministry of Steel"),
+        ("one two three four five: Acme bags Rs. 1,000.5 cr from Odisha, says it", "one two three four five: Acme", "Odisha"),
+        ("Acme\tLtd bags RS 3 billion from PSU Works, says it", "Acme\tLtd", "PSU Works"),
+        ("B C D E F G H I wins ₹5 crore goa", "B C D E F G H I", "Government (India)"),
+        ("B C D E F G H I J wins ₹5 crore goa", None, None),
+        ("Ministry of Steel wins ₹5 crore goa", None, None),
+        ("“Éclat Works” wins ₹5 crore goa", "Éclat Works", "Government (India)"),
+        ("lower only wins ₹5 crore goa", None, None),
+        ("₹5 crore goa", None, None),
+        ("wins ₹5 crore goa", None, None),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame([(k, r[0], "V") for k, r in enumerate(rows)], "id int, title string, vertical string")
+    out = he.extract(df)
+    got = {r.id: (r.company, r.government_buyer) for r in out.collect()}
+    assert got == {k: r[1:] for k, r in enumerate(rows) if r[1]}
+    assert "split(" not in plan(out)  # split compiles its pattern for every row
+
+
 def test_title_keys_are_made_once(spark):
     titles = ["A <b>win</b>!", "a WIN", "", "<i></i>", None, "B < win", "other"]
     df = spark.createDataFrame([(k, 7, "V", t) for k, t in enumerate(titles)], "feed_ord bigint, supp bigint, vertical string, title string")
