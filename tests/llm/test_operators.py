@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -503,3 +504,25 @@ def test_language_of_rare_letters_and_of_nothing(spark):
     same = np.unique(langid.packed(one.models.alphabet.codes(points), langid.ORDER)[1:], return_counts=True)
     tied = langid.Identifier(langid.Models(["a", "b"], [same, same], one.models.alphabet), 1.0, 9.0)
     assert {r.lang_pred for r in langid.identify(docs, tied).collect()} == {"a"}
+
+
+def test_bins_tell_large_sets_apart(spark):
+    rng = np.random.default_rng(3)
+
+    def draw(n):
+        return np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+
+    x, y, small = draw(3000), draw(3000), draw(90)
+    sets = [x, y, np.union1d(x[:2600], y[:400]), np.union1d(x, y[:700]), small, np.union1d(small[:80], y[:30])]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j]
+    column = lambda k: pa.array([jaccard_join._bins(sets[p[k]]) for p in pairs])
+    apart = jaccard_join._apart(column(0), column(1))
+    assert all(d <= len(np.setxor1d(sets[i], sets[j])) for d, (i, j) in zip(apart, pairs))
+    full = pa.array([bytes([255] * 64), bytes([255] * 128)])
+    assert jaccard_join._apart(full, full.take(pa.array([1, 0]))).tolist() == [0, 0]  # full bins tell nothing
+    # sets of one length that share nothing are no candidates, whatever their length; those that link are
+    classes = spark.createDataFrame([(k, len(s), bytearray(jaccard_join._bins(s))) for k, s in enumerate(sets)], "c long, n long, bins binary")
+    left = jaccard_join._close(spark.createDataFrame(pairs, "a long, b long"), classes)
+    kept = {(r.a, r.b) for r in left.collect()}
+    linked = {(i, j) for i, j in pairs if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert linked and linked <= kept and (0, 1) not in kept
