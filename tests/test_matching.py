@@ -369,3 +369,17 @@ def test_texts_of_one_embedding_are_linked_without_comparing_names_that_are_equa
     monkeypatch.setattr(m, "name_ratio", lambda a, b: F.when(a.isNotNull(), F.raise_error(F.lit("compared")).cast("double")))
     got = {(r.k, r.k2) for r in m.semantic_pairs(classes).collect()}
     assert got == {(a, b) for a in range(len(names)) for b in range(a + 1, len(names))}
+
+
+def test_equal_names_are_not_compared(spark, monkeypatch):
+    """Pairs with an equal company or buyer link by that; only the others are handed to the comparison of names."""
+    handed = lambda a, b: F.when(a.isNull() | b.isNull() | (a == b), F.raise_error(F.lit("an equal name was handed over")).cast("double")).otherwise(F.lit(0.7) * (F.left(a, F.lit(1)) == F.left(b, F.lit(1))).cast("double"))
+    monkeypatch.setattr(m, "name_ratio", handed)
+    rows = [("k1", "acme", "north", "road works alpha"), ("k2", "acme", "south", "road works alpha"), ("k3", "beta", "north", "road works alpha"), ("k4", "axis", "east", "works road alpha"), ("k5", "zeta", "west", "alpha works road"), ("k6", "acme", "north", "ships")]
+    classes = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq long, k string, company string, buyer string, text string")
+    got = sorted((r.k, r.k2) for r in m.semantic_pairs(classes).collect())
+    first = {r[0]: (r[1][0], r[2][0]) for r in rows}
+    names = {r[0]: r[1:3] for r in rows}
+    alike = [(a, b) for a in first for b in first if a < b < "k6"]
+    linked = lambda a, b: any(x == y for x, y in zip(names[a], names[b])) or any(x == y for x, y in zip(first[a], first[b]))
+    assert got == sorted(p for p in alike if linked(*p)) and 0 < len(got) < len(alike)
